@@ -1 +1,373 @@
-def linked_documents(*a, **k): raise NotImplementedError
+"""N-gram Jaccard join with a token-group matrix.
+
+Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of word shingles.
+
+1. A counting sketch of fixed size orders all shingles, rare before frequent; the order only
+   steers the work, never the result.  Of each set, the first shingles in that order (its
+   prefix) are enough to meet any linked set's prefix.
+2. Equal sets are one document from here on.
+3. Similar documents are put into groups of bounded size (same least hash, near equal size).
+   The token-group matrix holds the union of each group's prefixes.  A document's prefix is
+   counted against it; the count bounds its overlap with anything in the group, and only groups
+   whose bound reaches the threshold are opened.
+4. In an opened group the whole sets are intersected exactly.  Each opened group reports a
+   spanning forest of the links it found, not all pairs; components follow from the forests.
+
+Nulls, empties and ties: a null or empty text, or one without words, has an empty set and is
+linked with nothing; a text of fewer words than a shingle is one shingle; a row with a null id
+is linked with nothing and has a null component; ids are taken as unique (rows that share an id
+count as linked through it).  An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyhouse.llm.graph import components
+from tallyhouse.llm.kernels import blobs, chunks, list_array, mix
+from tallyhouse.llm.tables import materialised, partitions, written
+
+#: The counting sketch has 2**SKETCH_BITS counters, whatever the input holds; its classes are one byte each.
+SKETCH_BITS = 22
+_SKETCH_BLOCKS = 256
+#: Members of a group, and queries that one task opens a group for, on average at most.
+GROUP_MEMBERS = 64
+GROUP_QUERIES = 512
+
+
+def _needed(n, percent: int):
+    """The least overlap that a set of n shingles has with a linked set."""
+    return -(-n * percent // 100)
+
+
+def _overlap(total, percent: int):
+    """The least overlap of two linked sets whose sizes sum up to ``total``."""
+    return -(-total * percent // (100 + percent))
+
+
+# -- the order of shingles --------------------------------------------------------------------
+
+
+def _sketcher(words: int, lower: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+
+        def add() -> None:
+            nonlocal held, size
+            if held:
+                np.add(counts, np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS), out=counts)
+            held, size = [], 0
+
+        for batch in batches:
+            for _, _, w in chunks(batch.column(0), lower):
+                _, found = w.shingle_sets(words)
+                held.append((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                size += len(found)
+                if size > 2_000_000:
+                    add()
+        add()
+        each = counts.reshape(_SKETCH_BLOCKS, -1)
+        full = np.flatnonzero(each.any(axis=1))
+        if len(full):
+            packed = [zlib.compress(each[k].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for k in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
+
+    return run
+
+
+def _sum_block(table: pa.Table) -> pa.Table:
+    total = np.zeros((1 << SKETCH_BITS) // _SKETCH_BLOCKS, np.int64)
+    for blob in table.column("counts"):
+        total += np.ascontiguousarray(np.frombuffer(zlib.decompress(blob.as_py()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    classes = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
+    return pa.table({"block": table.column("block").slice(0, 1).cast(pa.int32()), "classes": pa.array([classes.tobytes()], pa.binary())})
+
+
+def shingle_classes(docs: DataFrame, words: int, lower: bool) -> np.ndarray:
+    """How frequent the shingles of each sketch cell are, in steps of an eighth of a power of two."""
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(_sketcher(words, lower), "block int, counts binary")
+    rows = parts.groupBy("block").applyInArrow(_sum_block, "block int, classes binary").collect()
+    out = np.zeros((_SKETCH_BLOCKS, (1 << SKETCH_BITS) // _SKETCH_BLOCKS), np.uint8)
+    for r in rows:
+        out[r["block"]] = np.frombuffer(r["classes"], np.uint8)
+    return out.ravel()
+
+
+# -- sets and prefixes ------------------------------------------------------------------------
+
+_SIGNED = "doc_id long, n int, set_a long, set_b long, least long, prefix array<long>"
+
+
+def _signer(held, words: int, percent: int, lower: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = held.value
+        for batch in batches:
+            for a, b, w in chunks(batch.column("text"), lower):
+                starts, found = w.shingle_sets(words)
+                n = np.diff(starts)
+                full = np.flatnonzero(n)
+                sums = np.zeros((2, b - a), np.uint64)
+                least = np.zeros(b - a, np.uint64)
+                if len(full):
+                    for k, salt in enumerate((0x51ED270B0A1F39C1, 0x2545F4914F6CDD1D)):
+                        sums[k, full] = np.add.reduceat(mix(found ^ np.uint64(salt)), starts[:-1][full])
+                    least[full] = found[starts[:-1][full]]
+                classes = order[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                prefixes, edges = [], [0]
+                for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    take = y - x - _needed(y - x, percent) + 1 if y > x else 0
+                    if take:
+                        prefixes.append(found[x:y][np.argsort(classes[x:y], kind="stable")[:take]])
+                    edges.append(edges[-1] + take)
+                prefix = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(a, b - a),
+                        pa.array(n, pa.int32()),
+                        pa.array(sums[0].view(np.int64)),
+                        pa.array(sums[1].view(np.int64)),
+                        pa.array(least.view(np.int64)),
+                        list_array(prefix.view(np.int64), np.array(edges), pa.int64()),
+                    ],
+                    ["doc_id", "n", "set_a", "set_b", "least", "prefix"],
+                )
+
+    return run
+
+
+# -- the matrix -------------------------------------------------------------------------------
+
+
+def _dealer(buckets: int):
+    """The matrix in parts: one row for each batch and bucket of tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            bucket = ((tokens >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(edges))
+            edges = np.append(edges[full], len(order))
+            tokens, row = tokens[order], row[order]
+            # a document's number, group and size stand once for all its tokens of a bucket
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (bucket[order][1:] != bucket[order][:-1])
+            at = np.flatnonzero(new)
+            owners = np.searchsorted(at, edges)
+            columns = {"tokens": blobs(tokens, edges), "repeats": blobs(np.diff(np.append(at, len(row))).astype(np.uint32), owners)}
+            for name in ("doc_id", "gid", "n"):
+                columns[name] = blobs(batch.column(name).to_numpy(zero_copy_only=False)[row[at]], owners)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *columns.values()], ["bucket", *columns])
+
+    return run
+
+
+_DEALT = "bucket int, tokens binary, repeats binary, doc_id binary, gid binary, n binary"
+_MET = "doc_id long, gid long, n int, hits int, lo int, hi int"
+
+
+def _meeter(percent: int, pairs_at_once: int = 1_000_000):
+    """Counts, for the tokens of one part, how often a document meets a group of a lower number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[str, list] = {k: [] for k in ("tokens", "repeats", "doc_id", "gid", "n")}
+        kinds = {"tokens": np.uint64, "repeats": np.uint32, "doc_id": np.int64, "gid": np.int64, "n": np.int32}
+        for batch in batches:
+            for name, kind in kinds.items():
+                parts[name] += [np.frombuffer(x.as_py(), kind) for x in batch.column(name)]
+        if not parts["tokens"]:
+            return
+        flat = {k: np.concatenate(v) for k, v in parts.items()}
+        owner = np.repeat(np.arange(len(flat["repeats"])), flat["repeats"])
+        # only tokens that at least two documents hold
+        order = np.argsort(flat["tokens"], kind="stable")
+        token, owner = flat["tokens"][order], owner[order]
+        shared = np.zeros(len(token), bool)
+        shared[1:] = token[1:] == token[:-1]
+        shared[:-1] |= shared[1:].copy()
+        token, owner = token[shared], owner[shared]
+        doc, gid, n = flat["doc_id"][owner], flat["gid"][owner], flat["n"][owner]
+        order = np.lexsort((n, gid, token))
+        token, doc, gid, n = token[order], doc[order], gid[order], n[order]
+        # rows of the matrix: (token, group), with the sizes of its members that hold the token
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
+        row = np.flatnonzero(new)
+        low, high = n[row], n[np.append(row[1:], len(n)) - 1] if len(row) else n[:0]
+        mine = np.cumsum(new) - 1
+        first_of_token = np.ones(len(token), bool)
+        first_of_token[1:] = token[1:] != token[:-1]
+        starts = mine[np.maximum.accumulate(np.where(first_of_token, np.arange(len(token)), 0))] if len(token) else mine
+        many = mine - starts  # groups of the same token with a lower number
+        a = 0
+        while a < len(token):
+            b = max(a + 1, int(np.searchsorted(np.cumsum(many[a:]), pairs_at_once)) + a)
+            copies = many[a:b]
+            who = np.repeat(np.arange(a, b), copies)
+            which = np.repeat(starts[a:b], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            fits = (n[who] * percent <= high[which].astype(np.int64) * 100) & (low[which] * percent <= n[who].astype(np.int64) * 100)
+            who, which = who[fits], which[fits]
+            if len(who):
+                d, g, size = doc[who], gid[row[which]], n[who]
+                order = np.lexsort((g, d))
+                d, g, size, lo, hi = d[order], g[order], size[order], low[which][order], high[which][order]
+                cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (g[1:] != g[:-1])))
+                hits = np.diff(np.append(cut, len(d)))
+                columns = [pa.array(d[cut]), pa.array(g[cut]), pa.array(size[cut], pa.int32()), pa.array(hits, pa.int32())]
+                columns += [pa.array(np.minimum.reduceat(lo, cut), pa.int32()), pa.array(np.maximum.reduceat(hi, cut), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "gid", "n", "hits", "lo", "hi"])
+            a = b
+
+    return run
+
+
+def _reaches(percent: int):
+    """Whether the bound on the overlap with anything in the group reaches what a link needs."""
+
+    def least(total):
+        return F.ceil(total * percent / F.lit(100 + percent))
+
+    def suffix(n):
+        return F.ceil(n * percent / F.lit(100)) - 1
+
+    n, lo, hi, hits = F.col("n"), F.greatest("lo", F.ceil(F.col("n") * percent / F.lit(100))), F.least("hi", F.floor(F.col("n") * 100 / F.lit(percent))), F.col("hits")
+    smaller = (lo <= n) & (hits + suffix(n) >= least(n + lo))
+    larger = (hi >= n) & (hits + suffix(hi) >= least(n + hi))
+    return smaller | larger
+
+
+# -- opening groups ---------------------------------------------------------------------------
+
+
+def _set_maker(words: int, lower: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, w in chunks(batch.column("text"), lower):
+                starts, found = w.shingle_sets(words)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), blobs(found, starts)], ["doc_id", "shingles"])
+
+    return run
+
+
+class _Forest:
+    """Union by smallest, for the links found in one opened group."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def link(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.links.append((a, b))
+
+
+def _opener(percent: int, cells: int = 32_000_000):
+    def open_group(table: pa.Table) -> pa.Table:
+        ids = table.column("doc_id").to_numpy()
+        member = table.column("member").to_numpy()
+        inner = table.column("chunk")[0].as_py() == 0
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        owners, asking = np.flatnonzero(member == 1), np.flatnonzero(member == 0)
+        forest = _Forest()
+        # members a few at a time, so that the table of tokens and members stays small
+        a = 0
+        while a < len(owners):
+            b, size = a, 0
+            while b < len(owners) and (b == a or (size + len(sets[owners[b]])) * (b - a + 1) <= cells):
+                size += len(sets[owners[b]])
+                b += 1
+            part = owners[a:b]
+            held = np.concatenate([sets[i] for i in part])
+            tokens, at = np.unique(held, return_inverse=True)
+            grid = np.zeros((len(tokens), b - a), np.uint8)
+            grid[at, np.repeat(np.arange(b - a), [len(sets[i]) for i in part])] = 1
+            sizes = np.array([len(sets[i]) for i in part])
+            for i in (*asking, *(owners[a:] if inner else ())):
+                if not len(tokens) or not len(sets[i]):
+                    continue
+                where = np.searchsorted(tokens, sets[i])
+                where[where == len(tokens)] = 0
+                where = where[tokens[where] == sets[i]]
+                both = grid[where].sum(axis=0, dtype=np.int64)
+                for k in np.flatnonzero((both * (100 + percent) >= percent * (sizes + len(sets[i]))) & (both > 0)):
+                    forest.link(int(ids[i]), int(ids[part[k]]))
+            a = b
+        pairs = np.array(forest.links, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return open_group
+
+
+def _links(docs: DataFrame, distinct: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
+    """A forest (a, b) that connects all linked documents with different sets."""
+    spark = docs.sparkSession
+    parts = partitions(spark)
+    # groups: same least hash, sizes within a tenth of each other, and so many of them that each is small
+    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1.1))).cast("int")
+    crowd = distinct.groupBy("least", size_class.alias("size_class")).agg(F.count("*").alias("crowd"))
+    keyed = distinct.withColumn("size_class", size_class).join(crowd, ["least", "size_class"])
+    sub = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("crowd") / GROUP_MEMBERS))
+    grouped = written(keyed.select("doc_id", "n", F.xxhash64("least", "size_class", sub).alias("gid"), (F.col("crowd") > 1).alias("crowded"), "prefix"))
+
+    dealt = grouped.select("doc_id", "gid", "n", "prefix").mapInArrow(_dealer(4 * parts), _DEALT)
+    met = dealt.repartition(parts, "bucket").mapInArrow(_meeter(percent), _MET)
+    met = met.groupBy("doc_id", "gid").agg(F.first("n").alias("n"), F.sum("hits").alias("hits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    asked = materialised(met.where(_reaches(percent)).select("doc_id", "gid"))
+
+    members = grouped.select("doc_id", "gid", "crowded")
+    inner = members.where("crowded").groupBy("gid").agg(F.count("*").alias("many")).where("many > 1").select("gid", F.lit(0).cast("long").alias("asking"))
+    opened = asked.groupBy("gid").agg(F.count("*").alias("asking")).unionByName(inner).groupBy("gid").agg(F.sum("asking").alias("asking"))
+    opened = opened.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("asking") / GROUP_QUERIES)).cast("int"))
+    opened = materialised(opened.select("gid", "chunks"))
+    owners = materialised(members.join(opened, "gid").select("doc_id", "gid", "chunks"))
+
+    wanted = owners.select("doc_id").unionByName(asked.select("doc_id")).distinct()
+    whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
+    sets = written(whole.mapInArrow(_set_maker(words, lower), "doc_id long, shingles binary"))
+    as_members = owners.join(sets, "doc_id").select("gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", F.lit(1).alias("member"), "shingles")
+    chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
+    as_queries = asked.join(opened, "gid").join(sets, "doc_id").select("gid", chunk.alias("chunk"), "doc_id", F.lit(0).alias("member"), "shingles")
+    return as_members.unionByName(as_queries).groupBy("gid", "chunk").applyInArrow(_opener(percent), "a long, b long")
+
+
+def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """``docs(doc_id, text)`` to doc_id, n_shingles and component_id, the least doc_id reachable by links."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    order = spark.sparkContext.broadcast(shingle_classes(rows, words, lower))  # 2**SKETCH_BITS bytes
+    signed = written(rows.mapInArrow(_signer(order, words, percent, lower), _SIGNED))
+    known = signed.where("n > 0 and doc_id is not null")
+    classes = materialised(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
+    distinct = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "least", "prefix")
+    found = components(_links(rows, distinct, words, percent, lower))
+    named = materialised(
+        classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
+    )
+    ids = signed.select("doc_id", "n", "set_a", "set_b")
+    linked = ids.join(named, ["set_a", "set_b"], "left")
+    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the least doc_id of their near-duplicate group; all columns are kept."""
+    groups = linked_documents(docs, words, percent)
+    others = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("repeated_id")).distinct()
+    return docs.join(others, docs["doc_id"].cast("long") == F.col("repeated_id"), "left_anti")

@@ -1 +1,272 @@
-def repeated_words_digest(*a, **k): raise NotImplementedError
+"""Substring deduplication by level-wise doubling of repeated word windows.
+
+A window of n words can only repeat if the windows of half its length inside it repeat.  So the
+short windows are tested first, and only those that occur more than once are extended to about
+twice their length, until the wanted length is reached or nothing survives.  At the first level
+only anchors are tested: of all half-length windows inside each n-word window the one with the
+least hash, which is the same in every copy.  The last level finds, for every surviving window,
+the least document that holds it; a word is removed if a window over it also starts in a
+document with a smaller id.
+
+Documents are laid out once in small cells (a bucketed table), so that the levels read them
+again without another shuffle; between the levels only window hashes and bit masks move.
+
+Nulls, empties and ties: null or empty texts have no words; a null id counts as larger than any
+other, and rows with equal or null ids are never removed on account of each other; windows that
+repeat within one document only are kept; documents shorter than a window keep all words;
+repeated rows (same id and text) are each judged.  An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyhouse.llm.kernels import Words, blobs, text_buffers
+from tallyhouse.llm.tables import materialised, partitions, written
+
+_NO_ID = np.int64(2**63 - 1)
+_CELL = "layout_cell"
+_ANCHORS = "bucket int, cell int, hashes binary"
+_WINDOWS = "bucket int, cell int, hashes binary, docs binary"
+_MASKS = "cell int, level int, bucket int, bits binary"
+
+
+def _least_positions(values: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` values the position of its least one (the first of equals)."""
+    at = np.arange(len(values))
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(values[right] < values[left], right, left)
+        span += step
+    return at
+
+
+class _Cell:
+    """The documents of one cell in a fixed order, with what each level needs of them."""
+
+    def __init__(self, table: pa.Table, window: int, buckets: int):
+        self.window, self.buckets = window, buckets
+        self.table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]))
+        raw, offsets = text_buffers(self.table.column("text"))
+        self.words = Words(raw, offsets)
+        self.ids = pc.fill_null(self.table.column("doc_id").cast(pa.int64()), _NO_ID).to_numpy()
+
+    def anchors(self) -> None:
+        half = -(-self.window // 2)
+        at, found = self.words.windows(half)
+        inside = self.window - half + 1
+        if len(at) < inside:
+            self.start = self.anchor = self.anchor_hash = self.of_start = np.zeros(0, np.int64)
+            return
+        least = _least_positions(found, inside)
+        # both ends in one run of half windows: the whole window is within one document
+        whole = (at[inside - 1 :] - at[: len(at) - inside + 1] == inside - 1) & (self.words.doc[at[inside - 1 :]] == self.words.doc[at[: len(at) - inside + 1]])
+        self.start = at[: len(whole)][whole]
+        self.anchor, self.of_start = np.unique(least[whole], return_inverse=True)
+        self.anchor_hash = found[self.anchor]
+
+    def dealt(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order by bucket, the buckets present, and their edges in that order."""
+        bucket = ((hashes >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        full = np.flatnonzero(np.diff(edges))
+        return order, full, np.append(edges[full], len(order))
+
+    def marked(self, hashes: np.ndarray, masks: pa.Table, level: int) -> np.ndarray:
+        """The masks of one level, back in the order of ``hashes``."""
+        order, full, edges = self.dealt(hashes)
+        out = np.zeros(len(hashes), bool)
+        place = {b: i for i, b in enumerate(full.tolist())}
+        for one, bucket, bits in zip(masks.column("level").to_pylist(), masks.column("bucket").to_pylist(), masks.column("bits"), strict=True):
+            if one == level:
+                a, b = edges[place[bucket]], edges[place[bucket] + 1]
+                out[order[a:b]] = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=b - a).astype(bool)
+        return out
+
+    def survivors(self, masks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """First words and hashes of the full windows whose anchor repeats."""
+        repeated = self.marked(self.anchor_hash, masks, 1) if len(self.anchor) else np.zeros(0, bool)
+        start = self.start[repeated[self.of_start]] if len(self.start) else self.start
+        at, found = self.words.windows(self.window)
+        return start, found[np.searchsorted(at, start)]
+
+    def removed(self, masks: pa.Table) -> np.ndarray:
+        """Whether each word goes."""
+        start, found = self.survivors(masks)
+        gone = start[self.marked(found, masks, 2)] if len(start) else start
+        change = np.zeros(len(self.words.hash) + 1, np.int64)
+        np.add.at(change, gone, 1)
+        np.add.at(change, gone + self.window, -1)
+        return np.cumsum(change[:-1]) > 0
+
+
+def _first_level(window: int, buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        cell = _Cell(table, window, buckets)
+        cell.anchors()
+        hashes = cell.anchor_hash.astype(np.uint64)
+        order, full, edges = cell.dealt(hashes)
+        return pa.table({"bucket": pa.array(full, pa.int32()), "cell": pa.array([table.column(_CELL)[0].as_py()] * len(full), pa.int32()), "hashes": blobs(hashes[order].astype(np.uint32), edges)})
+
+    return run
+
+
+def _second_level(window: int, buckets: int):
+    def run(table: pa.Table, masks: pa.Table) -> pa.Table:
+        out = {"bucket": [], "cell": [], "hashes": pa.array([], pa.binary()), "docs": pa.array([], pa.binary())}
+        if len(table):
+            cell = _Cell(table, window, buckets)
+            cell.anchors()
+            start, found = cell.survivors(masks)
+            order, full, edges = cell.dealt(found)
+            docs = cell.ids[cell.words.doc[start]]
+            out = {"bucket": full, "cell": [table.column(_CELL)[0].as_py()] * len(full), "hashes": blobs(found[order], edges), "docs": blobs(docs[order], edges)}
+        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "cell": pa.array(out["cell"], pa.int32()), "hashes": out["hashes"], "docs": out["docs"]})
+
+    return run
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """Which hashes of a bucket occur more than once."""
+    parts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("hashes")]
+    hashes = np.concatenate(parts)
+    _, which, many = np.unique(hashes, return_inverse=True, return_counts=True)
+    return _masks(table, 1, many[which] > 1, [len(p) for p in parts])
+
+
+def _held_before(table: pa.Table) -> pa.Table:
+    """Which windows of a bucket also start in a document with a smaller id."""
+    parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+    hashes = np.concatenate(parts)
+    docs = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("docs")])
+    order = np.argsort(hashes, kind="stable")
+    starts = np.flatnonzero(np.append(True, hashes[order][1:] != hashes[order][:-1]))
+    least = np.minimum.reduceat(docs[order], starts)
+    flags = np.zeros(len(hashes), bool)
+    flags[order] = docs[order] > np.repeat(least, np.diff(np.append(starts, len(order))))
+    return _masks(table, 2, flags, [len(p) for p in parts])
+
+
+def _masks(table: pa.Table, level: int, flags: np.ndarray, sizes: list[int]) -> pa.Table:
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    bits = [np.packbits(flags[a:b]).tobytes() if flags[a:b].any() else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    kept = [i for i, b in enumerate(bits) if b is not None]
+    return pa.table(
+        {
+            "cell": table.column("cell").take(pa.array(kept, pa.int64())).cast(pa.int32()),
+            "level": pa.array([level] * len(kept), pa.int32()),
+            "bucket": table.column("bucket").take(pa.array(kept, pa.int64())).cast(pa.int32()),
+            "bits": pa.array([bits[i] for i in kept], pa.binary()),
+        }
+    )
+
+
+def _kept_texts(cell: _Cell, masks: pa.Table, rejoined: bool) -> tuple[list[bytes], np.ndarray]:
+    """Each document's text without its removed words, and how many went.
+
+    ``rejoined``: kept words joined by one space; else the text around them stays as it was.
+    """
+    words, raw = cell.words, cell.words.raw.tobytes()
+    gone = np.zeros(len(words.hash), bool)
+    if len(masks):
+        cell.anchors()
+        gone = cell.removed(masks)
+    lost = np.bincount(words.doc[gone], minlength=words.documents)
+    _, offsets = text_buffers(cell.table.column("text"))
+    out = []
+    for i in range(words.documents):
+        a, b = int(words.first[i]), int(words.first[i + 1])
+        text = raw[offsets[i] : offsets[i + 1]]
+        if not lost[i]:
+            out.append(b" ".join(text.split()) if rejoined else text)
+            continue
+        kept = np.flatnonzero(~gone[a:b]) + a
+        if rejoined:
+            # ends of runs of kept words, so that a run is joined at once
+            out.append(b" ".join(raw[words.start[k] : words.end[k]] for k in kept.tolist()))
+            continue
+        edges = np.append(words.start[a + 1 : b], offsets[i + 1])  # a word goes with the space behind it
+        lead = text[: int(words.start[a] - offsets[i])]
+        out.append(lead + b"".join(raw[words.start[k] : edges[k - a]] for k in kept.tolist()))
+    return out, lost
+
+
+def _digest(window: int, buckets: int):
+    def run(table: pa.Table, masks: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string())})
+        cell = _Cell(table, window, buckets)
+        texts, lost = _kept_texts(cell, masks, rejoined=True)
+        return pa.table(
+            {
+                "doc_id": cell.table.column("doc_id"),
+                "n_words": pa.array(cell.words.count, pa.int64()),
+                "n_removed": pa.array(lost, pa.int64()),
+                "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+            }
+        )
+
+    return run
+
+
+def _cleaned(window: int, buckets: int, names: list[str]):
+    def run(table: pa.Table, masks: pa.Table) -> pa.Table:
+        if not len(table):
+            return table.select(names)
+        cell = _Cell(table, window, buckets)
+        texts, lost = _kept_texts(cell, masks, rejoined=False)
+        out = cell.table
+        old = out.column("text")
+        changed = lost > 0
+        new = [t.decode() if c else x.as_py() for t, c, x in zip(texts, changed, old, strict=True)]
+        out = out.set_column(out.column_names.index("text"), "text", pa.array(new, old.type))
+        if "n_chars" in names:
+            chars = [len(t) if c else x.as_py() for t, c, x in zip(new, changed, out.column("n_chars"), strict=True)]
+            out = out.set_column(out.column_names.index("n_chars"), "n_chars", pa.array(chars, out.column("n_chars").type))
+        return out.select(names)
+
+    return run
+
+
+def _through_levels(docs: DataFrame, window: int, finish, schema, keep) -> DataFrame:
+    spark = docs.sparkSession
+    buckets = partitions(spark)
+    cells = 8 * buckets
+    table = f"cells_{uuid.uuid4().hex}"
+    laid = docs.withColumn(_CELL, F.pmod(F.xxhash64("doc_id", "text"), F.lit(cells)).cast("int"))
+    laid.repartition(buckets, _CELL).write.bucketBy(buckets, _CELL).sortBy(_CELL).saveAsTable(table)
+    by_cell = spark.table(table)
+    slim = by_cell.select(_CELL, "doc_id", "text").groupBy(_CELL)
+    try:
+        anchors = slim.applyInArrow(_first_level(window, buckets), _ANCHORS)
+        first = materialised(anchors.groupBy("bucket").applyInArrow(_repeated, _MASKS))
+        again = slim.cogroup(first.groupBy("cell")).applyInArrow(_second_level(window, buckets), _WINDOWS)
+        second = materialised(again.groupBy("bucket").applyInArrow(_held_before, _MASKS))
+        masks = first.unionByName(second)
+        return keep(by_cell.groupBy(_CELL).cogroup(masks.groupBy("cell")).applyInArrow(finish(window, buckets), schema))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def repeated_words_digest(docs: DataFrame, window: int = 13) -> DataFrame:
+    """``docs(doc_id, text)`` to doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space)."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return _through_levels(rows, window, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", materialised)
+
+
+def without_repeated_words(docs: DataFrame, window: int = 50) -> DataFrame:
+    """``docs`` with its words in repeated windows removed from ``text``; ``n_chars`` follows, other columns stay."""
+    names = docs.columns
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
+    return _through_levels(docs, window, lambda w, b: _cleaned(w, b, names), schema, written)
