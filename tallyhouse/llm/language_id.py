@@ -171,31 +171,42 @@ def phrase_counts(texts: list[np.ndarray], model: Model) -> np.ndarray:
     return out
 
 
+def _answers(column: pa.Array, model: Model) -> tuple[list[str], list[float]]:
+    raw, offsets = text_buffers(column)
+    names, scores = [], []
+    for a, b in slices(offsets):
+        texts = [_symbols(letter_case_fold(str(raw[offsets[i] : offsets[i + 1]], "utf-8")), model.symbol) for i in range(a, b)]
+        for text, row in zip(texts, phrase_counts(texts, model), strict=True):
+            if not len(row) or not (text != _SPACE).any():
+                names.append(UNDETERMINED)
+                scores.append(0.0)
+                continue
+            best = int(row.argmin())
+            others = np.delete(row, best)
+            names.append(model.languages[best])
+            scores.append(float(1 - row[best] / others.min()) if len(others) else 1.0)
+    return names, scores
+
+
 def _predictor(held):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = held.value
         for batch in batches:
-            raw, offsets = text_buffers(batch.column("text"))
-            names, scores = [], []
-            for a, b in slices(offsets):
-                texts = [_symbols(letter_case_fold(str(raw[offsets[i] : offsets[i + 1]], "utf-8")), model.symbol) for i in range(a, b)]
-                phrases = phrase_counts(texts, model)
-                for text, row in zip(texts, phrases, strict=True):
-                    if not len(row) or not (text != _SPACE).any():
-                        names.append(UNDETERMINED)
-                        scores.append(0.0)
-                        continue
-                    best = int(row.argmin())
-                    others = np.delete(row, best)
-                    names.append(model.languages[best])
-                    scores.append(float(1 - row[best] / others.min()) if len(others) else 1.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
-            )
+            names, scores = _answers(batch.column("text"), held.value)
+            columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     return predict
 
 
+def _keeper(held, languages: frozenset[str] | None):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _ = _answers(batch.column("text"), held.value)
+            yield batch.filter(pa.array([n in languages if languages is not None else n != UNDETERMINED for n in names], pa.bool_()))
+
+    return keep
+
+
 def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
     """At most ``rows`` texts a language, cut to ``chars``, chosen by hash from ``labelled(doc_id, text, lang)``."""
     known = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.xxhash64("doc_id", "text").alias("key"), F.substring("text", 1, chars).alias("text"))
@@ -224,6 +235,12 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predictor(held), "doc_id long, lang_pred string, score double")
 
 
+def keep_languages(docs: DataFrame, model: Model, languages: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told, or is one of ``languages`` if those are given."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_keeper(held, frozenset(languages) if languages is not None else None), docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether CRC-32 of the id as text leaves 2 modulo 4; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
