@@ -1,0 +1 @@
+"""Usage metering and billing of multi-tenant clusters as Spark jobs."""
