@@ -37,7 +37,7 @@ from tallyhouse.llm.tables import materialised, partitions, written
 SKETCH_BITS = 22
 _SKETCH_BLOCKS = 256
 #: Members of a group, and queries that one task opens a group for, on average at most.
-GROUP_MEMBERS = 64
+GROUP_MEMBERS = 512
 GROUP_QUERIES = 512
 
 
