@@ -218,10 +218,12 @@ def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = S
 
 def _smallest(known: DataFrame, rows: int) -> DataFrame:
     """Rows below a hash limit that leaves about ``4 * rows`` a language, then the smallest of those."""
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n"))
-    near = known.join(F.broadcast(counts), "lang").where(F.pmod("key", F.lit(1_000_003)) < share * 1_000_003)
-    return near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("place") <= rows).drop("place", "n")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    if not counts:
+        return known
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4.0 * rows / r["n"]))])
+    near = known.where(F.pmod("key", F.lit(1_000_003)) < F.element_at(shares, F.col("lang")) * 1_000_003)
+    return near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("place") <= rows).drop("place")
 
 
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
