@@ -242,7 +242,7 @@ def _cleaned(window: int, buckets: int, names: list[str]):
 def _through_levels(docs: DataFrame, window: int, finish, schema, keep) -> DataFrame:
     spark = docs.sparkSession
     buckets = partitions(spark)
-    cells = 8 * buckets
+    cells = 4 * buckets  # several to a bucket of the table, which evens its sizes out
     table = f"cells_{uuid.uuid4().hex}"
     laid = docs.withColumn(_CELL, F.pmod(F.xxhash64("doc_id", "text"), F.lit(cells)).cast("int"))
     laid.repartition(buckets, _CELL).write.bucketBy(buckets, _CELL).sortBy(_CELL).saveAsTable(table)

@@ -47,7 +47,7 @@ def workload_tenants(workloads: DataFrame, app: str, namespaces: list[str] | Non
 
 def discover_tenants(workloads: DataFrame, platform: DataFrame) -> DataFrame:
     """At each tick the platform's list as a whole if it has any row, else the workload scan."""
-    scanned = workloads.join(F.broadcast(platform.select("tick_ts").distinct()), "tick_ts", "left_anti")
+    scanned = workloads.join(platform.select("tick_ts").distinct(), "tick_ts", "left_anti")
     return platform.unionByName(scanned)
 
 

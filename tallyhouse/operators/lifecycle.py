@@ -26,7 +26,7 @@ def tenant_set_diff(known: DataFrame, alive: DataFrame, key: str = "external_id"
 
 
 def _sequenced(snapshots: DataFrame) -> DataFrame:
-    """Snapshots with a dense number for each reconcile (few rows), joined by broadcast."""
+    """Snapshots with a dense number for each reconcile."""
     ticks = snapshots.select("tick_ts").distinct()
     order = Window.orderBy("tick_ts")
     # one row for each reconcile: small whatever the number of tenants
