@@ -46,33 +46,46 @@ ARTICLE_NAMES = frozenset("article articlebody content entry main post story bod
 #: The labelled table: words, link density, words before, link density before, words after, link density
 #: after, inside an article, inside furniture, heading, and 1 if the block is main text.
 LABELLED = (
-    (60, 0.0, 8, 0.0, 75, 0.0, 1, 0, 0, 1), (75, 0.0, 60, 0.0, 40, 0.0, 1, 0, 0, 1), (1, 0.0, 40, 0.0, 35, 0.0, 1, 0, 0, 1),
-    (8, 0.0, 0, 0.0, 60, 0.0, 1, 0, 1, 1), (3, 0.0, 12, 0.0, 50, 0.0, 1, 0, 1, 1), (12, 0.0, 10, 0.0, 1, 0.0, 1, 0, 0, 1),
+    # paragraphs, headings, short and linked blocks of an article, whatever stands beside them
+    (60, 0.0, 8, 0.0, 75, 0.0, 1, 0, 0, 1), (75, 0.0, 60, 0.0, 2, 1.0, 1, 0, 0, 1), (1, 0.0, 40, 0.0, 35, 0.0, 1, 0, 0, 1),
+    (8, 0.0, 2, 1.0, 60, 0.0, 1, 0, 1, 1), (3, 0.0, 12, 0.0, 50, 0.0, 1, 0, 1, 1), (12, 0.0, 10, 0.0, 1, 1.0, 1, 0, 0, 1),
     (1, 0.0, 1, 0.0, 2, 0.0, 1, 0, 0, 1), (2, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 1), (35, 0.3, 50, 0.0, 44, 0.0, 1, 0, 0, 1),
     (20, 0.6, 50, 0.0, 44, 0.0, 1, 0, 0, 1), (5, 1.0, 60, 0.0, 55, 0.0, 1, 0, 0, 1), (9, 0.0, 1, 1.0, 30, 0.0, 1, 0, 0, 1),
-    (140, 0.02, 10, 0.0, 9, 0.2, 1, 0, 0, 1), (300, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (25, 0.0, 30, 0.0, 8, 0.0, 1, 0, 0, 1),
-    (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (6, 0.0, 1, 1.0, 6, 0.0, 1, 0, 1, 1), (14, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0, 1),
+    (140, 0.02, 10, 0.0, 9, 0.9, 1, 0, 0, 1), (300, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (25, 0.0, 30, 0.0, 8, 0.0, 1, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (6, 0.0, 1, 1.0, 6, 1.0, 1, 0, 1, 1), (14, 0.0, 1, 1.0, 3, 1.0, 1, 0, 0, 1),
+    (2, 0.0, 3, 1.0, 1, 1.0, 1, 0, 0, 1), (4, 0.5, 2, 1.0, 2, 1.0, 1, 0, 0, 1), (3, 1.0, 2, 1.0, 40, 0.0, 1, 0, 0, 1),
+    (2, 1.0, 50, 0.0, 2, 1.0, 1, 0, 0, 1), (7, 1.0, 0, 0.0, 80, 0.0, 1, 0, 1, 1), (12, 0.9, 30, 0.1, 25, 0.0, 1, 0, 0, 1),
+    # lists of links inside an article
     (2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0), (3, 1.0, 1, 1.0, 4, 1.0, 1, 0, 0, 0), (1, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0),
-    (4, 1.0, 3, 1.0, 5, 1.0, 1, 0, 0, 0), (6, 1.0, 5, 1.0, 6, 1.0, 1, 0, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 1, 0, 0, 0),
+    (4, 1.0, 3, 1.0, 5, 1.0, 1, 0, 0, 0), (6, 1.0, 5, 1.0, 6, 1.0, 1, 0, 0, 0), (2, 1.0, 3, 0.9, 2, 1.0, 1, 0, 0, 0),
+    # page furniture, long or short, linked or not, inside an article or not
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 10, 0.0, 0, 1, 0, 0),
     (10, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0), (45, 0.0, 12, 0.0, 50, 0.0, 0, 1, 0, 0), (80, 0.0, 3, 0.0, 30, 0.0, 1, 1, 0, 0),
     (6, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0), (30, 0.2, 5, 0.0, 0, 0.0, 0, 1, 0, 0), (4, 0.0, 80, 0.0, 70, 0.0, 1, 1, 1, 0),
     (15, 0.0, 200, 0.0, 60, 0.0, 1, 1, 0, 0), (3, 0.0, 2, 1.0, 4, 0.0, 0, 1, 1, 0), (120, 0.0, 20, 0.0, 90, 0.0, 0, 1, 0, 0),
-    (70, 0.0, 9, 0.0, 66, 0.0, 0, 0, 0, 1), (50, 0.05, 70, 0.0, 30, 0.0, 0, 0, 0, 1), (30, 0.1, 60, 0.0, 45, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 1, 0.0, 1, 0.0, 1, 1, 0, 0), (8, 0.0, 2, 1.0, 60, 0.0, 0, 1, 1, 0), (25, 0.0, 30, 0.0, 2, 1.0, 1, 1, 0, 0),
+    # text of pages that mark no article
+    (70, 0.0, 9, 0.0, 66, 0.0, 0, 0, 0, 1), (50, 0.05, 70, 0.0, 2, 1.0, 0, 0, 0, 1), (30, 0.1, 60, 0.0, 45, 0.0, 0, 0, 0, 1),
     (8, 0.0, 2, 1.0, 65, 0.0, 0, 0, 1, 1), (5, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (3, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 1),
-    (22, 0.0, 40, 0.0, 3, 0.5, 0, 0, 0, 1), (7, 0.0, 55, 0.0, 48, 0.0, 0, 0, 1, 1), (18, 0.0, 25, 0.0, 60, 0.0, 0, 0, 0, 1),
+    (22, 0.0, 40, 0.0, 3, 0.5, 0, 0, 0, 1), (7, 0.0, 55, 0.0, 48, 0.0, 0, 0, 1, 1), (18, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 1),
+    (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (16, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0, 1), (4, 0.0, 1, 1.0, 40, 0.0, 0, 0, 1, 1),
+    (9, 0.0, 30, 0.0, 28, 0.0, 0, 0, 0, 1), (6, 0.0, 0, 0.0, 90, 0.0, 0, 0, 1, 1), (2, 0.0, 35, 0.0, 33, 0.0, 0, 0, 0, 1),
+    # menus, labels and notes of such pages
     (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 0.5, 3, 0.7, 2, 1.0, 0, 0, 0, 0),
     (5, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 0), (6, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0, 0), (9, 0.9, 60, 0.0, 3, 1.0, 0, 0, 0, 0),
     (12, 0.8, 5, 1.0, 6, 1.0, 0, 0, 0, 0), (25, 0.9, 4, 1.0, 8, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 0.5, 0, 0, 0, 0),
-    (8, 0.0, 5, 0.0, 4, 1.0, 0, 0, 0, 0), (2, 0.0, 6, 0.0, 5, 0.0, 0, 0, 0, 0),
+    (8, 0.0, 5, 0.0, 4, 1.0, 0, 0, 0, 0), (2, 0.0, 6, 0.0, 5, 0.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 70, 0.0, 0, 0, 0, 0),
+    (2, 1.0, 80, 0.0, 1, 1.0, 0, 0, 0, 0), (30, 1.0, 10, 0.0, 40, 0.0, 0, 0, 0, 0), (7, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (5, 0.0, 70, 0.0, 2, 1.0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 4, 0.0, 0, 0, 1, 0),
 )
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
-def grow_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 6):
+def grow_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 8):
     """A binary tree by Gini impurity: a label, or (feature, limit, tree up to it, tree above it)."""
     if depth == 0 or len(set(labels.tolist())) < 2:
         return int(labels.mean() >= 0.5)
@@ -105,8 +118,8 @@ def classify(tree, features: tuple) -> int:
 def _names(attributes: str) -> set[str]:
     if "=" not in attributes:
         return set()
-    found = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower()
-    return set(_PART.findall(found))
+    found = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))
+    return {part.lower() for part in _PART.findall(found)}
 
 
 def page_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
@@ -165,8 +178,11 @@ def page_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                     del stack[k:]
             if not tag[3].rstrip().endswith("/"):
                 named = _names(tag[3])
-                odd = name in FURNITURE_TAGS or bool(named & FURNITURE_NAMES)
-                inner = name in ("article", "main") or (block and bool(named & ARTICLE_NAMES))
+                own = (named & FURNITURE_NAMES) | ({name} & FURNITURE_TAGS)
+                if own == {"header"} and stack and stack[-1][1]:
+                    own = set()  # an article's own header holds its title
+                odd = bool(own) or ("hidden" in tag[3] or "none" in tag[3]) and bool(_HIDDEN.search(tag[3]))
+                inner = name in ("article", "main") or (block and name not in ("html", "body") and bool(named & ARTICLE_NAMES))
                 if inner and not odd and name in ("article", "main"):
                     # an article does not stand inside furniture that was left open before it
                     stack = [s for s in stack if s[0] in ("article", "main") or not s[2]]
