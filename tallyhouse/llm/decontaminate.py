@@ -193,4 +193,4 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, s
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no item occurs; all columns are kept."""
     found = find_benchmark_passages(docs, benchmark, **options).select(F.col("doc_id").alias("contaminated_id")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("contaminated_id")), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["contaminated_id"]), "left_anti")

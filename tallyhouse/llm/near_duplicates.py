@@ -6,7 +6,8 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
    steers the work, never the result.  Of each set, the first shingles in that order (its
    prefix) are enough to meet any linked set's prefix.
 2. Equal sets are one document from here on.
-3. Similar documents are put into groups of bounded size (same least hash, near equal size).
+3. Similar documents are put into groups of bounded size: of a document's four least hashes the
+   one that most documents share names its group, so a family of near copies fills few groups.
    The token-group matrix holds the union of each group's prefixes.  A document's prefix is
    counted against it; the count bounds its overlap with anything in the group, and only groups
    whose bound reaches the threshold are opened.
@@ -37,8 +38,9 @@ from tallyhouse.llm.tables import materialised, partitions, written
 SKETCH_BITS = 22
 _SKETCH_BLOCKS = 256
 #: Members of a group, and queries that one task opens a group for, on average at most.
-GROUP_MEMBERS = 512
+GROUP_MEMBERS = 1024
 GROUP_QUERIES = 512
+_KEY_SALTS = (0x8CB92BA72F3D8DD7, 0x4CF5AD432745937F, 0x38B34AE5A1E38B93)
 
 
 def _needed(n, percent: int):
@@ -101,7 +103,7 @@ def shingle_classes(docs: DataFrame, words: int, lower: bool) -> np.ndarray:
 
 # -- sets and prefixes ------------------------------------------------------------------------
 
-_SIGNED = "doc_id long, n int, set_a long, set_b long, least long, prefix array<long>"
+_SIGNED = "doc_id long, n int, set_a long, set_b long, keys array<long>, prefix array<long>"
 
 
 def _signer(held, words: int, percent: int, lower: bool):
@@ -113,11 +115,13 @@ def _signer(held, words: int, percent: int, lower: bool):
                 n = np.diff(starts)
                 full = np.flatnonzero(n)
                 sums = np.zeros((2, b - a), np.uint64)
-                least = np.zeros(b - a, np.uint64)
+                least = np.zeros((b - a, 1 + len(_KEY_SALTS)), np.uint64)
                 if len(full):
                     for k, salt in enumerate((0x51ED270B0A1F39C1, 0x2545F4914F6CDD1D)):
                         sums[k, full] = np.add.reduceat(mix(found ^ np.uint64(salt)), starts[:-1][full])
-                    least[full] = found[starts[:-1][full]]
+                    least[full, 0] = found[starts[:-1][full]]
+                    for k, salt in enumerate(_KEY_SALTS, 1):
+                        least[full, k] = np.minimum.reduceat(mix(found ^ np.uint64(salt)), starts[:-1][full])
                 classes = order[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 prefixes, edges = [], [0]
                 for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -132,10 +136,10 @@ def _signer(held, words: int, percent: int, lower: bool):
                         pa.array(n, pa.int32()),
                         pa.array(sums[0].view(np.int64)),
                         pa.array(sums[1].view(np.int64)),
-                        pa.array(least.view(np.int64)),
+                        list_array(least.view(np.int64).ravel(), np.arange(b - a + 1) * least.shape[1], pa.int64()),
                         list_array(prefix.view(np.int64), np.array(edges), pa.int64()),
                     ],
-                    ["doc_id", "n", "set_a", "set_b", "least", "prefix"],
+                    ["doc_id", "n", "set_a", "set_b", "keys", "prefix"],
                 )
 
     return run
@@ -282,7 +286,6 @@ def _opener(percent: int, cells: int = 32_000_000):
     def open_group(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_numpy()
         member = table.column("member").to_numpy()
-        inner = table.column("chunk")[0].as_py() == 0
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
         owners, asking = np.flatnonzero(member == 1), np.flatnonzero(member == 0)
         forest = _Forest()
@@ -299,7 +302,7 @@ def _opener(percent: int, cells: int = 32_000_000):
             grid = np.zeros((len(tokens), b - a), np.uint8)
             grid[at, np.repeat(np.arange(b - a), [len(sets[i]) for i in part])] = 1
             sizes = np.array([len(sets[i]) for i in part])
-            for i in (*asking, *(owners[a:] if inner else ())):
+            for i in asking:
                 if not len(tokens) or not len(sets[i]):
                     continue
                 where = np.searchsorted(tokens, sets[i])
@@ -315,28 +318,30 @@ def _opener(percent: int, cells: int = 32_000_000):
     return open_group
 
 
-def _links(docs: DataFrame, distinct: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
+def _groups(distinct: DataFrame) -> DataFrame:
+    """(doc_id, gid, crowded): each document in the group of the key that most documents share."""
+    keyed = distinct.select("doc_id", F.explode("keys").alias("key"))
+    crowds = materialised(keyed.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1"))
+    counted = keyed.join(crowds, "key", "left").select("doc_id", F.struct(F.coalesce("crowd", F.lit(1)).alias("crowd"), "key").alias("one"))
+    best = counted.groupBy("doc_id").agg(F.max("one").alias("best"))
+    sub = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("best.crowd") / GROUP_MEMBERS))
+    return materialised(best.select("doc_id", F.xxhash64("best.key", sub).alias("gid"), (F.col("best.crowd") > 1).alias("crowded")))
+
+
+def _links(docs: DataFrame, signed: DataFrame, distinct: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
     """A forest (a, b) that connects all linked documents with different sets."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    # groups: same least hash, sizes within a tenth of each other, and so many of them that each is small
-    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1.1))).cast("int")
-    crowd = distinct.groupBy("least", size_class.alias("size_class")).agg(F.count("*").alias("crowd"))
-    keyed = distinct.withColumn("size_class", size_class).join(crowd, ["least", "size_class"])
-    sub = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("crowd") / GROUP_MEMBERS))
-    grouped = written(keyed.select("doc_id", "n", F.xxhash64("least", "size_class", sub).alias("gid"), (F.col("crowd") > 1).alias("crowded"), "prefix"))
-
-    dealt = grouped.select("doc_id", "gid", "n", "prefix").mapInArrow(_dealer(4 * parts), _DEALT)
+    parts = partitions(docs.sparkSession)
+    grouped = _groups(distinct)
+    tokens = signed.select("doc_id", "n", "prefix").join(grouped.select("doc_id", "gid"), "doc_id")
+    dealt = tokens.select("doc_id", "gid", "n", "prefix").mapInArrow(_dealer(4 * parts), _DEALT)
     met = dealt.repartition(parts, "bucket").mapInArrow(_meeter(percent), _MET)
     met = met.groupBy("doc_id", "gid").agg(F.first("n").alias("n"), F.sum("hits").alias("hits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    asked = materialised(met.where(_reaches(percent)).select("doc_id", "gid"))
 
-    members = grouped.select("doc_id", "gid", "crowded")
-    inner = members.where("crowded").groupBy("gid").agg(F.count("*").alias("many")).where("many > 1").select("gid", F.lit(0).cast("long").alias("asking"))
-    opened = asked.groupBy("gid").agg(F.count("*").alias("asking")).unionByName(inner).groupBy("gid").agg(F.sum("asking").alias("asking"))
-    opened = opened.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("asking") / GROUP_QUERIES)).cast("int"))
-    opened = materialised(opened.select("gid", "chunks"))
-    owners = materialised(members.join(opened, "gid").select("doc_id", "gid", "chunks"))
+    shared = grouped.where("crowded").groupBy("gid").agg(F.count("*").alias("many")).where("many > 1").select("gid")
+    own = grouped.join(shared, "gid", "left_semi").select("doc_id", "gid")
+    asked = materialised(met.where(_reaches(percent)).select("doc_id", "gid").unionByName(own))
+    opened = materialised(asked.groupBy("gid").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("chunks")))
+    owners = materialised(grouped.join(opened, "gid").select("doc_id", "gid", "chunks"))
 
     wanted = owners.select("doc_id").unionByName(asked.select("doc_id")).distinct()
     whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
@@ -355,8 +360,8 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, lower:
     signed = written(rows.mapInArrow(_signer(order, words, percent, lower), _SIGNED))
     known = signed.where("n > 0 and doc_id is not null")
     classes = materialised(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    distinct = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "least", "prefix")
-    found = components(_links(rows, distinct, words, percent, lower))
+    distinct = known.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    found = components(_links(rows, signed, distinct, words, percent, lower))
     named = materialised(
         classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     )
@@ -370,4 +375,4 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     """The rows of ``docs`` with the least doc_id of their near-duplicate group; all columns are kept."""
     groups = linked_documents(docs, words, percent)
     others = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("repeated_id")).distinct()
-    return docs.join(others, docs["doc_id"].cast("long") == F.col("repeated_id"), "left_anti")
+    return docs.join(others, docs["doc_id"].cast("long") == others["repeated_id"], "left_anti")
