@@ -12,6 +12,7 @@ from tallyhouse.functions import scalars as S
 from tallyhouse.operators import collect, convert, counters, discovery, lifecycle, rating, report
 from tallyhouse.plans import metering
 from tallyhouse.sources import catalog, readers, sinks
+from tallyhouse.streaming import jobs, run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -667,3 +668,65 @@ def _(i):
 )
 def _(i):
     return metering.top_spending_tenants(i["tenants"].select("tick_ts", "name", "namespace", "uid"), i["container_usage"], HOURS)
+
+
+# -- streams: run over the files that are there; windows that the watermark has not closed stay open ------------
+
+
+def _stream(i: Inputs) -> DataFrame:
+    rows = run.stream_table(i.spark, f"{i.dir}/events.parquet")
+    return rows.withColumns({"ts": F.col("ts").cast("timestamp"), "namespace": F.concat(F.lit("ns-"), (F.col("user_id") % 10).cast("string"))})
+
+
+_CLOSED = "(select max(ts) - interval 10 minutes from {events})"
+_NS = "'ns-' || cast(user_id % 10 as string)"
+
+
+@query(
+    "stream_meter",
+    f"""with last as (select time_bucket(interval 1 hour, ts, timestamp '2024-01-01') as win, {_NS} as namespace, user_id, event_type, arg_max(event_id, (ts, cast(round(value * 100) as bigint), event_id)) as event_id from {{events}} group by all)
+ select cast(epoch(l.win) as bigint) as win, l.namespace, cast(sum(cast(round(e.value * 100) as bigint)) as bigint) as cpu_milli, cast(sum(l.event_id) as bigint) as memory_bytes from last l join {{events}} e using (event_id) where l.win + interval 1 hour <= {_CLOSED} group by all""",
+)
+def _(i):
+    samples = _stream(i).select("ts", "namespace", F.col("user_id").alias("pod"), F.col("event_type").alias("container"), F.round(F.col("value") * 100).cast("bigint").alias("cpu_milli"), F.col("event_id").alias("memory_bytes"))
+    rows = run.appended(jobs.stream_meter(samples, "1 hour"))
+    return rows.select(F.unix_timestamp("window.start").alias("win"), "namespace", "cpu_milli", "memory_bytes")
+
+
+@query(
+    "stream_network",
+    f"""with placed as (select *, {_NS} as namespace, time_bucket(interval 12 hours, ts, timestamp '2024-01-01') + to_hours(12 * k) as win from {{events}}, (values (0), (-1)) s(k)),
+ inc as (select *, lag(value) over w as pv from placed window w as (partition by namespace, win order by ts, value))
+ select cast(epoch(win) as bigint) as win, namespace, round(sum(case when pv is null then 0 when value >= pv then value - pv else value end), 4) as increase, cast(count(*) as bigint) as samples from inc group by win, namespace
+ having count(*) >= 2 and max(ts) > min(ts) and win + interval 24 hours <= {_CLOSED}""",
+)
+def _(i):
+    rows = run.appended(jobs.stream_network(_stream(i).select("ts", "namespace", "value"), ["namespace"], 86_400, "12 hours"))
+    return rows.select(F.unix_timestamp("window.start").alias("win"), "namespace", F.round("increase", 4).alias("increase"), F.col("samples").cast("bigint"))
+
+
+@query(
+    "stream_liveness",
+    f"""with gaps as (select user_id, ts, case when ts >= lag(ts) over w + interval 2 hours then 1 else 0 end as new from {{events}} window w as (partition by user_id order by ts)),
+ runs as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as r from gaps)
+ select user_id, cast(epoch_us(min(ts)) as bigint) as start_us, cast(count(*) as bigint) as reconciles from runs group by user_id, r having max(ts) + interval 2 hours <= {_CLOSED}""",
+)
+def _(i):
+    rows = run.appended(jobs.stream_liveness(_stream(i).select(F.col("ts").alias("tick_ts"), F.col("user_id").alias("external_id")), "2 hours"))
+    return rows.select(F.col("external_id").alias("user_id"), F.unix_micros("session.start").alias("start_us"), "reconciles")
+
+
+@query("stream_dedupe", "select distinct user_id, event_type from {events}")
+def _(i):
+    once = _stream(i).select(F.concat_ws("-", "user_id", "event_type").alias("transaction_id"), F.unix_timestamp("ts").alias("timestamp"), "user_id", "event_type")
+    return run.appended(jobs.stream_dedupe(once, "366 days")).select("user_id", "event_type")
+
+
+@query("stream_period_usage", "select 'id-' || cast(user_id as string) as external_subscription_id, event_type as code, cast(epoch(date_trunc('month', ts)) as bigint) as period, cast(sum(cast(round(value * 100) as bigint)) as bigint) as units_micro from {events} group by all")
+def _(i):
+    rows = _stream(i).select(
+        F.concat(F.lit("id-"), F.col("user_id").cast("string")).alias("external_subscription_id"), F.col("event_type").alias("code"), F.lit(None).cast("string").alias("gpu_type"),
+        F.unix_timestamp("ts").alias("timestamp"), F.round(F.col("value") * 100).cast("bigint").alias("quantity_micro"),
+    )
+    latest = run.upserted(jobs.stream_period_usage(rows), rating.USAGE_KEY)
+    return latest.select("external_subscription_id", "code", F.unix_timestamp("period").alias("period"), "units_micro")
