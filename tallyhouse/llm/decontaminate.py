@@ -70,7 +70,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, share: float = EDIT_SHARE, least: int = MIN_CHARS):
         self.q, kept = q, [(i, c) for i, t in items if len(c := normalised(t or "")) >= max(least, q)]
-        self.ids = np.array([i for i, _ in kept], np.int64)
+        self.ids = [i for i, _ in kept]
         self.codes = [c for _, c in kept]
         self.size = np.array([len(c) for c in self.codes], np.int64)
         # an item so short that k edits could touch all its q-grams gets a smaller budget
@@ -117,7 +117,7 @@ class ItemIndex:
             for distance, start, end in sorted(hits):
                 if all(end <= a or start >= b for a, b in taken):
                     taken.append((start, end))
-                    out.append((int(self.ids[k]), start, end, distance, int(self.size[k])))
+                    out.append((self.ids[k], start, end, distance, int(self.size[k])))
         return out
 
     def _verify(self, codes: np.ndarray, k: int, first: int) -> tuple[int, int, int] | None:

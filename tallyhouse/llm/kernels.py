@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; a longer document is handled alone, whole.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _LOWER_CODES = _BYTE_CODES.copy()
@@ -83,33 +83,43 @@ def slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+def _words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes, ends, document numbers and hashes of the words."""
+    n = len(raw)
+    inside = ~_IS_SPACE[raw]
+    before = np.empty(n, dtype=bool)
+    before[:1] = False
+    before[1:] = inside[:-1]
+    after = np.empty(n, dtype=bool)
+    after[-1:] = False
+    after[:-1] = inside[1:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < n)]
+    before[edges] = False
+    after[edges - 1] = False
+    start = np.flatnonzero(inside & ~before)
+    end = np.flatnonzero(inside & ~after) + 1
+    up, down = _BYTE_POWERS.upto(n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((_LOWER_CODES if lower else _BYTE_CODES)[raw] * up[:n], out=sums[1:])
+    return start, end, np.searchsorted(offsets, start, side="right") - 1, mix((sums[end] - sums[start]) * down[start])
+
+
 class Words:
     """The words of some documents: byte ranges, document numbers and hashes, in order."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
         offsets = offsets - offsets[0]
-        n = len(raw)
         self.raw, self.documents = raw, len(offsets) - 1
-        inside = ~_IS_SPACE[raw]
-        before = np.empty(n, dtype=bool)
-        before[:1] = False
-        before[1:] = inside[:-1]
-        after = np.empty(n, dtype=bool)
-        after[-1:] = False
-        after[:-1] = inside[1:]
-        edges = offsets[1:-1]
-        edges = edges[(edges > 0) & (edges < n)]
-        before[edges] = False
-        after[edges - 1] = False
-        self.start = np.flatnonzero(inside & ~before)
-        self.end = np.flatnonzero(inside & ~after) + 1
-        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
+        # the arrays as long as the text are only made for a part of it at a time
+        parts = [_words_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower) for a, b in slices(offsets)]
+        bounds = list(slices(offsets))
+        self.start, self.end, self.doc, self.hash = (
+            np.concatenate([p[k] + shift[k] if k < 3 else p[k] for p, shift in zip(parts, ((offsets[a], offsets[a], a) for a, _ in bounds), strict=True)]) if parts else np.zeros(0, kind)
+            for k, kind in enumerate((np.int64, np.int64, np.int64, np.uint64))
+        )
         self.count = np.bincount(self.doc, minlength=self.documents).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
-        up, down = _BYTE_POWERS.upto(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((_LOWER_CODES if lower else _BYTE_CODES)[raw] * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of ``n`` words of one document."""

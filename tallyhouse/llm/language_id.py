@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.kernels import slices, text_buffers
 
 BLOCK_CHARS = 256
+#: Bytes of text that step through the automata together.
+PARSE_BYTES = 1_500_000
 SAMPLE_ROWS = 24
 SAMPLE_CHARS = 1000
 ALPHABET = 62
@@ -78,7 +80,7 @@ class Model:
     languages: list[str]
     symbol: np.ndarray  # of every code point below 65,536
     table: np.ndarray  # flat; the next state's row start, or that plus _NEW
-    roots: np.ndarray  # row start of each language's root
+    starts: np.ndarray  # row start of the state in which each language's parse begins
     width: int
 
 
@@ -105,20 +107,21 @@ def fit(samples: dict[str, list[str]]) -> Model:
         if ord(c) < 1 << 16:
             symbol[ord(c)] = i + 2
     width = len(letters) + 2
-    tables, roots, base = [], [], 0
+    tables, starts, base = [], [], 0
     for language in languages:
         sample: list[int] = []
         for text in samples[language]:
             sample += [_SPACE, *_symbols(letter_case_fold(text), symbol).tolist()]
         table = suffix_automaton(sample, width)
         table[:, _OTHER] = -1
-        first = np.where(table[0] >= 0, table[0], 0)
-        steps = np.where(table >= 0, table * width + base, 0)
-        failed = np.broadcast_to(first * width + base + _NEW, table.shape)
-        tables.append(np.where(table >= 0, steps, failed).astype(np.int32).ravel())
-        roots.append(base)
+        # one more state, where nothing is matched yet: the start, and after a symbol that the sample lacks
+        between = len(table)
+        table = np.vstack([table, np.full((1, width), -1, np.int32)])
+        anew = np.where(table[0] >= 0, table[0], between) * width + base + _NEW
+        tables.append(np.where(table >= 0, table * width + base, anew[None, :]).astype(np.int32).ravel())
+        starts.append(base + between * width)
         base += table.size
-    return Model(languages, symbol, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32), width)
+    return Model(languages, symbol, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(starts, np.int32), width)
 
 
 def _symbols(codes: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -154,8 +157,8 @@ def phrase_counts(texts: list[np.ndarray], model: Model) -> np.ndarray:
     steps = np.ascontiguousarray(grid.reshape(lanes, BLOCK_CHARS)[order].T).astype(np.int32)
     running = np.searchsorted(-lane_length[order], -np.arange(BLOCK_CHARS), side="left")
     for k in range(n_languages):
-        state = np.full(lanes, model.roots[k], np.int32)
-        phrases = np.ones(lanes, np.int32)
+        state = np.full(lanes, model.starts[k], np.int32)
+        phrases = np.zeros(lanes, np.int32)
         for j in range(BLOCK_CHARS):
             m = running[j]
             if not m:
@@ -174,7 +177,7 @@ def phrase_counts(texts: list[np.ndarray], model: Model) -> np.ndarray:
 def _answers(column: pa.Array, model: Model) -> tuple[list[str], list[float]]:
     raw, offsets = text_buffers(column)
     names, scores = [], []
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, PARSE_BYTES):
         texts = [_symbols(letter_case_fold(str(raw[offsets[i] : offsets[i + 1]], "utf-8")), model.symbol) for i in range(a, b)]
         for text, row in zip(texts, phrase_counts(texts, model), strict=True):
             if not len(row) or not (text != _SPACE).any():

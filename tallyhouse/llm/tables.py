@@ -9,7 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that goes to Python: texts are long, and a batch is held several times over.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def long_rows(spark: SparkSession) -> None:
+    """Tells the session that rows are long; a smaller batch that was set already stays."""
+    now = int(spark.conf.get(_BATCH))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    long_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

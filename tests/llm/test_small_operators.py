@@ -248,7 +248,7 @@ def test_passages_are_found_iff_within_the_budget():
             found = {h[0]: h for h in index.find(codes)}
             plain = "".join(map(chr, codes))
             least = distance_inside(text, plain)
-            budget = int(index.budget[index.ids.tolist().index(i)])
+            budget = int(index.budget[index.ids.index(i)])
             assert (i in found) == (least <= budget), (i, k, least, budget)
             if i in found:
                 assert found[i][3] == least
