@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import decontaminate, language_id, near_duplicates, packing, substring_dedup
-from tallyhouse.llm.tables import read, shared_dir
+from tallyhouse.llm.tables import long_rows, read, shared_dir
 
 #: Words of a passage that goes when it repeats, and of a shingle; percent of shingles near duplicates share.
 PASSAGE_WORDS = 50
@@ -26,6 +26,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     The model learns from labelled rows outside the held-out fold, whatever the document's own label says.
     """
+    long_rows(spark)
     labelled = docs.select("doc_id", "text", "lang").where(~language_id.held_out(F.col("doc_id")))
     model = language_id.train(labelled)
     return language_id.keep_languages(docs, model)
@@ -33,21 +34,25 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays."""
+    long_rows(spark)
     return near_duplicates.one_of_each_group(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds too are cut out of the text."""
+    long_rows(spark)
     return substring_dedup.without_repeated_words(docs, window=PASSAGE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which an item of the benchmark occurs go."""
+    long_rows(spark)
     return decontaminate.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of what is left, with their places in as few sequences as can be found."""
+    long_rows(spark)
     return packing.pack_documents(docs)
 
 
