@@ -252,12 +252,16 @@ def _reaches(percent: int):
 # -- opening groups ---------------------------------------------------------------------------
 
 
+_ROUTED = "gid long, chunk int, doc_id long, member int, asks int, shingles binary"
+
+
 def _set_maker(words: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, w in chunks(batch.column("text"), lower):
                 starts, found = w.shingle_sets(words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), blobs(found, starts)], ["doc_id", "shingles"])
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("gid", "chunk", "doc_id", "member", "asks")), blobs(found, starts)], ["gid", "chunk", "doc_id", "member", "asks", "shingles"])
 
     return run
 
@@ -285,9 +289,8 @@ class _Forest:
 def _opener(percent: int, cells: int = 32_000_000):
     def open_group(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_numpy()
-        member = table.column("member").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
-        owners, asking = np.flatnonzero(member == 1), np.flatnonzero(member == 0)
+        owners, asking = np.flatnonzero(table.column("member").to_numpy()), np.flatnonzero(table.column("asks").to_numpy())
         forest = _Forest()
         # members a few at a time, so that the table of tokens and members stays small
         a = 0
@@ -337,19 +340,21 @@ def _links(docs: DataFrame, signed: DataFrame, distinct: DataFrame, words: int,
     met = dealt.repartition(parts, "bucket").mapInArrow(_meeter(percent), _MET)
     met = met.groupBy("doc_id", "gid").agg(F.first("n").alias("n"), F.sum("hits").alias("hits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
-    shared = grouped.where("crowded").groupBy("gid").agg(F.count("*").alias("many")).where("many > 1").select("gid")
-    own = grouped.join(shared, "gid", "left_semi").select("doc_id", "gid")
-    asked = materialised(met.where(_reaches(percent)).select("doc_id", "gid").unionByName(own))
-    opened = materialised(asked.groupBy("gid").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("chunks")))
-    owners = materialised(grouped.join(opened, "gid").select("doc_id", "gid", "chunks"))
+    shared = grouped.where("crowded").groupBy("gid").agg(F.count("*").alias("asking")).where("asking > 1")
+    asked = materialised(met.where(_reaches(percent)).select("doc_id", "gid"))
+    asking = asked.groupBy("gid").agg(F.count("*").alias("asking")).unionByName(shared)
+    opened = materialised(asking.groupBy("gid").agg(F.ceil(F.sum("asking") / GROUP_QUERIES).cast("int").alias("chunks")))
 
-    wanted = owners.select("doc_id").unionByName(asked.select("doc_id")).distinct()
-    whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    sets = written(whole.mapInArrow(_set_maker(words, lower), "doc_id long, shingles binary"))
-    as_members = owners.join(sets, "doc_id").select("gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", F.lit(1).alias("member"), "shingles")
+    # where each document has to be: members in every chunk of their group (asking in one), queries in one chunk
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    as_queries = asked.join(opened, "gid").join(sets, "doc_id").select("gid", chunk.alias("chunk"), "doc_id", F.lit(0).alias("member"), "shingles")
-    return as_members.unionByName(as_queries).groupBy("gid", "chunk").applyInArrow(_opener(percent), "a long, b long")
+    members = grouped.join(opened, "gid").withColumn("own", chunk)
+    members = members.select("gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", F.lit(1).alias("member"), "own")
+    members = members.withColumn("asks", (F.col("chunk") == F.col("own")).cast("int")).drop("own")
+    queries = asked.join(opened, "gid").select("gid", chunk.alias("chunk"), "doc_id", F.lit(0).alias("member"), F.lit(1).alias("asks"))
+    routed = materialised(members.unionByName(queries))
+    whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(routed, "doc_id")
+    sets = whole.select("gid", "chunk", "doc_id", "member", "asks", "text").mapInArrow(_set_maker(words, lower), _ROUTED)
+    return sets.groupBy("gid", "chunk").applyInArrow(_opener(percent), "a long, b long")
 
 
 def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
