@@ -180,7 +180,7 @@ _MET = "doc_id long, gid long, n int, hits int, lo int, hi int"
 
 
 def _meeter(percent: int, pairs_at_once: int = 1_000_000):
-    """Counts, for the tokens of one part, how often a document meets a group of a lower number."""
+    """Counts, for the tokens of one part, how often a document meets its own group or one of a lower number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[str, list] = {k: [] for k in ("tokens", "repeats", "doc_id", "gid", "n")}
@@ -211,7 +211,8 @@ def _meeter(percent: int, pairs_at_once: int = 1_000_000):
         first_of_token = np.ones(len(token), bool)
         first_of_token[1:] = token[1:] != token[:-1]
         starts = mine[np.maximum.accumulate(np.where(first_of_token, np.arange(len(token)), 0))] if len(token) else mine
-        many = mine - starts  # groups of the same token with a lower number
+        several = np.diff(np.append(row, len(token))) > 1
+        many = mine - starts + several[mine]  # groups of the same token with a lower number, and its own if another member is there
         a = 0
         while a < len(token):
             b = max(a + 1, int(np.searchsorted(np.cumsum(many[a:]), pairs_at_once)) + a)
@@ -322,13 +323,13 @@ def _opener(percent: int, cells: int = 32_000_000):
 
 
 def _groups(distinct: DataFrame) -> DataFrame:
-    """(doc_id, gid, crowded): each document in the group of the key that most documents share."""
+    """(doc_id, gid): each document in the group of the key that most documents share."""
     keyed = distinct.select("doc_id", F.explode("keys").alias("key"))
     crowds = materialised(keyed.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1"))
     counted = keyed.join(crowds, "key", "left").select("doc_id", F.struct(F.coalesce("crowd", F.lit(1)).alias("crowd"), "key").alias("one"))
     best = counted.groupBy("doc_id").agg(F.max("one").alias("best"))
     sub = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("best.crowd") / GROUP_MEMBERS))
-    return materialised(best.select("doc_id", F.xxhash64("best.key", sub).alias("gid"), (F.col("best.crowd") > 1).alias("crowded")))
+    return materialised(best.select("doc_id", F.xxhash64("best.key", sub).alias("gid")))
 
 
 def _links(docs: DataFrame, signed: DataFrame, distinct: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
@@ -340,17 +341,16 @@ def _links(docs: DataFrame, signed: DataFrame, distinct: DataFrame, words: int,
     met = dealt.repartition(parts, "bucket").mapInArrow(_meeter(percent), _MET)
     met = met.groupBy("doc_id", "gid").agg(F.first("n").alias("n"), F.sum("hits").alias("hits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
-    shared = grouped.where("crowded").groupBy("gid").agg(F.count("*").alias("asking")).where("asking > 1")
     asked = materialised(met.where(_reaches(percent)).select("doc_id", "gid"))
-    asking = asked.groupBy("gid").agg(F.count("*").alias("asking")).unionByName(shared)
-    opened = materialised(asking.groupBy("gid").agg(F.ceil(F.sum("asking") / GROUP_QUERIES).cast("int").alias("chunks")))
+    opened = materialised(asked.groupBy("gid").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("chunks")))
 
-    # where each document has to be: members in every chunk of their group (asking in one), queries in one chunk
+    # where each document has to be: members in every chunk of their group (asking in one at most), queries in one chunk
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    members = grouped.join(opened, "gid").withColumn("own", chunk)
+    home = grouped.select("doc_id", "gid")
+    members = home.join(opened, "gid").join(asked.withColumn("asking", F.lit(True)), ["doc_id", "gid"], "left").withColumn("own", F.when(F.col("asking"), chunk))
     members = members.select("gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", F.lit(1).alias("member"), "own")
-    members = members.withColumn("asks", (F.col("chunk") == F.col("own")).cast("int")).drop("own")
-    queries = asked.join(opened, "gid").select("gid", chunk.alias("chunk"), "doc_id", F.lit(0).alias("member"), F.lit(1).alias("asks"))
+    members = members.withColumn("asks", F.coalesce((F.col("chunk") == F.col("own")).cast("int"), F.lit(0))).drop("own")
+    queries = asked.join(home, ["doc_id", "gid"], "left_anti").join(opened, "gid").select("gid", chunk.alias("chunk"), "doc_id", F.lit(0).alias("member"), F.lit(1).alias("asks"))
     routed = materialised(members.unionByName(queries))
     whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(routed, "doc_id")
     sets = whole.select("gid", "chunk", "doc_id", "member", "asks", "text").mapInArrow(_set_maker(words, lower), _ROUTED)
