@@ -246,7 +246,11 @@ def _reaches(percent: int):
 
     n, lo, hi, hits = F.col("n"), F.greatest("lo", F.ceil(F.col("n") * percent / F.lit(100))), F.least("hi", F.floor(F.col("n") * 100 / F.lit(percent))), F.col("hits")
     smaller = (lo <= n) & (hits + suffix(n) >= least(n + lo))
-    larger = (hi >= n) & (hits + suffix(hi) >= least(n + hi))
+    # rounding makes suffix(m) - least(n + m) fall by one here and there; unrounded it grows by percent**2 / (100 * (100 + percent))
+    # a member, so only sizes this near to hi can lie above hi's own
+    near = 100 * (100 + percent) // percent**2
+    first = F.greatest(lo, n.cast("long"), hi - near)
+    larger = F.when(first <= hi, F.exists(F.sequence(first, hi), lambda m: hits + suffix(m) >= least(n + m))).otherwise(F.lit(False))
     return smaller | larger
 
 

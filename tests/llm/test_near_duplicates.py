@@ -5,6 +5,7 @@ import random
 import duckdb
 import pytest
 
+from tallyhouse.llm import near_duplicates
 from tallyhouse.llm.graph import components
 from tallyhouse.llm.near_duplicates import linked_documents, one_of_each_group
 
@@ -74,6 +75,33 @@ def test_matches_brute_force_on_families_of_near_copies(spark):
         assert run(spark, rows, words=n, percent=percent) == brute_force(rows, n, percent)
 
 
+def test_pairs_at_the_exact_threshold_in_different_groups(spark, monkeypatch):
+    # sets of 28, 29 and 30 that share 27: the first two link at 90 % exactly, the third only widens its group's sizes
+    monkeypatch.setattr(near_duplicates, "GROUP_MEMBERS", 2)
+    texts = [" ".join([*(f"{k}own{f}x{i}" for i in range(k)), *(f"s{f}x{i}" for i in range(27))]) for f in range(60) for k in (1, 2, 3)]
+    rows = list(enumerate(texts))
+    assert run(spark, rows, words=1, percent=90) == brute_force(rows, 1, 90)
+    rng = random.Random(9)
+    for percent in (60, 80, 90):
+        texts = []
+        for f in range(60):
+            both = rng.randint(5, 40)
+            most = both * 100 // percent - both  # words of their own that two sets linked at the threshold have together
+            a = rng.randint(0, most)
+            texts += [" ".join([*(f"{k}own{f}x{i}" for i in range(own)), *(f"s{f}x{i}" for i in range(both))]) for k, own in enumerate((a, most - a, most - a + 1, most - a + 2))]
+        rows = list(enumerate(texts))
+        assert run(spark, rows, words=1, percent=percent) == brute_force(rows, 1, percent)
+
+
+def test_bound_holds_for_every_size_in_the_group(spark):
+    for percent in (10, 60, 80, 90, 100):
+        rows = [(n, hits, lo, hi) for n in range(1, 40, 3) for lo in range(-(-n * percent // 100), n + 4) for hi in range(lo, min(n * 100 // percent, n + 12) + 1) for hits in range(1, 7)]
+        frame = spark.createDataFrame(rows, "n int, hits int, lo int, hi int")
+        for r in frame.withColumn("reaches", near_duplicates._reaches(percent)).collect():
+            n, hits = r["n"], r["hits"]
+            assert r["reaches"] == any(hits - 1 + -(-max(n, m) * percent // 100) >= -(-(n + m) * percent // (100 + percent)) for m in range(r["lo"], r["hi"] + 1)), (percent, r)
+
+
 def test_nulls_empty_short_long_and_repeated(spark):
     long_text = " ".join(f"x{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (6, "one"), (7, long_text), (8, long_text + " tail"), (9, "É b c d"), (10, "é b c d")]
