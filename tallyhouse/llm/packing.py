@@ -6,8 +6,9 @@ multiset of lengths that fits one sequence; the program asks for the fewest conf
 cover the histogram.  Multiplicative weights solve it: lengths that lag behind get heavier, and
 an unbounded-knapsack dynamic program prices, for every length, the best configuration with it.
 The solution is rounded down, solved again for what is left, and the last rest is placed best
-fit decreasing, in bulk by length.  Spark then deals the numbered pieces of each length to the
-places that the configurations hold for it.
+fit decreasing, in bulk by length; that goes on with smaller steps until the sequences are within
+``GAP`` of the dual bound, and plain best fit decreasing is kept where it needs fewer.  Spark then
+deals the numbered pieces of each length to the places that the configurations hold for it.
 
 Nulls, empties and ties: a null or empty text is one piece holding just the end token; rows with
 equal ids are kept as documents of their own; pieces of one length are numbered by id and piece.
@@ -16,9 +17,10 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,10 @@ from tallyhouse.llm.tables import partitions, written
 
 SEQUENCE_TOKENS = 2048
 END_TOKEN = 0
+#: Share by which the sequences may exceed the dual bound when the program ends before its last step.
+GAP = 0.005
+#: (step, rounds) of the multiplicative weights, tried in turn.
+STEPS = ((0.5, 60), (0.1, 150), (0.03, 400))
 #: The same splitting rule as the vocabulary's own, with possessive repeats, which are faster.
 _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -128,33 +134,105 @@ def _filling(room: int, lengths: list[int], taken: list[int]) -> list[int]:
     return items
 
 
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = 10, rate: float = 0.5) -> list[tuple[int, dict[int, int]]]:
-    """(how often, {length: copies}) that together hold exactly the histogram."""
-    left = {int(k): int(n) for k, n in histogram.items() if n > 0}
-    chosen: list[tuple[int, dict[int, int]]] = []
-    for _ in range(3):
-        before = sum(left.values())
-        for items, amount in _fractional(left, capacity, rounds, rate):
-            times = min([int(amount), *(left[k] // c for k, c in items.items())])
-            if times > 0:
-                chosen.append((times, items))
-                for k, c in items.items():
-                    left[k] -= times * c
-        left = {k: n for k, n in left.items() if n}
+def configurations(histogram: dict[int, int], capacity: int, gap: float = GAP) -> list[tuple[int, dict[int, int]]]:
+    """(how often, {length: copies}) that together hold exactly the histogram.
+
+    The fewest of best fit decreasing over the whole histogram and of the rounded solutions of the
+    program; steps and rounds grow until the fewest is within ``gap`` of the dual bound, or all
+    ``STEPS`` are done.
+    """
+    demand = {int(k): int(n) for k, n in histogram.items() if n > 0}
+    fewest = _best_fit(dict(demand), capacity)
+    bound = sum(k * n for k, n in demand.items()) / capacity  # lengths as prices
+    solvers = [partial(_fractional, rounds=10, rate=0.5), *(partial(_covering, step=step, rounds=rounds) for step, rounds in STEPS)]
+    for solver in solvers:
+        # the first pass has nearly lengths as prices, which suits histograms that fill sequences completely
+        found, least = _rounded(demand, capacity, solver)
+        bound = max(bound, least)
+        fewest = min(fewest, found, key=_sequences)
+        if _sequences(fewest) <= math.ceil(bound - 1e-6) * (1 + gap):
+            break
+    return fewest
+
+
+def _sequences(chosen: list[tuple[int, dict[int, int]]]) -> int:
+    return sum(times for times, _ in chosen)
+
+
+def _rounded(demand: dict[int, int], capacity: int, solver) -> tuple[list[tuple[int, dict[int, int]]], float]:
+    """The solver's solution in whole numbers, again for what is left, best fit decreasing for the last rest; and its dual bound.
+
+    What a configuration lacks of its length is left out of it; the last rest fills such room first.
+    """
+    left, chosen, bound = dict(demand), [], 0.0
+    for k in range(3):
+        before, carried = sum(left.values()), 0.0
+        solution, least = solver(left, capacity)
+        bound = bound if k else least
+        for items, amount in solution:
+            carried += amount
+            times = int(carried + 1e-6)
+            carried -= times
+            while times > 0 and (items := {i: c for i, n in items.items() if (c := min(n, left[i]))}):
+                full = min(times, min(left[i] // c for i, c in items.items()))
+                chosen.append((full, items))
+                times -= full
+                for i, c in items.items():
+                    left[i] -= full * c
+        left = {i: n for i, n in left.items() if n}
         if sum(left.values()) > 0.75 * before:
             break
-    return chosen + _best_fit(left, capacity)
+    return _best_fit(left, capacity, chosen), bound
 
 
-def _fractional(demand: dict[int, int], capacity: int, rounds: int, rate: float) -> list[tuple[dict[int, int], float]]:
-    """A fractional solution that never exceeds a demand, of configurations without reduced cost only.
+def _covering(demand: dict[int, int], capacity: int, step: float, rounds: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """A fractional solution that covers the demand, and a lower bound on any solution.
 
-    Weights are the dual prices.  A configuration that is worth less than the best one has slack
-    in the dual program, so an optimal solution does not use it: those are left to the next round
-    or to the rest.
+    Every round takes, for each length, the best configuration with it, if worth ``1 - step`` of
+    the best of all; prices fall by up to ``exp(-step)`` for what the round covered.  All
+    configurations taken stay in the solution.  Prices divided by the best worth are feasible in
+    the dual program, so each round gives a bound; the rounds end early when the covered demand
+    agrees with it.
     """
     if not demand:
-        return []
+        return [], 0.0
+    lengths = np.array(sorted(demand), np.int64)
+    size, need = lengths.tolist(), [demand[k] for k in lengths.tolist()]
+    wanted, price = np.array(need, float), lengths / capacity
+    covered, bound = np.zeros(len(size)), 0.0
+    amount: dict[tuple[tuple[int, int], ...], float] = {}
+    for _ in range(rounds):
+        best, taken = _knapsack(lengths, price, capacity)
+        bound = max(bound, float((wanted * price).sum() / best[capacity]))
+        gained, new, steps = [0.0] * len(size), {}, taken.tolist()
+        for k in np.flatnonzero(price + best[capacity - lengths] >= (1 - step) * best[capacity]).tolist():
+            items: dict[int, int] = {k: 1}
+            for i in _filling(capacity - size[k], size, steps):
+                items[i] = items.get(i, 0) + 1
+            key = tuple(sorted((i, min(c, need[i])) for i, c in items.items()))
+            if key not in new:
+                new[key] = share = min(need[i] / c for i, c in key)
+                for i, c in key:
+                    gained[i] += c * share / need[i]
+        most = max(gained)
+        for key, share in new.items():
+            amount[key] = amount.get(key, 0.0) + share / most
+        gain = np.array(gained) / most
+        covered += gain
+        price = price * np.exp(-step * gain)
+        price /= price.max()
+        if (low := covered.min()) > 0 and sum(amount.values()) / low <= bound * (1 + GAP / 4):
+            break
+    # all that can be covered, in the measure in which the least covered length is
+    low = covered[covered > 0].min()
+    solution = [({size[k]: c for k, c in key}, x / low) for key, x in amount.items()]
+    return sorted(solution, key=lambda s: (-s[1], sorted(s[0].items()))), bound
+
+
+def _fractional(demand: dict[int, int], capacity: int, rounds: int, rate: float) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """A solution that never exceeds a demand, with prices that stay near the lengths, so of (almost) full configurations only."""
+    if not demand:
+        return [], 0.0
     lengths = np.array(sorted(demand), np.int64)
     size, need = lengths.tolist(), [demand[k] for k in lengths.tolist()]
     weight = lengths / capacity
@@ -182,13 +260,18 @@ def _fractional(demand: dict[int, int], capacity: int, rounds: int, rate: float)
         weight = weight * np.exp(-rate * 0.01 * (lag - lag.mean()).clip(-4, 4))
     # each configuration is scaled down by the most over-covered of its lengths
     scaled = [({size[k]: c for k, c in key}, x / max(1.0, max(covered[k] for k, _ in key))) for key, x in amount.items()]
-    return sorted(scaled, key=lambda s: (-sum(k * c for k, c in s[0].items()), -s[1], sorted(s[0].items())))
+    scaled.sort(key=lambda s: (-sum(k * c for k, c in s[0].items()), -s[1], sorted(s[0].items())))
+    return scaled, sum(k * n for k, n in demand.items()) / capacity
 
 
-def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Best fit decreasing over the histogram: equal pieces and equal bins move together."""
+def _best_fit(left: dict[int, int], capacity: int, opened: list[tuple[int, dict[int, int]]] = ()) -> list[tuple[int, dict[int, int]]]:
+    """Best fit decreasing over the histogram, into ``opened`` bins too: equal pieces and equal bins move together."""
     bins: dict[int, list[list]] = {}  # room left: [how many, content]
     rooms = np.zeros(capacity + 1, np.int64)
+    for many, content in opened:
+        room = capacity - sum(k * c for k, c in content.items())
+        bins.setdefault(room, []).append([many, content])
+        rooms[room] += many
     for length in sorted(left, reverse=True):
         n = left[length]
         while n:

@@ -87,3 +87,27 @@ def test_configurations_come_near_the_optimum_where_best_fit_does_not():
     histogram = {50: 600, 30: 600, 20: 600}
     plain = sum(t for t, _ in packing._best_fit(dict(histogram), 100))
     assert sum(t for t, _ in packing.configurations(histogram, 100)) <= 601 < plain
+
+
+def test_configurations_where_full_sequences_mislead():
+    # 60 + 25 + 14 = 99 leaves one token free in each of 600; taking full sequences first (25 x 4) needs 835
+    chosen = packing.configurations({60: 600, 25: 600, 14: 600}, 100)
+    assert sum(t for t, _ in chosen) == 600
+    held = {}
+    for times, items in chosen:
+        assert sum(k * c for k, c in items.items()) <= 100
+        for k, c in items.items():
+            held[k] = held.get(k, 0) + times * c
+    assert held == {60: 600, 25: 600, 14: 600}
+
+
+def test_the_program_beats_best_fit_and_full_sequences_alone():
+    # 52 + 31 + 16 = 99 is the only way to have a 52 with both; the bound of prices proves 500
+    rng = np.random.default_rng(5)
+    for histogram in ({52: 500, 31: 500, 16: 500}, {51: 300, 27: 300, 26: 300, 23: 600}, *({int(k): int(n) for k, n in zip(rng.integers(12, 60, 5), rng.integers(50, 900, 5), strict=True)} for _ in range(20))):
+        solution, bound = packing._covering(dict(histogram), 100, 0.01, 2000)
+        used = sum(t for t, _ in packing.configurations(histogram, 100))
+        assert used <= sum(t for t, _ in packing._best_fit(dict(histogram), 100))
+        assert bound - 1e-6 <= used <= bound * 1.005 + 2
+        for k, n in histogram.items():
+            assert sum(items.get(k, 0) * amount for items, amount in solution) >= n * 0.999999
