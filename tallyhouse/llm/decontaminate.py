@@ -146,9 +146,10 @@ class ItemIndex:
             down = np.append(cost[1:], far) + 1
             new = np.minimum(across, down)
             source = np.where(across <= down, origin, np.append(origin[1:], 0))
-            run = np.minimum.accumulate((new - step) * 4096 + step)
-            back = run & 4095
-            cost, origin = (run >> 12) + step, source[back]
+            # the value above, the place below, which is less than 2**32 for any band
+            run = np.minimum.accumulate(((new - step) << 32) + step)
+            back = run & 0xFFFFFFFF
+            cost, origin = (run >> 32) + step, source[back]
             ends = i + low + step
             cost = np.where((ends >= 0) & (ends <= len(codes)), cost, far)
         j = int(cost.argmin())

@@ -255,6 +255,17 @@ def test_passages_are_found_iff_within_the_budget():
     assert index.find(decontaminate.normalised("nothing like it " * 50)) == []
 
 
+def test_edited_copy_of_an_item_with_a_wide_band():
+    rng = random.Random(13)
+    text = "".join(rng.choice("abcdefgh") for _ in range(32_000))
+    index = decontaminate.ItemIndex([(5, text)])
+    budget = int(index.budget[0])
+    # an insertion for nearly every edit of the budget, and a start late in a band's first half: the alignment ends far right in the band
+    page = "z" * 1300 + "".join(text[k * 20 : k * 20 + 20] + "q" for k in range(budget)) + text[budget * 20 :]
+    page = page.removesuffix("q")
+    assert index.find(decontaminate.normalised(page)) == [(5, 1300, len(page), budget - 1, 32_000)]
+
+
 def test_planted_passages_and_clean_documents(spark):
     docs = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
     items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
