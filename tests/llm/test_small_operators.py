@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tallyhouse.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, queries, sharding, url_filter
+from tallyhouse.llm import chat_format, decontaminate, fingerprints, language_id, queries, sharding, url_filter
 
 SF = "/root/testdata/sf0.01"
 
@@ -70,32 +70,6 @@ def test_rotation_runs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a></li></ul></nav>
-<!-- no --><div class="cookie-notice"><p>We use cookies on this site to make it better for all of you</p></div><div class="ad">Buy this now and you will never regret it again</div>
-<article><h1>A &lt;b&gt; &amp; c</h1><p>wor<b>d</b>&nbsp; one&#33;<p>two <script>x("</p>")</script> three<form>Search <input> here</form><table><tr><td>cell</table>
-<aside>Side words that are not of the article at all</aside></article><div id="comments"><p>What a great post this is, thank you so much for it</p></div>
-<footer>&copy; me</footer></body></html>"""
-
-
-def test_extraction_keeps_the_article_only():
-    assert html_extract.main_text(PAGE) == "A <b> & c word one! two three cell"
-    assert html_extract.main_text(PAGE[: PAGE.index(" three")]) == "A <b> & c word one! two"
-    plain = "<div class=menu><a href=x>One</a> <a href=y>Two</a></div><div class=post><p>" + "some words " * 20 + "</p><p>short end</p></div>"
-    assert html_extract.main_text(plain) == ("some words " * 20 + "short end").strip()
-    for odd in (None, "", " ", "<", "<p", "plain " * 30, "<p>" * 3000 + "x", "<![CDATA[x]]>", "<!-- open", "</p></p>", "<script>never closed"):
-        html_extract.main_text(odd)
-
-
-def test_extraction_of_whole_pages(spark):
-    rows = queries.op1_html_extraction(spark, SF).collect()
-    assert len(rows) == 250 and all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
-
-
-def test_the_tree_fits_its_table():
-    tree = html_extract.default_tree()
-    assert all(html_extract.classify(tree, row[:-1]) == row[-1] for row in html_extract.LABELLED)
-
-
 def test_shards_are_near_equal_gapless_and_keep_groups(spark):
     rows = queries.op9_sharding(spark, SF).collect()
     texts = dict(duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall())
