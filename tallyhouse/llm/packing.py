@@ -3,15 +3,22 @@
 Documents are tokenized, cut into pieces only if longer than a sequence, and counted by length.
 The driver sees nothing but that histogram (at most ``capacity`` numbers).  A configuration is a
 multiset of lengths that fits one sequence; the program asks for the fewest configurations that
-cover the histogram.  Multiplicative weights solve it: lengths that lag behind get heavier, and
-an unbounded-knapsack dynamic program prices, for every length, the best configuration with it.
-The solution is rounded down, solved again for what is left, and the last rest is placed best
-fit decreasing, in bulk by length; that goes on with smaller steps until the sequences are within
-``GAP`` of the dual bound, and plain best fit decreasing is kept where it needs fewer.  Spark then
-deals the numbered pieces of each length to the places that the configurations hold for it.
+cover the histogram.  Multiplicative weights solve it: an unbounded-knapsack dynamic program
+prices, for every length, the best configuration with it, and lengths that are covered early
+get cheaper, so those that lag behind get heavier.  Prices over the best configuration's worth
+are feasible in the dual program and bound any packing from below.
+
+The solution is rounded as it is taken: at the best prices a share of what is left goes, in
+whole numbers, to the configurations that are worth nearly as much as the best one, and the
+weights go on following what is left.  Pieces whose counts no such configuration can use any
+more (a fraction of a percent, see ``Packing.residual``) are placed best fit decreasing, first
+into room that is still open.  More rounds and other steps follow while the sequences exceed the
+bound by more than ``GAP``.  Spark then deals the numbered pieces of each length to the places
+that the configurations hold for it.
 
 Nulls, empties and ties: a null or empty text is one piece holding just the end token; rows with
 equal ids are kept as documents of their own; pieces of one length are numbered by id and piece.
+Very long texts are tokenized whole, in the memory of one task.  Further columns are not read.
 An empty table gives no rows.
 """
 
@@ -20,7 +27,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import cache, partial
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +39,11 @@ from tallyhouse.llm.tables import partitions, written
 
 SEQUENCE_TOKENS = 2048
 END_TOKEN = 0
-#: Share by which the sequences may exceed the dual bound when the program ends before its last step.
-GAP = 0.005
-#: (step, rounds) of the multiplicative weights, tried in turn.
-STEPS = ((0.5, 60), (0.1, 150), (0.03, 400))
+#: Share by which the sequences may exceed the dual bound when the program ends before its last trial.
+GAP = 0.0005
+#: Trials, in turn: further rounds of the prices, the share taken of what is left, the step of the weights,
+#: and how far below the best worth a configuration may be.
+TRIALS = ((20, 0.05, 0.1, 0.01), (100, 0.2, 0.1, 0.002), (300, 0.05, 0.05, 0.002))
 #: The same splitting rule as the vocabulary's own, with possessive repeats, which are faster.
 _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -75,7 +84,10 @@ def token_ids(text: str, path: str) -> np.ndarray:
     fast, special = _fast_tokenizer(path)
     if any(s in text for s in special):
         return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-    return np.frombuffer(fast._core_bpe.encode_to_tiktoken_buffer(text, set()), dtype=np.uint32) if text else np.zeros(0, np.uint32)
+    try:
+        return np.frombuffer(fast._core_bpe.encode_to_tiktoken_buffer(text, set()), dtype=np.uint32) if text else np.zeros(0, np.uint32)
+    except ValueError:  # its splitting rule gives up on about a million blanks in a row
+        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def _cutter(path: str, capacity: int):
@@ -134,134 +146,107 @@ def _filling(room: int, lengths: list[int], taken: list[int]) -> list[int]:
     return items
 
 
-def configurations(histogram: dict[int, int], capacity: int, gap: float = GAP) -> list[tuple[int, dict[int, int]]]:
-    """(how often, {length: copies}) that together hold exactly the histogram.
-
-    The fewest of best fit decreasing over the whole histogram and of the rounded solutions of the
-    program; steps and rounds grow until the fewest is within ``gap`` of the dual bound, or all
-    ``STEPS`` are done.
-    """
-    demand = {int(k): int(n) for k, n in histogram.items() if n > 0}
-    fewest = _best_fit(dict(demand), capacity)
-    bound = sum(k * n for k, n in demand.items()) / capacity  # lengths as prices
-    solvers = [partial(_fractional, rounds=10, rate=0.5), *(partial(_covering, step=step, rounds=rounds) for step, rounds in STEPS)]
-    for solver in solvers:
-        # the first pass has nearly lengths as prices, which suits histograms that fill sequences completely
-        found, least = _rounded(demand, capacity, solver)
-        bound = max(bound, least)
-        fewest = min(fewest, found, key=_sequences)
-        if _sequences(fewest) <= math.ceil(bound - 1e-6) * (1 + gap):
-            break
-    return fewest
-
-
-def _sequences(chosen: list[tuple[int, dict[int, int]]]) -> int:
-    return sum(times for times, _ in chosen)
-
-
-def _rounded(demand: dict[int, int], capacity: int, solver) -> tuple[list[tuple[int, dict[int, int]]], float]:
-    """The solver's solution in whole numbers, again for what is left, best fit decreasing for the last rest; and its dual bound.
-
-    What a configuration lacks of its length is left out of it; the last rest fills such room first.
-    """
-    left, chosen, bound = dict(demand), [], 0.0
-    for k in range(3):
-        before, carried = sum(left.values()), 0.0
-        solution, least = solver(left, capacity)
-        bound = bound if k else least
-        for items, amount in solution:
-            carried += amount
-            times = int(carried + 1e-6)
-            carried -= times
-            while times > 0 and (items := {i: c for i, n in items.items() if (c := min(n, left[i]))}):
-                full = min(times, min(left[i] // c for i, c in items.items()))
-                chosen.append((full, items))
-                times -= full
-                for i, c in items.items():
-                    left[i] -= full * c
-        left = {i: n for i, n in left.items() if n}
-        if sum(left.values()) > 0.75 * before:
-            break
-    return _best_fit(left, capacity, chosen), bound
+@dataclass
+class Packing:
+    """Configurations that hold exactly a histogram: (how often, {length: copies}), and how they came about."""
 
+    chosen: list[tuple[int, dict[int, int]]]
+    bound: float  # no packing needs fewer sequences
+    residual: float  # share of the pieces that no configuration of the program holds
 
-def _covering(demand: dict[int, int], capacity: int, step: float, rounds: int) -> tuple[list[tuple[dict[int, int], float]], float]:
-    """A fractional solution that covers the demand, and a lower bound on any solution.
+    @property
+    def sequences(self) -> int:
+        return sum(times for times, _ in self.chosen)
 
-    Every round takes, for each length, the best configuration with it, if worth ``1 - step`` of
-    the best of all; prices fall by up to ``exp(-step)`` for what the round covered.  All
-    configurations taken stay in the solution.  Prices divided by the best worth are feasible in
-    the dual program, so each round gives a bound; the rounds end early when the covered demand
-    agrees with it.
-    """
-    if not demand:
-        return [], 0.0
-    lengths = np.array(sorted(demand), np.int64)
-    size, need = lengths.tolist(), [demand[k] for k in lengths.tolist()]
-    wanted, price = np.array(need, float), lengths / capacity
-    covered, bound = np.zeros(len(size)), 0.0
-    amount: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
-        best, taken = _knapsack(lengths, price, capacity)
-        bound = max(bound, float((wanted * price).sum() / best[capacity]))
-        gained, new, steps = [0.0] * len(size), {}, taken.tolist()
-        for k in np.flatnonzero(price + best[capacity - lengths] >= (1 - step) * best[capacity]).tolist():
-            items: dict[int, int] = {k: 1}
-            for i in _filling(capacity - size[k], size, steps):
-                items[i] = items.get(i, 0) + 1
-            key = tuple(sorted((i, min(c, need[i])) for i, c in items.items()))
-            if key not in new:
-                new[key] = share = min(need[i] / c for i, c in key)
-                for i, c in key:
-                    gained[i] += c * share / need[i]
-        most = max(gained)
-        for key, share in new.items():
-            amount[key] = amount.get(key, 0.0) + share / most
-        gain = np.array(gained) / most
-        covered += gain
-        price = price * np.exp(-step * gain)
-        price /= price.max()
-        if (low := covered.min()) > 0 and sum(amount.values()) / low <= bound * (1 + GAP / 4):
-            break
-    # all that can be covered, in the measure in which the least covered length is
-    low = covered[covered > 0].min()
-    solution = [({size[k]: c for k, c in key}, x / low) for key, x in amount.items()]
-    return sorted(solution, key=lambda s: (-s[1], sorted(s[0].items()))), bound
 
+class _Prices:
+    """The dual half of the program: prices of the lengths by multiplicative weights."""
 
-def _fractional(demand: dict[int, int], capacity: int, rounds: int, rate: float) -> tuple[list[tuple[dict[int, int], float]], float]:
-    """A solution that never exceeds a demand, with prices that stay near the lengths, so of (almost) full configurations only."""
-    if not demand:
-        return [], 0.0
-    lengths = np.array(sorted(demand), np.int64)
-    size, need = lengths.tolist(), [demand[k] for k in lengths.tolist()]
-    weight = lengths / capacity
-    covered = [0.0] * len(size)
-    amount: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
-        best, taken = _knapsack(lengths, weight, capacity)
-        gained = [0.0] * len(size)
-        steps = taken.tolist()
-        for k in range(len(size) - 1, -1, -1):
-            if weight[k] + best[capacity - size[k]] < 0.9995 * best[capacity]:
-                continue
-            items: dict[int, int] = {k: 1}
-            for i in _filling(capacity - size[k], size, steps):
-                items[i] = items.get(i, 0) + 1
-            if any(c > need[i] for i, c in items.items()):
+    def __init__(self, demand: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.lengths = np.array(sorted(demand), np.int64)
+        self.need = np.array([demand[k] for k in self.lengths.tolist()], float)
+        self.now = self.best = self.lengths / capacity
+        self.bound, self.step = 0.0, 0.3
+
+    def improve(self, rounds: int) -> None:
+        for _ in range(rounds):
+            worth, taken = _knapsack(self.lengths, self.now, self.capacity)
+            bound = float((self.need * self.now).sum() / worth[self.capacity])
+            if bound > self.bound:
+                self.bound, self.best = bound, self.now / worth[self.capacity]
+            gained = np.zeros(len(self.lengths))
+            for items in _configurations(self.lengths, self.now, worth, taken, self.capacity, 0.02):
+                share = min(self.need[i] / c for i, c in items.items())
+                for i, c in items.items():
+                    gained[i] += c * share / self.need[i]
+            self.now = self.now * np.exp(-self.step * gained / gained.max())
+            self.now /= self.now.max()
+            self.step *= 0.985
+
+
+def _configurations(lengths: np.ndarray, price: np.ndarray, worth: np.ndarray, taken: np.ndarray, capacity: int, slack: float) -> Iterator[dict[int, int]]:
+    """For every length, long ones first, the best configuration with it, if worth ``1 - slack`` of the best of all."""
+    size, steps = lengths.tolist(), taken.tolist()
+    for k in np.flatnonzero(price + worth[capacity - lengths] >= (1 - slack) * worth[capacity])[::-1].tolist():
+        items = {k: 1}
+        for i in _filling(capacity - size[k], size, steps):
+            items[i] = items.get(i, 0) + 1
+        yield items
+
+
+def _rounded(demand: dict[int, int], capacity: int, prices: np.ndarray, share: float, step: float, slack: float) -> tuple[list[tuple[int, dict[int, int]]], dict[int, int]]:
+    """Configurations in whole numbers that never exceed the demand, and the pieces that none of them holds."""
+    price = dict(zip(sorted(demand), prices.tolist(), strict=True))
+    left, rest = dict(demand), {}
+    chosen: dict[tuple[tuple[int, int], ...], int] = {}
+    while left:
+        lengths = np.array(sorted(left), np.int64)
+        size, now = lengths.tolist(), np.array([price[k] for k in sorted(left)])
+        worth, taken = _knapsack(lengths, now, capacity)
+        before = [left[k] for k in size]
+        after, lacking = list(before), set()
+        for items in _configurations(lengths, now, worth, taken, capacity, slack):
+            times = min(after[i] // c for i, c in items.items())
+            if times < 1:
+                lacking.update(i for i, c in items.items() if c > before[i])
                 continue
-            share = min(need[i] / c for i, c in items.items()) / rounds
-            key = tuple(sorted(items.items()))
-            amount[key] = amount.get(key, 0.0) + share
+            times = max(1, int(times * share))
+            key = tuple(sorted((size[i], c) for i, c in items.items()))
+            chosen[key] = chosen.get(key, 0) + times
             for i, c in items.items():
-                gained[i] += c * share / need[i]
-        covered = [a + b for a, b in zip(covered, gained, strict=True)]
-        lag = np.array(gained)
-        weight = weight * np.exp(-rate * 0.01 * (lag - lag.mean()).clip(-4, 4))
-    # each configuration is scaled down by the most over-covered of its lengths
-    scaled = [({size[k]: c for k, c in key}, x / max(1.0, max(covered[k] for k, _ in key))) for key, x in amount.items()]
-    scaled.sort(key=lambda s: (-sum(k * c for k, c in s[0].items()), -s[1], sorted(s[0].items())))
-    return scaled, sum(k * n for k, n in demand.items()) / capacity
+                after[i] -= times * c
+        if after == before:  # too few are left of these for any configuration worth taking
+            for i in lacking:
+                rest[size[i]] = left.pop(size[i])
+            continue
+        gained = 1 - np.array(after) / np.array(before)
+        for k, factor in zip(size, np.exp(-step * gained / gained.max()).tolist(), strict=True):
+            price[k] *= factor
+        left = {k: n for k, n in zip(size, after, strict=True) if n}
+    return [(times, dict(key)) for key, times in chosen.items()], rest
+
+
+def solve(histogram: dict[int, int], capacity: int, gap: float = GAP) -> Packing:
+    """The fewest sequences of all ``TRIALS``, or of the first ones that come within ``gap`` of the dual bound."""
+    demand = {int(k): int(n) for k, n in sorted(histogram.items()) if n > 0}
+    if not demand:
+        return Packing([], 0.0, 0.0)
+    prices, best = _Prices(demand, capacity), None
+    for rounds, share, step, slack in TRIALS:
+        prices.improve(rounds)
+        chosen, rest = _rounded(demand, capacity, prices.best, share, step, slack)
+        found = Packing(_best_fit(rest, capacity, chosen), prices.bound, sum(rest.values()) / sum(demand.values()))
+        if best is None or found.sequences < best.sequences:
+            best = found
+        if best.sequences <= math.ceil(prices.bound - 1e-6) * (1 + gap):
+            break
+    return Packing(best.chosen, prices.bound, best.residual)
+
+
+def configurations(histogram: dict[int, int], capacity: int, gap: float = GAP) -> list[tuple[int, dict[int, int]]]:
+    """(how often, {length: copies}) that together hold exactly the histogram."""
+    return solve(histogram, capacity, gap).chosen
 
 
 def _best_fit(left: dict[int, int], capacity: int, opened: list[tuple[int, dict[int, int]]] = ()) -> list[tuple[int, dict[int, int]]]:
