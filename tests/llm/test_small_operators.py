@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tallyhouse.llm import chat_format, fingerprints, language_id, queries, sharding, url_filter
+from tallyhouse.llm import chat_format, fingerprints, queries, sharding, url_filter
 
 SF = "/root/testdata/sf0.01"
 
@@ -144,48 +144,6 @@ def test_edited_texts_follow_the_order_of_ids(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
-def test_held_out_languages_are_told(spark):
-    rows = queries.op8_language_id(spark, SF).collect()
-    truth = dict(duckdb.sql(f"select doc_id, lang from '{SF}/documents.parquet'").fetchall())
-    held = [r for r in rows if r["held_out"]]
-    assert {r["doc_id"] for r in held} == {d for d in truth if zlib.crc32(str(d).encode()) % 4 == 2}
-    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.99 * len(held)
-    assert all(0 <= r["score"] <= 1 for r in rows)
-
-
-def brute_phrases(text, sample):
-    phrases, at = 0, 0
-    while at < len(text):
-        end = at + 1
-        while end <= len(text) and text[at:end] in sample:
-            end += 1
-        phrases, at = phrases + 1, max(at + 1, end - 1)
-    return phrases
-
-
-def test_phrases_against_brute_force():
-    rng = random.Random(3)
-    samples = {k: ["".join(rng.choice("abcd ") for _ in range(300))] for k in "xy"}
-    model = language_id.fit(samples)
-    texts = ["".join(rng.choice("abcde ") for _ in range(n)) for n in (1, 7, 100, 255)]
-    symbols = [language_id._symbols(language_id.letter_case_fold(t), model.symbol) for t in texts]
-    found = language_id.phrase_counts(symbols, model)
-    for k, name in enumerate(model.languages):
-        sample = bytes([0, *language_id._symbols(language_id.letter_case_fold(samples[name][0]), model.symbol)])
-        for row, text in zip(found, symbols, strict=True):
-            assert row[k] == brute_phrases(bytes(text), sample)
-
-
-def test_language_of_odd_texts(spark):
-    model = language_id.fit({"a": ["abab abab"], "b": ["cdcd cdcd"]})
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "12 %% \n"), (4, "abab"), (5, "cd" * 20_000), (None, "ABAB"), (6, "𝒳𝒴"), (4, "abab")], "doc_id long, text string")
-    got = [(r["doc_id"], r["lang_pred"]) for r in language_id.predict_language(docs, model).collect()]
-    assert got == [(1, "und"), (2, "und"), (3, "und"), (4, "a"), (5, "b"), (None, "a"), (6, "a"), (4, "a")]
-    assert [r["doc_id"] for r in language_id.keep_languages(docs, model).collect()] == [4, 5, None, 6, 4]
-    nothing = language_id.train(docs.selectExpr("doc_id", "text", "cast(null as string) as lang"))
-    assert {r["lang_pred"] for r in language_id.predict_language(docs, nothing).collect()} == {"und"}
-
-
 @pytest.mark.parametrize("name", ["op3_url_filter", "op4_chat_rotation"])
 def test_sql_twins(spark, name):
     con = duckdb.connect()
