@@ -85,20 +85,63 @@ def test_shards_are_near_equal_gapless_and_keep_groups(spark):
     assert max(sizes.values()) < 1.01 * min(sizes.values())
 
 
+def spread(places, histogram):
+    """bin: bytes in it."""
+    loads, ordered = Counter(), sorted(places)
+    for (size, first, at, copies), after in zip(ordered, [*ordered[1:], None], strict=False):
+        end = after[1] if after and after[0] == size else histogram[size]
+        for i in range(end - first):
+            loads[at + i // copies] += size
+    return loads
+
+
 def test_best_fit_against_plain_search():
     rng = random.Random(6)
-    for _ in range(50):
-        sizes = [rng.randint(1, 60) for _ in range(rng.randint(0, 60))]
-        bins, where = [], [0] * len(sizes)
-        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-            fits = [(room, b) for b, room in enumerate(bins) if room >= sizes[i]]
-            b = min(fits)[1] if fits else len(bins)
-            if not fits:
-                bins.append(100)
-            bins[b] -= sizes[i]
-            where[i] = b
-        assert sharding.best_fit_decreasing(sizes, 100) == where
-    assert sharding.best_fit_decreasing([101], 100) is None and sharding.best_fit_decreasing([60, 60], 100, 1) is None
+    for most in (5, 60, 60, 100):
+        for _ in range(60):
+            sizes = [rng.randint(1, most) for _ in range(rng.randint(0, 90))]
+            bins = []
+            for size in sorted(sizes, reverse=True):
+                fits = [(room, b) for b, room in enumerate(bins) if room >= size]
+                b = min(fits)[1] if fits else len(bins)
+                if not fits:
+                    bins.append(100)
+                bins[b] -= size
+            needed, places = sharding.best_fit_decreasing(Counter(sizes), 100)
+            loads = spread(places, Counter(sizes))
+            assert needed == len(bins) and sorted(loads.values()) == sorted(100 - room for room in bins)
+            few = sharding.best_fit_decreasing(Counter(sizes), 100, len(bins))
+            assert few is not None and (not bins or sharding.best_fit_decreasing(Counter(sizes), 100, len(bins) - 1) is None)
+    assert sharding.best_fit_decreasing({101: 1}, 100) is None and sharding.best_fit_decreasing({60: 2}, 100, 1) is None
+
+
+@pytest.mark.parametrize("entries", [4_000_000, 400])
+def test_capacity_of_any_number_of_small_groups(spark, monkeypatch, entries):
+    monkeypatch.setattr(sharding, "ENTRIES", entries)
+    docs = spark.range(40_000).selectExpr("id as doc_id", "lpad(cast(id as string), 10, '0') as text")
+    rows = sharding.shard_documents(docs, capacity=30).collect()
+    assert Counter(Counter(r["shard"] for r in rows).values()) == {2: 20_000}
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', cast(pow(id % 971, 1.1) as int)) as text", "1 as bytes", "2 as part")
+    rows = sharding.shard_documents(docs, capacity=9000).collect()
+    loads, homes, slots = Counter(), {}, {}
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+        homes.setdefault(r["size"], set()).add(r["shard"])
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert max(loads.values()) <= 9000 and len(loads) <= 1.01 * sum(loads.values()) / 9000 + 1
+    assert all(len(v) == 1 for v in homes.values()) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs, capacity=2000)
+
+
+def test_a_text_that_a_third_of_all_rows_share(spark):
+    docs = spark.range(9000).selectExpr("id as doc_id", "if(id % 3 = 0, 'the same', concat('text ', id, repeat('y', cast(id % 50 as int)))) as text")
+    rows = sharding.shard_documents(docs, shards=2).collect()
+    assert len(rows) == 9000 and len({r["shard"] for r in rows if r["doc_id"] % 3 == 0}) == 1
+    loads = Counter()
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) <= 1.001 * min(loads.values())
 
 
 def test_sharding_odd_rows(spark):
