@@ -24,7 +24,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.rotate_perspectives(read(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
-    return rows.select("conv_id", "participant", "block", "n_turns", "text", spans.alias("mask"))
+    return rows.select("conv_id", "participant", "n_turns", "text", spans.alias("mask"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ ORACLE_SQL = {
     "op3_url_filter": r"""
 WITH u AS (
   SELECT page_id,
-         lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')) AS host,
+         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
   FROM pages),
 r(says, on_host, under) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
@@ -91,24 +91,24 @@ FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.k = 1
 """,
     "op4_chat_rotation": r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         coalesce(CAST(floor(turn / 256.0) AS BIGINT), -1) AS block
+  SELECT row_number() OVER () AS row_id, conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations),
-s AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
+d AS (SELECT *, CASE WHEN conv_id IS NULL THEN 'row ' || row_id ELSE 'conversation ' || conv_id END AS dialogue FROM t),
+s AS (SELECT DISTINCT dialogue, role AS participant FROM d WHERE role <> 'system'),
 p AS (
-  SELECT t.conv_id, s.participant, t.block, t.turn, t.role, t.text, t.role = s.participant AS own,
-         '<|im_start|>' || CASE WHEN t.role = s.participant THEN 'assistant' WHEN t.role = 'system' THEN 'system'
-           ELSE 'user name=' || t.role END || chr(10) AS head,
-         t.text || '<|im_end|>' || chr(10) AS body
-  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+  SELECT d.dialogue, d.conv_id, s.participant, d.turn, d.role, d.text, d.role = s.participant AS own,
+         '<|im_start|>' || CASE WHEN d.role = s.participant THEN 'assistant' WHEN d.role = 'system' THEN 'system'
+           ELSE 'user name=' || d.role END || chr(10) AS head,
+         d.text || '<|im_end|>' || chr(10) AS body
+  FROM d JOIN s ON d.dialogue = s.dialogue),
 w AS (
-  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, block
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY dialogue, participant
     ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto
   FROM p)
-SELECT conv_id, participant, block, count(*) AS n_turns,
+SELECT any_value(conv_id) AS conv_id, participant, count(*) AS n_turns,
        string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
        coalesce(string_agg(CASE WHEN own THEN CAST(CAST(upto AS BIGINT) - length(body) AS VARCHAR) || '-' || CAST(CAST(upto AS BIGINT) AS VARCHAR) END, ','
          ORDER BY turn NULLS FIRST, role, text), '') AS mask
-FROM w GROUP BY conv_id, participant, block
+FROM w GROUP BY dialogue, participant
 """,
 }

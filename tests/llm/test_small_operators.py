@@ -55,14 +55,35 @@ def test_urls_with_odd_forms(spark):
 
 
 def test_rotation_masks_exactly_the_speaker(spark):
-    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hé"), (1, 3, "ann", None), (2, None, None, "x"), (2, 5, "u", "y"), (None, 0, "u", "z"), (3, 0, "system", "alone"), (4, 0, "u", "a"), (4, 0, "u", "a"), (4, 300, "u", "b")]
-    rows = chat_format.rotate_perspectives(spark.createDataFrame([(*t, "q") for t in turns], "conv_id long, turn long, role string, text string, block string")).collect()
-    got = {(r["conv_id"], r["participant"], r["block"]): r for r in rows}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (2, "unknown", -1), (2, "u", -1), (2, "unknown", 0), (2, "u", 0), (None, "u", 0), (4, "u", 0), (4, "u", 1)}
-    ann = got[1, "ann", 0]
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hé"), (1, 3, "ann", None), (2, None, None, "x"), (2, 5, "u", "y"), (None, 0, "u", "z"), (None, 0, "u", "z"), (None, 1, "system", "z"), (3, 0, "system", "alone"), (4, 0, "u", "a"), (4, 0, "u", "a"), (4, 300, "u", "<|im_start|>b")]
+    frame = spark.createDataFrame([(*t, "q", 1) for t in turns], "conv_id long, turn long, role string, text string, block string, start int")
+    rows = chat_format.rotate_perspectives(frame).collect()
+    assert sorted(((r["conv_id"], r["participant"], r["block"]) for r in rows), key=str) == [(1, "ann", 0), (1, "bob", 0), (2, "u", 0), (2, "unknown", 0), (4, "u", 0), (None, "u", 0), (None, "u", 0)]
+    got = {(r["conv_id"], r["participant"]): r for r in rows}
+    ann = got[1, "ann"]
     assert ann["text"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nhé<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert [ann["text"][m["start"] : m["end"]] for m in ann["mask"]] == ["hi<|im_end|>\n", "<|im_end|>\n"]
-    assert got[4, "u", 0]["n_turns"] == 2
+    u = got[4, "u"]
+    assert u["n_turns"] == 3 and [u["text"][m["start"] : m["end"]] for m in u["mask"]] == ["a<|im_end|>\n", "a<|im_end|>\n", "<|im_start|>b<|im_end|>\n"]
+    assert got[None, "u"]["text"] == "<|im_start|>assistant\nz<|im_end|>\n" and got[None, "u"]["mask"][0]["start"] == 22
+    assert chat_format.rotate_perspectives(frame.where("false")).collect() == []
+
+
+def test_rotation_of_a_thousand_turns(spark):
+    rng = random.Random(5)
+    turns = [(7, 0, "system", "rules")] + [(7, k, rng.choice(["ann", "bob", "é"]), f"text {k} " + "x" * rng.randint(0, 30)) for k in range(1, 1001)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = chat_format.rotate_perspectives(frame).collect()
+    assert len(rows) == 3 and all(r["n_turns"] == 1001 for r in rows)
+    for r in rows:
+        assert [r["text"][m["start"] : m["end"]] for m in r["mask"]] == [t + chat_format.END for _, _, role, t in turns if role == r["participant"]]
+        said = ["system" if k == "system" else "assistant" if k == r["participant"] else f"user name={k}" for _, _, k, _ in turns]
+        assert r["text"] == "".join(f"<|im_start|>{s}\n{t}<|im_end|>\n" for s, (_, _, _, t) in zip(said, turns, strict=True))
+    blocks = chat_format.rotate_perspectives(frame, turns_per_block=300).collect()
+    assert {r["block"] for r in blocks} == {0, 1, 2, 3} and all(r["text"].startswith("<|im_start|>system\nrules") for r in blocks)
+    assert sum(len(r["mask"]) for r in blocks) == 1000 and all(r["n_turns"] == (101 if r["block"] == 3 else 301) for r in blocks)
+    for r in blocks:
+        assert [r["text"][m["start"] : m["end"]] for m in r["mask"]] == [t + chat_format.END for _, k, role, t in turns if role == r["participant"] and k and (k - 1) // 300 == r["block"]]
 
 
 def test_rotation_runs_no_python(spark):
