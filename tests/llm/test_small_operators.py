@@ -8,26 +8,38 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhouse.llm import chat_format, fingerprints, queries, sharding, url_filter
 
 SF = "/root/testdata/sf0.01"
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+@pytest.mark.parametrize("segment_bytes, limit", [(1 << 23, 1 << 26), (100, 1 << 26), (100, 300)])
+def test_cascade_is_exact_over_its_universe(spark, segment_bytes, limit):
     rng = random.Random(4)
     names = [f"k{i}" for i in range(5000)] + [""]
     listed = {x for x in names if rng.random() < 0.1}
-    keys = spark.createDataFrame([(x, x in listed) for x in names], "key string, listed boolean")
-    for limit in (1 << 30, 2000):
-        cascade = url_filter.build_cascade(keys, bits_limit=limit)
-        from pyspark.sql import functions as F
-
-        found = keys.select("key", cascade.contains(F.col("key"), spark, limit=1 << 20 if limit > 10**6 else 300).alias("in")).collect()
-        assert {r["key"] for r in found if r["in"]} == listed
-        assert (len(cascade.segments) > 1) == (limit == 2000)
+    keys = spark.createDataFrame([(x, x in listed) for x in names] + [(None, False), ("k1", False), ("k2", None)], "key string, listed boolean")
+    cascade = url_filter.build_cascade(keys, segment_bytes, limit=limit)
+    found = cascade.mark(keys.select("key", F.lit(5).alias("segment")).where("key is not null"), "key", "found", limit).collect()
+    assert len(found) == len(names) + 2 and {r["key"] for r in found if r["found"]} == listed
+    assert (cascade.segments > 1) == (segment_bytes == 100) and (len(list(cascade._rounds(limit))) > 1) == (limit == 300)
     nothing = url_filter.build_cascade(keys.where("false"))
-    assert nothing.size_bytes == 0
+    assert nothing.size_bytes == 0 and nothing.mark(keys, "key", "found").where("found").isEmpty()
+    everything = url_filter.build_cascade(keys.withColumn("listed", F.lit(True)))
+    assert everything.mark(keys.where("key <> ''"), "key", "found").where("not found").isEmpty()
+
+
+def test_a_table_of_listed_hosts(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    hosts = [r[0] for r in pages.select(url_filter.url_host(F.col("url"))).distinct().collect()]
+    rng = random.Random(1)
+    chosen = set(rng.sample(hosts, len(hosts) // 3))
+    listed = spark.createDataFrame([(h,) for h in chosen] + [(f"elsewhere{k}.org",) for k in range(3000)] + [(next(iter(chosen)),)], "key string")
+    got = url_filter.judge_urls(pages, listed).collect()
+    assert len(got) == pages.count() and all(r["listed"] == (r["host"] in chosen) for r in got)
+    assert all(r["verdict"] == ("block" if r["listed"] else "allow") for r in got if r["rule"] is None)
 
 
 def test_urls_with_odd_forms(spark):
@@ -44,6 +56,7 @@ def test_urls_with_odd_forms(spark):
         (10, "http://x.org/fr/\n", "x.org", "/fr/\n", "org/fr/", "allow"),
         (11, "http://cheap-pills.example.com/", "cheap-pills.example.com", "/", None, "block"),
         (11, "http://ÄB.org/", "Äb.org", "/", None, "allow"),
+        (12, "http://long.org/fr/" + "x" * 100_000, "long.org", "/fr/" + "x" * 100_000, "org/fr/", "allow"),
     ]
     pages = spark.createDataFrame([(r[0], r[1], "h") for r in rows], "page_id long, url string, host string")
     got = url_filter.judge_urls(pages).collect()
