@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept; each
 result is written as Parquet and read again as the next stage's ``docs``.  All stages but the
 last return the columns of ``documents``.
+
+Nulls, empties and ties: null and empty texts have no letters and go in the first stage; rows
+with a null id are never a near duplicate of another and stay; of equal texts the least id stays;
+rows that share an id and a text are judged alike; an empty table goes through all stages and
+gives no rows; further columns of ``documents``, of whatever name, pass through unchanged.  Very
+long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ SIMILAR_PERCENT = 80
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no letters at all) go.
+    """Documents that are in none of the learned languages go: foreign texts, letter junk, texts without letters.
 
     The model learns from labelled rows outside the held-out fold, whatever the document's own label says.
     """
