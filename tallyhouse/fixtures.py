@@ -79,6 +79,7 @@ select event_id, user_id, event_type, {_ns('t')} as namespace, {d.from_us(f"{T0_
         "counters": "select event_id, user_id, event_type, namespace, ts, cast(sum(cents) over (partition by user_id, event_type, run order by ts, event_id rows unbounded preceding) as double) as value from {counter_runs}",
         "gpu_samples": f"select {T0} as tick_ts, {_ns('t')} as namespace, cast(user_id % 8 as string) as gpu, user_id as uuid, event_type, event_id, least(value, cast(100 as double)) as value from (select *, user_id % {_N} as t from {{events}}) e where event_type in ('view', 'click')",
         "reconciles": f"select distinct cast(date_trunc('day', ts) as timestamp) as tick_ts, 'id-' || cast(user_id as string) as external_id from {{events}}",
+        "reconcile_times": "select tick_ts from {reconciles} union select tick_ts + interval 12 hours from {reconciles} where extract(day from tick_ts) % 4 = 0",
         "usage_rows": f"""
 select event_id, 'id-' || cast(user_id as string) as subscription, '{WORD}_' || case event_type when 'click' then 'cpu_core_hours' when 'view' then 'memory_gb_hours' when 'purchase' then 'gpu_hours' when 'signup' then 'network_egress_gb' else 'lb_hours' end as code,
   case event_type when 'click' then 'cpu_core_hours' when 'view' then 'memory_gb_hours' when 'purchase' then 'gpu_hours' when 'signup' then 'egress_gb' else 'lb_hours' end as field,

@@ -6,47 +6,66 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def new_tenants(known: DataFrame, alive: DataFrame, key: str = "external_id") -> DataFrame:
-    return alive.join(known.select(key), key, "left_anti")
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
-def removed_tenants(known: DataFrame, alive: DataFrame, key: str = "external_id") -> DataFrame:
-    return known.join(alive.select(key), key, "left_anti")
+def new_tenants(known: DataFrame, alive: DataFrame, key: str | list[str] = "external_id") -> DataFrame:
+    return alive.join(known.select(*_keys(key)), _keys(key), "left_anti")
 
 
-def retained_tenants(known: DataFrame, alive: DataFrame, key: str = "external_id") -> DataFrame:
-    return alive.join(known.select(key), key, "left_semi")
+def removed_tenants(known: DataFrame, alive: DataFrame, key: str | list[str] = "external_id") -> DataFrame:
+    return known.join(alive.select(*_keys(key)), _keys(key), "left_anti")
 
 
-def tenant_set_diff(known: DataFrame, alive: DataFrame, key: str = "external_id") -> DataFrame:
+def retained_tenants(known: DataFrame, alive: DataFrame, key: str | list[str] = "external_id") -> DataFrame:
+    return alive.join(known.select(*_keys(key)), _keys(key), "left_semi")
+
+
+def tenant_set_diff(known: DataFrame, alive: DataFrame, key: str | list[str] = "external_id") -> DataFrame:
     """Every id of both sides with its state: new, removed or retained; one full join."""
-    a = known.select(key).distinct().withColumn("was", F.lit(True))
-    b = alive.select(key).distinct().withColumn("is", F.lit(True))
-    return a.join(b, key, "full_outer").select(key, F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "removed").otherwise("retained").alias("state"))
+    keys = _keys(key)
+    a = known.select(*keys).distinct().withColumn("was", F.lit(True))
+    b = alive.select(*keys).distinct().withColumn("is", F.lit(True))
+    return a.join(b, keys, "full_outer").select(*keys, F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "removed").otherwise("retained").alias("state"))
 
 
-def _sequenced(snapshots: DataFrame) -> DataFrame:
-    """Snapshots with a dense number for each reconcile."""
-    ticks = snapshots.select("tick_ts").distinct()
+def _numbered(snapshots: DataFrame, reconciles: DataFrame | None) -> DataFrame:
+    """(tick_ts, seq, next_ts) of every reconcile: those of the list, and those that found somebody."""
+    ticks = snapshots.select("tick_ts")
+    if reconciles is not None:
+        ticks = ticks.unionByName(reconciles.select("tick_ts"))
     order = Window.orderBy("tick_ts")
     # one row for each reconcile: small whatever the number of tenants
-    numbered = ticks.select("tick_ts", F.row_number().over(order).alias("seq"), F.lead("tick_ts").over(order).alias("next_ts"))
-    return snapshots.select("external_id", "tick_ts").distinct().join(numbered, "tick_ts")
+    return ticks.distinct().select("tick_ts", F.row_number().over(order).alias("seq"), F.lead("tick_ts").over(order).alias("next_ts"))
+
+
+def consecutive_sets(snapshots: DataFrame, reconciles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(known, alive) for the set differences of all reconciles at once, by tick_ts and external_id.
+
+    ``known`` holds, at each reconcile, the tenants of the one before it.
+    """
+    alive = snapshots.select("tick_ts", "external_id").distinct()
+    numbered = _numbered(snapshots, reconciles).where("next_ts is not null")
+    return alive.join(numbered, "tick_ts").select(F.col("next_ts").alias("tick_ts"), "external_id"), alive
 
 
-def subscription_intervals(snapshots: DataFrame) -> DataFrame:
+def subscription_intervals(snapshots: DataFrame, reconciles: DataFrame | None = None) -> DataFrame:
     """Presence in consecutive reconciles to [start_ts, end_ts); a return opens a new interval.
 
-    ``end_ts`` is the first reconcile without the tenant, null while it is still there.
+    ``end_ts`` is the first reconcile without the tenant, null while it is still there.  A
+    reconcile that found nobody has no row in ``snapshots(tick_ts, external_id)`` and ends every
+    interval; so that it is known, give the times of all reconciles as ``reconciles(tick_ts)``.
     """
     order = Window.partitionBy("external_id").orderBy("seq")
-    islands = _sequenced(snapshots).withColumn("island", F.col("seq") - F.row_number().over(order))
+    present = snapshots.select("external_id", "tick_ts").distinct().join(_numbered(snapshots, reconciles), "tick_ts")
+    islands = present.withColumn("island", F.col("seq") - F.row_number().over(order))
     return islands.groupBy("external_id", "island").agg(F.min("tick_ts").alias("start_ts"), F.max_by("next_ts", "seq").alias("end_ts"), F.count("*").alias("reconciles")).drop("island")
 
 
-def lifecycle_events(snapshots: DataFrame) -> DataFrame:
+def lifecycle_events(snapshots: DataFrame, reconciles: DataFrame | None = None) -> DataFrame:
     """A ``created`` and, once it is gone, a ``terminated`` row for each interval."""
-    spans = subscription_intervals(snapshots)
+    spans = subscription_intervals(snapshots, reconciles)
     both = F.array(F.struct(F.lit("created").alias("event"), F.col("start_ts").alias("tick_ts")), F.struct(F.lit("terminated").alias("event"), F.col("end_ts").alias("tick_ts")))
     return spans.select("external_id", F.explode(both).alias("e")).select("external_id", "e.event", "e.tick_ts").where("tick_ts is not null")
 
@@ -60,10 +79,13 @@ def asof_reconcile(ticks: DataFrame, reconciles: DataFrame) -> DataFrame:
     return marks.withColumn("reconcile_ts", F.last("reconcile", ignorenulls=True).over(upto)).where("is_tick and reconcile_ts is not null").select("tick_ts", "reconcile_ts")
 
 
-def asof_tenant_set(ticks: DataFrame, reconciles: DataFrame) -> DataFrame:
-    """The tenants known at each collection tick: those of the latest reconcile; an equality join on the found time."""
-    found = asof_reconcile(ticks, reconciles)
-    return found.join(reconciles.withColumnRenamed("tick_ts", "reconcile_ts"), "reconcile_ts")
+def asof_tenant_set(ticks: DataFrame, snapshots: DataFrame, reconciles: DataFrame | None = None) -> DataFrame:
+    """The tenants known at each collection tick: those of the latest reconcile; an equality join on the found time.
+
+    After a reconcile that found nobody (see :func:`subscription_intervals`) nobody is known.
+    """
+    found = asof_reconcile(ticks, _numbered(snapshots, reconciles))
+    return found.join(snapshots.withColumnRenamed("tick_ts", "reconcile_ts"), "reconcile_ts")
 
 
 def usage_within_subscription(usage: DataFrame, intervals: DataFrame) -> DataFrame:

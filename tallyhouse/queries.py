@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.fixtures import Inputs, oracle
 from tallyhouse.functions import scalars as S
+from tallyhouse.functions import settings
 from tallyhouse.operators import collect, convert, counters, discovery, lifecycle, rating, report
 from tallyhouse.plans import metering
 from tallyhouse.sources import catalog, readers, sinks
@@ -201,11 +202,13 @@ def _(i):
     return collect.lb_count(i["services"]).drop("tick_ts")
 
 
-_NODES = f"node_facts as (select node_name, coalesce({_TYPE}, 'unknown') as gpu_type, {_SPOT} as spot from {{node_rows}} where k % 13 <> 0)"
+_NODES = f"node_facts as (select case when k % 13 = 0 then 'gone-' else '' end || node_name as node_name, coalesce({_TYPE}, 'unknown') as gpu_type, {_SPOT} as spot from {{node_rows}})"
 
 
 def _known_nodes(i: Inputs) -> DataFrame:
-    return i.nodes().where(F.substring("node_name", 6, 9).cast("int") % 13 != 0)
+    """All nodes; some have a name that no pod names."""
+    gone = F.substring("node_name", 6, 9).cast("int") % 13 == 0
+    return i.nodes().withColumn("node_name", F.concat(F.when(gone, "gone-").otherwise(""), "node_name"))
 
 
 @query("attach_gpu_type", f"with {_PODS}, {_NODES} select namespace, pod, phase, coalesce(gpu_type, 'unknown') as gpu_type from pod_rows left join node_facts using (node_name)")
@@ -284,14 +287,16 @@ def _(i):
 
 @query(
     "gpu_memory_join",
-    """with s as (select namespace, gpu, uuid, max(value) filter (where event_type = 'view') as used, max(value) filter (where event_type = 'click') as free from {gpu_samples} where event_id % 2 = 0 group by all),
+    """with s as (select namespace, gpu, uuid, max(value) filter (where event_type = 'view') as used, max(value) filter (where event_type = 'click') as free from (select * replace (case when uuid % 5 = 0 then 'other-' else '' end || namespace as namespace) from {gpu_samples}) g group by all),
  u as (select namespace, gpu, arg_min(used, uuid) as memory_used from s where used is not null group by all),
  t as (select namespace, gpu, arg_min(used + free, uuid) as memory_total from s where used is not null and free is not null group by all)
  select event_id, coalesce(memory_used, 0) as memory_used, coalesce(memory_total, 0) as memory_total from {gpu_samples} left join u using (namespace, gpu) left join t using (namespace, gpu) where event_type = 'view'""",
 )
 def _(i):
     def side(kind):
-        return _max_series(i.prom((kind,)).where("event_id % 2 = 0"))
+        rows = _max_series(i.prom((kind,)))
+        elsewhere = F.when(F.col("labels.UUID").cast("bigint") % 5 == 0, "other-").otherwise("")
+        return rows.withColumn("labels", F.create_map(F.lit("namespace"), F.concat(elsewhere, "labels.namespace"), F.lit("gpu"), F.col("labels.gpu"), F.lit("UUID"), F.col("labels.UUID")))
 
     return collect.gpu_memory_join(i.prom(("view",)), side("view"), side("click")).select("event_id", "memory_used", "memory_total")
 
@@ -382,9 +387,57 @@ def _(i):
     return convert.billable_only(back).select("event_id", "metric")
 
 
-@query("event_batches")
+_SENT = "select code, cast(count(*) as bigint) as events, cast(count(distinct transaction_id) as bigint) as transactions, cast(sum(timestamp) as bigint) as seconds, cast(sum(length(properties)) as bigint) as chars from {usage_events} group by code"
+
+
+def _counts(events: DataFrame) -> DataFrame:
+    return events.groupBy("code").agg(
+        F.count("*").alias("events"), F.countDistinct("transaction_id").alias("transactions"), F.sum("timestamp").alias("seconds"), F.sum(F.length("properties")).cast("bigint").alias("chars")
+    )
+
+
+_PAYLOAD = "events array<struct<transaction_id:string,external_subscription_id:string,code:string,timestamp:bigint,properties:string>>"
+
+
+def _from_payloads(payloads: DataFrame) -> DataFrame:
+    """The events of payloads, each of which must hold its count and no more than a batch."""
+    held = payloads.select(F.when(F.col("n_events").between(1, settings.EVENT_BATCH), F.from_json("payload", _PAYLOAD)["events"]).alias("e"), "n_events")
+    return held.where(F.size("e") == F.col("n_events")).select(F.inline("e"))
+
+
+@query("event_batches", _SENT)
+def _(i):
+    return _counts(_from_payloads(sinks.event_batches(i["usage_events"])))
+
+
+@query("write_events", _SENT)
+def _(i):
+    path = f"{run.shared_folder(i.spark)}/events"
+    events = i["usage_events"]
+    sinks.write_events(events, path)
+    return _counts(i.spark.read.schema(events.schema).parquet(path))
+
+
+@query("write_report", "select external_id, amount_cents from {spend}")
 def _(i):
-    return sinks.event_batches(i["usage_events"].repartition(8, "transaction_id")).select("n_events", F.length("payload").alias("chars"))
+    path = f"{run.shared_folder(i.spark)}/report"
+    sinks.write_report(i["spend"], path, "json")
+    return i.spark.read.schema(i["spend"].schema).json(path)
+
+
+@query("read_inventory", "select namespace, name, phase, storage_bytes from {pvcs}")
+def _(i):
+    path = f"{run.shared_folder(i.spark)}/pvcs"
+    i["pvcs"].withColumn("later_column", F.lit(1)).write.parquet(path)
+    return readers.read_inventory(i.spark, path, "pvcs").select("namespace", "name", "phase", "storage_bytes")
+
+
+@query("read_resource_usage", "select namespace, pod, cast(count(*) as bigint) as samples, cast(sum(cpu_milli) as bigint) as cpu_milli, cast(sum(memory_bytes) as bigint) as memory_bytes from {container_now} group by namespace, pod")
+def _(i):
+    path = f"{run.shared_folder(i.spark)}/usage"
+    i["container_now"].write.parquet(path)
+    rows = readers.read_resource_usage(i.spark, path)
+    return rows.groupBy("namespace", "pod").agg(F.count("*").alias("samples"), F.sum("cpu_milli").alias("cpu_milli"), F.sum("memory_bytes").alias("memory_bytes"))
 
 
 # -- rating -----------------------------------------------------------------------------------
@@ -492,9 +545,9 @@ def _(i):
 _PRIMARY = "prim as (select external_customer_id, min(external_id) as sub from {subscriptions} where status = 'active' group by 1)"
 
 
-@query("customer_usage", f"with {_PRIMARY} select c.external_id, p.sub as subscription_id, case when p.sub is null then 'pending' else 'active' end as status, s.cents as amount_cents from {{customers}} c left join prim p on c.external_id = p.external_customer_id left join (select o_orderkey as k, cast(round(o_totalprice) as bigint) as cents from {{orders}} where o_orderkey % 3 <> 0) s on s.k = p.sub")
+@query("customer_usage", f"with {_PRIMARY} select c.external_id, p.sub as subscription_id, case when p.sub is null then 'pending' else 'active' end as status, s.cents as amount_cents from {{customers}} c left join prim p on c.external_id = p.external_customer_id left join (select case when o_orderkey % 3 = 0 then -o_orderkey else o_orderkey end as k, cast(round(o_totalprice) as bigint) as cents from {{orders}}) s on s.k = p.sub")
 def _(i):
-    spend = i["orders"].where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("external_subscription_id"), F.round("o_totalprice").cast("bigint").alias("amount_cents"))
+    spend = i["orders"].select(F.when(F.col("o_orderkey") % 3 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("external_subscription_id"), F.round("o_totalprice").cast("bigint").alias("amount_cents"))
     return report.customer_usage(i["customers"], i["subscriptions"], spend).select("external_id", "subscription_id", "status", "amount_cents")
 
 
@@ -531,62 +584,64 @@ def _(i):
 # -- lifecycle --------------------------------------------------------------------------------
 
 
-def _alive(i: Inputs, day: int) -> DataFrame:
-    return i["reconciles"].where(F.unix_timestamp("tick_ts") == 1704067200 + day * 86400).select("external_id")
+#: Reconciles with tenants are at midnight; every fourth day one at noon finds nobody.
+_SEQS = "seqs as (select tick_ts, row_number() over (order by tick_ts) as seq, lead(tick_ts) over (order by tick_ts) as next_ts from {reconcile_times} t)"
+_SETS = f"{_SEQS}, a as (select epoch(next_ts)::bigint as tick_ts, external_id from {{reconciles}} join seqs using (tick_ts) where next_ts is not null), b as (select epoch(tick_ts)::bigint as tick_ts, external_id from {{reconciles}})"
+_PAIR = ["tick_ts", "external_id"]
 
 
-_DAYS = "a as (select external_id from {reconciles} where epoch(tick_ts) = 1704153600), b as (select external_id from {reconciles} where epoch(tick_ts) = 1704240000)"
+def _sets(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    return tuple(side.withColumns(_unix("tick_ts")) for side in lifecycle.consecutive_sets(i["reconciles"], i["reconcile_times"]))
 
 
-@query("new_tenants", f"with {_DAYS} select external_id from b except select external_id from a")
+@query("new_tenants", f"with {_SETS} select * from b except select * from a")
 def _(i):
-    return lifecycle.new_tenants(_alive(i, 1), _alive(i, 2))
+    return lifecycle.new_tenants(*_sets(i), _PAIR)
 
 
-@query("removed_tenants", f"with {_DAYS} select external_id from a except select external_id from b")
+@query("removed_tenants", f"with {_SETS} select * from a except select * from b")
 def _(i):
-    return lifecycle.removed_tenants(_alive(i, 1), _alive(i, 2))
+    return lifecycle.removed_tenants(*_sets(i), _PAIR)
 
 
-@query("retained_tenants", f"with {_DAYS} select external_id from a intersect select external_id from b")
+@query("retained_tenants", f"with {_SETS} select * from a intersect select * from b")
 def _(i):
-    return lifecycle.retained_tenants(_alive(i, 1), _alive(i, 2))
+    return lifecycle.retained_tenants(*_sets(i), _PAIR)
 
 
-@query("tenant_set_diff", f"with {_DAYS} select coalesce(a.external_id, b.external_id) as external_id, case when a.external_id is null then 'new' when b.external_id is null then 'removed' else 'retained' end as state from a full join b on a.external_id = b.external_id")
+@query("tenant_set_diff", f"with {_SETS} select coalesce(a.tick_ts, b.tick_ts) as tick_ts, coalesce(a.external_id, b.external_id) as external_id, case when a.external_id is null then 'new' when b.external_id is null then 'removed' else 'retained' end as state from a full join b on a.external_id = b.external_id and a.tick_ts = b.tick_ts")
 def _(i):
-    return lifecycle.tenant_set_diff(_alive(i, 1), _alive(i, 2))
+    return lifecycle.tenant_set_diff(*_sets(i), _PAIR)
 
 
-_SPANS = """seqs as (select tick_ts, row_number() over (order by tick_ts) as seq, lead(tick_ts) over (order by tick_ts) as next_ts from (select distinct tick_ts from {reconciles}) t),
-spans as (select external_id, min(tick_ts) as start_ts, max(seq) as last_seq, count(*) as n from (select r.external_id, s.*, s.seq - row_number() over (partition by r.external_id order by s.seq) as island from {reconciles} r join seqs s using (tick_ts)) x group by external_id, island)"""
+_SPANS = f"""{_SEQS},
+spans as (select external_id, min(tick_ts) as start_ts, max(seq) as last_seq, count(*) as n from (select r.external_id, s.*, s.seq - row_number() over (partition by r.external_id order by s.seq) as island from {{reconciles}} r join seqs s using (tick_ts)) x group by external_id, island)"""
 _SPANS += ", closed as (select p.external_id, p.start_ts, s.next_ts as end_ts, p.n from spans p join seqs s on s.seq = p.last_seq)"
 
 
 @query("subscription_intervals", f"with {_SPANS} select external_id, cast(epoch(start_ts) as bigint) as start_ts, cast(epoch(end_ts) as bigint) as end_ts, cast(n as bigint) as reconciles from closed")
 def _(i):
-    return lifecycle.subscription_intervals(i["reconciles"]).withColumns(_unix("start_ts", "end_ts"))
+    return lifecycle.subscription_intervals(i["reconciles"], i["reconcile_times"]).withColumns(_unix("start_ts", "end_ts"))
 
 
 @query("lifecycle_events", f"with {_SPANS} select external_id, 'created' as event, cast(epoch(start_ts) as bigint) as tick_ts from closed union all select external_id, 'terminated', cast(epoch(end_ts) as bigint) from closed where end_ts is not null")
 def _(i):
-    return lifecycle.lifecycle_events(i["reconciles"]).withColumns(_unix("tick_ts"))
+    return lifecycle.lifecycle_events(i["reconciles"], i["reconcile_times"]).withColumns(_unix("tick_ts"))
 
 
 _TICKS = "ticks as (select distinct date_trunc('hour', ts) as tick_ts from {events})"
 
 
-@query("asof_tenant_set", f"with {_TICKS}, rec as (select * from {{reconciles}} where extract(day from tick_ts) % 3 = 1), found as (select t.tick_ts, max(r.tick_ts) as r from ticks t join (select distinct tick_ts from rec) r on r.tick_ts <= t.tick_ts group by t.tick_ts) select cast(epoch(f.tick_ts) as bigint) as tick_ts, rec.external_id from found f join rec on rec.tick_ts = f.r")
+@query("asof_tenant_set", f"with {_TICKS}, found as (select t.tick_ts, max(r.tick_ts) as r from ticks t join {{reconcile_times}} r on r.tick_ts <= t.tick_ts group by t.tick_ts) select cast(epoch(f.tick_ts) as bigint) as tick_ts, rec.external_id from found f join {{reconciles}} rec on rec.tick_ts = f.r")
 def _(i):
     ticks = i["events"].select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("tick_ts"))
-    some = i["reconciles"].where(F.dayofmonth("tick_ts") % 3 == 1)
-    return lifecycle.asof_tenant_set(ticks, some).select(F.unix_timestamp("tick_ts").alias("tick_ts"), "external_id")
+    return lifecycle.asof_tenant_set(ticks, i["reconciles"], i["reconcile_times"]).select(F.unix_timestamp("tick_ts").alias("tick_ts"), "external_id")
 
 
 @query("usage_within_subscription", f"with {_SPANS} select event_id, u.external_id from (select event_id, 'id-' || cast((user_id + 1) % 150 as string) as external_id, ts from {{events}}) u join closed c on u.external_id = c.external_id and u.ts >= c.start_ts and (c.end_ts is null or u.ts < c.end_ts)")
 def _(i):
     usage = i["events"].select("event_id", F.concat(F.lit("id-"), ((F.col("user_id") + 1) % 150).cast("string")).alias("external_id"), F.col("ts").cast("timestamp").alias("tick_ts"))
-    return lifecycle.usage_within_subscription(usage, lifecycle.subscription_intervals(i["reconciles"])).select("event_id", "external_id")
+    return lifecycle.usage_within_subscription(usage, lifecycle.subscription_intervals(i["reconciles"], i["reconcile_times"])).select("event_id", "external_id")
 
 
 # -- counters ---------------------------------------------------------------------------------
@@ -716,6 +771,32 @@ def _(i):
     return rows.select(F.col("external_id").alias("user_id"), F.unix_micros("session.start").alias("start_us"), "reconciles")
 
 
+@query(
+    "stream_lifecycle",
+    f"""with t as (select user_id, epoch_us(ts) // 1000 as ms from {{events}}), gaps as (select *, case when ms - lag(ms) over (partition by user_id order by ms) <= 7200000 then 0 else 1 end as new from t),
+ runs as (select user_id, ms, sum(new) over (partition by user_id order by ms rows unbounded preceding) as r from gaps),
+ spans as (select user_id, r, min(ms) as first, max(ms) + 7200000 as gone, lead(min(ms)) over (partition by user_id order by r) as following from runs group by user_id, r)
+ select user_id, 'created' as event, first as at_ms from spans union all select user_id, 'terminated', gone from spans where following is not null or gone <= epoch_us({_CLOSED}) // 1000""",
+)
+def _(i):
+    old = i.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    i.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = run.appended(jobs.stream_lifecycle(_stream(i).select(F.col("user_id").cast("string").alias("external_id"), F.col("ts").alias("tick_ts")), gap_seconds=7200))
+    finally:
+        i.spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    return rows.select(F.col("external_id").cast("bigint").alias("user_id"), "event", F.unix_millis("at").alias("at_ms"))
+
+
+@query("foreach_batch_sink", _SENT)
+def _(i):
+    source, sent = (f"{run.shared_folder(i.spark)}/{name}" for name in ("source", "sent"))
+    i["usage_events"].write.parquet(source)
+    writer = run.stream_table(i.spark, source).writeStream.foreachBatch(sinks.foreach_batch_sink(outbox=sent))
+    writer.option("checkpointLocation", f"{sent}-state").trigger(availableNow=True).start().awaitTermination()
+    return _counts(_from_payloads(i.spark.read.schema(sinks.PAYLOADS).option("recursiveFileLookup", "true").parquet(sent)))
+
+
 @query("stream_dedupe", "select distinct user_id, event_type from {events}")
 def _(i):
     once = _stream(i).select(F.concat_ws("-", "user_id", "event_type").alias("transaction_id"), F.unix_timestamp("ts").alias("timestamp"), "user_id", "event_type")

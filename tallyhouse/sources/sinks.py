@@ -46,16 +46,27 @@ def _batcher(n: int):
 
 def event_batches(df: DataFrame, n: int = EVENT_BATCH) -> DataFrame:
     """Payloads ``{"events": [...]}`` of at most ``n`` events each, formed inside each partition without a shuffle."""
-    return df.select(*EVENT_COLUMNS).mapInArrow(_batcher(n), "n_events int, payload string")
+    return df.select(*EVENT_COLUMNS).mapInArrow(_batcher(n), PAYLOADS)
 
 
-def foreach_batch_sink(send: Callable[[Iterable[str]], None], n: int = EVENT_BATCH) -> Callable[[DataFrame, int], None]:
+PAYLOADS = "n_events int, payload string"
+
+
+def foreach_batch_sink(send: Callable[[Iterable[str]], None] | None = None, n: int = EVENT_BATCH, outbox: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that hands each partition's payloads to ``send``.
 
+    With an ``outbox`` the payloads are first written under it by batch number (a repeated batch
+    replaces its own) and sent from there; without ``send`` they wait there for another sender.
     A failing ``send`` fails the batch, which is then sent again; transaction ids make that safe.
     """
 
-    def sink(batch: DataFrame, _: int) -> None:
-        event_batches(batch, n).foreachPartition(lambda rows: send(r["payload"] for r in rows))
+    def sink(batch: DataFrame, number: int) -> None:
+        payloads = event_batches(batch, n)
+        if outbox:
+            path = f"{outbox.rstrip('/')}/{number:012d}"
+            payloads.write.mode("overwrite").parquet(path)
+            payloads = batch.sparkSession.read.schema(PAYLOADS).parquet(path)
+        if send:
+            payloads.foreachPartition(lambda rows: send(r["payload"] for r in rows))
 
     return sink

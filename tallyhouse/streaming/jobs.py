@@ -51,7 +51,7 @@ def lifecycle_handler(gap_seconds: int):
             self.seen = handle.getValueState("seen", "last_ms long")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            times = sorted(int(t.timestamp() * 1000) for frame in rows for t in frame["tick_ts"])
+            times = sorted(t.value // 1_000_000 for frame in rows for t in frame["tick_ts"])
             last = self.seen.get()[0] if self.seen.exists() else None
             out = []
             for t in times:

@@ -147,6 +147,20 @@ def test_intervals_reopen(spark):
     assert lifecycle.lifecycle_events(snapshots).groupBy("event").count().collect()
 
 
+def test_reconciles_that_find_nobody(spark):
+    snapshots = table(spark, "external_id string, tick_ts timestamp", [("id", f"2024-01-01 00:0{m}:00") for m in (1, 2, 4)])
+    times = table(spark, "tick_ts timestamp", [(f"2024-01-01 00:0{m}:00",) for m in range(1, 6)])
+    minute = lambda t: t and t.minute
+    spans = sorted((minute(r["start_ts"]), minute(r["end_ts"])) for r in lifecycle.subscription_intervals(snapshots, times).collect())
+    assert spans == [(1, 3), (4, 5)]
+    events = sorted((minute(r["tick_ts"]), r["event"]) for r in lifecycle.lifecycle_events(snapshots, times).collect())
+    assert events == [(1, "created"), (3, "terminated"), (4, "created"), (5, "terminated")]
+    known = lifecycle.asof_tenant_set(times, snapshots, times).collect()
+    assert sorted(minute(r["tick_ts"]) for r in known) == [1, 2, 4]
+    states = {(minute(r["tick_ts"]), r["state"]) for r in lifecycle.tenant_set_diff(*lifecycle.consecutive_sets(snapshots, times), ["tick_ts", "external_id"]).collect()}
+    assert states == {(1, "new"), (2, "retained"), (3, "removed"), (4, "new"), (5, "removed")}
+
+
 def test_resends_are_billed_once_and_prices_apply(spark):
     event = ("t1", "s", "tenant_gpu_hours", 1704067200, '{"gpu_hours":0.016666,"gpu_type":"NVIDIA-T4"}')
     other = ("t2", "s", "tenant_gpu_hours", 1704067260, '{"gpu_hours":10.5,"gpu_type":"new"}')
