@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import decontaminate, language_id, near_duplicates, packing, substring_dedup
-from tallyhouse.llm.tables import long_rows, read, shared_dir
+from tallyhouse.llm.tables import long_rows, read, removed, shared_dir
 
 #: Words of a passage that goes when it repeats, and of a shingle; percent of shingles near duplicates share.
 PASSAGE_WORDS = 50
@@ -75,10 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; only the last one's table stays."""
     docs = read(spark, sf_dir, "documents")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            removed(spark, f"{base}/{k - 1}")  # what read it is written
     return docs

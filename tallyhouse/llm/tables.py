@@ -15,7 +15,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def long_rows(spark: SparkSession) -> None:
-    """Tells the session that rows are long; a smaller batch that was set already stays."""
+    """Tells the session that rows are long, for what it runs from here on; a smaller batch that was set already stays."""
     now = int(spark.conf.get(_BATCH))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(_BATCH, BATCH_ROWS)
@@ -27,16 +27,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's own setting, else (in tests) a temporary one."""
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a session in one process (as in tests) gets a temporary folder of its own; on
+    a cluster that would scatter tables over the executors' disks, so it is an error there.
+    """
     context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoints-")
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
     return found
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and kept where a lost executor does not lose them."""
     shared_dir(df.sparkSession)

@@ -1,5 +1,6 @@
 """The corpus pipeline stage by stage against brute force."""
 
+import os
 import random
 
 import corpus_pipeline
@@ -62,9 +63,11 @@ def test_each_stage_does_its_work(spark, tmp_path):
         kept = got
 
 
-def test_run_gives_the_last_stage(spark):
+def test_run_gives_the_last_stage_and_leaves_no_other_table(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
+    folder = os.path.dirname(os.path.dirname(out.inputFiles()[0].removeprefix("file://").removeprefix("file:")))
+    assert os.listdir(folder) == ["4"]
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
