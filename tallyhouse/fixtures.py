@@ -19,6 +19,7 @@ WORD, DOMAIN = "tenant", "tenancy.example.com"
 
 
 class Spark:
+    tenants = None  # the number of tenants, once it is counted
     unix = staticmethod(lambda x: f"unix_timestamp(cast({x} as timestamp))")
     us = staticmethod(lambda x: f"unix_micros(cast({x} as timestamp))")
     from_us = staticmethod(lambda x: f"timestamp_micros({x})")
@@ -27,6 +28,7 @@ class Spark:
 
 
 class Duck:
+    tenants = "(select count(*) from {supplier})"
     unix = staticmethod(lambda x: f"cast(floor(epoch({x})) as bigint)")
     us = staticmethod(lambda x: f"epoch_us({x})")
     from_us = staticmethod(lambda x: f"make_timestamp({x})")
@@ -38,9 +40,6 @@ def _ns(k: str) -> str:
     return f"((case ({k}) % 3 when 0 then '{WORD}-team-' when 1 then 'vc-team-' else 'team-' end) || cast({k} as string))"
 
 
-_N = "(select count(*) from {supplier})"
-
-
 def texts(d) -> dict[str, str]:
     """SQL of every derived table, with {name} for the tables it reads."""
     owner = "o"  # of a row of the part table; the number of tenants is looked up once a table
@@ -60,24 +59,24 @@ select {T0} as tick_ts, p_partkey as k, 'node-' || cast(p_partkey as string) as
   case p_partkey % 8 when 1 then {_ns(owner)} when 2 then 'team-' || cast({owner} as string) end as cluster,
   cast(p_size as bigint) as cpu, cast(floor(p_retailprice) as bigint) * 1073741824 as memory,
   case when p_type in ('PROMO', 'LARGE', 'STANDARD') then cast(p_size % 9 as bigint) else cast(0 as bigint) end as gpu
-from (select *, p_partkey % {_N} as o from {{part}}) parts""",
+from (select *, p_partkey % {d.tenants} as o from {{part}}) parts""",
         "container_rows": f"""
 select {T0} as tick_ts, {_ns('l_suppkey')} as namespace, 'pod-' || cast(l_suppkey as string) || '-' || cast(l_orderkey as string) as pod,
   case o_orderstatus when 'F' then 'Running' when 'O' then 'Pending' else 'Succeeded' end as phase, l_partkey, l_linenumber, l_quantity, l_extendedprice,
   case when l_linenumber % 3 = 0 then null else cast(l_linenumber % 3 as bigint) end as gpu_limit,
   case when l_linenumber % 2 = 0 and l_linenumber % 3 <> 0 then cast(l_linenumber % 3 as bigint) end as gpu_request
 from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey""",
-        "pvcs": f"select {T0} as tick_ts, {_ns('t')} as namespace, 'pvc-' || cast(o_orderkey as string) as name, case when o_orderstatus = 'F' then 'Bound' else 'Pending' end as phase, cast(floor(o_totalprice) as bigint) * 1048576 as storage_bytes from (select *, o_custkey % {_N} as t from {{orders}}) o",
-        "services": f"select {T0} as tick_ts, {_ns('t')} as namespace, 'svc-' || cast(c_custkey as string) as name, case when c_mktsegment = 'BUILDING' then 'LoadBalancer' else 'ClusterIP' end as type from (select *, c_custkey % {_N} as t from {{customer}}) c",
+        "pvcs": f"select {T0} as tick_ts, {_ns('t')} as namespace, 'pvc-' || cast(o_orderkey as string) as name, case when o_orderstatus = 'F' then 'Bound' else 'Pending' end as phase, cast(floor(o_totalprice) as bigint) * 1048576 as storage_bytes from (select *, o_custkey % {d.tenants} as t from {{orders}}) o",
+        "services": f"select {T0} as tick_ts, {_ns('t')} as namespace, 'svc-' || cast(c_custkey as string) as name, case when c_mktsegment = 'BUILDING' then 'LoadBalancer' else 'ClusterIP' end as type from (select *, c_custkey % {d.tenants} as t from {{customer}}) c",
         "node_usage": "select tick_ts, node_name, cpu * 500 as cpu_milli, memory / 2 as memory_bytes from {node_rows} where k % 10 <> 0".replace("memory / 2", d.div("memory", 2)),
         "container_now": f"select {T0} as tick_ts, {_ns('l_suppkey')} as namespace, 'pod-' || cast(l_orderkey as string) as pod, cast(l_linenumber as string) as container, cast(l_quantity * 100 as bigint) as cpu_milli, cast(floor(l_extendedprice) as bigint) * 1048576 as memory_bytes from {{lineitem}}",
         "container_usage": f"select cast(date_trunc('week', l_shipdate) as timestamp) as tick_ts, {_ns('l_suppkey')} as namespace, 'pod-' || cast(l_orderkey as string) as pod, cast(l_linenumber as string) as container, cast(l_quantity * 100 as bigint) as cpu_milli, cast(floor(l_extendedprice) as bigint) * 1048576 as memory_bytes from {{lineitem}}",
         "counter_rows": f"""
 select event_id, user_id, event_type, {_ns('t')} as namespace, {d.from_us(f"{T0_US} + " + d.div(f"{d.us('ts')} - {T0_US}", 1440))} as ts, cast(round(value * 100) as bigint) as cents,
-  case when cast({d.key('props', 'k')} as int) < 10 then 1 else 0 end as restart from (select *, user_id % {_N} as t from {{events}}) e""",
+  case when cast({d.key('props', 'k')} as int) < 10 then 1 else 0 end as restart from (select *, user_id % {d.tenants} as t from {{events}}) e""",
         "counter_runs": "select *, sum(restart) over (partition by user_id, event_type order by ts, event_id rows unbounded preceding) as run from {counter_rows}",
         "counters": "select event_id, user_id, event_type, namespace, ts, cast(sum(cents) over (partition by user_id, event_type, run order by ts, event_id rows unbounded preceding) as double) as value from {counter_runs}",
-        "gpu_samples": f"select {T0} as tick_ts, {_ns('t')} as namespace, cast(user_id % 8 as string) as gpu, user_id as uuid, event_type, event_id, least(value, cast(100 as double)) as value from (select *, user_id % {_N} as t from {{events}}) e where event_type in ('view', 'click')",
+        "gpu_samples": f"select {T0} as tick_ts, {_ns('t')} as namespace, cast(user_id % 8 as string) as gpu, user_id as uuid, event_type, event_id, least(value, cast(100 as double)) as value from (select *, user_id % {d.tenants} as t from {{events}}) e where event_type in ('view', 'click')",
         "reconciles": f"select distinct cast(date_trunc('day', ts) as timestamp) as tick_ts, 'id-' || cast(user_id as string) as external_id from {{events}}",
         "reconcile_times": "select tick_ts from {reconciles} union select tick_ts + interval 12 hours from {reconciles} where extract(day from tick_ts) % 4 = 0",
         "usage_rows": f"""
@@ -117,13 +116,20 @@ class Inputs:
     """Base and derived tables of one data folder as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self._held = spark, sf_dir, {}
+        self.spark, self.dir, self._held, self._texts = spark, sf_dir, {}, None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._held:  # each table's files are looked at once
-            self._held[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet") if name in BASE else self.sql(texts(Spark)[name])
+            self._held[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet") if name in BASE else self.sql(self._text(name))
         return self._held[name]
 
+    def _text(self, name: str) -> str:
+        if self._texts is None:
+            # counted once for all derived tables, so that plans do not repeat the count
+            counted = type("Counted", (Spark,), {"tenants": str(self["supplier"].count())})
+            self._texts = texts(counted)
+        return self._texts[name]
+
     def sql(self, text: str) -> DataFrame:
         used = {n: self[n] for n in set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text))}
         return self.spark.sql(text, **used)

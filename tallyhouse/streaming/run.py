@@ -11,8 +11,15 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that all executors share; a temporary one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
+    """A new folder under the one that all executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a session in one process (as in tests) gets a temporary folder; on a cluster it is an error.
+    """
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base:
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-streams-")
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
