@@ -17,7 +17,8 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
 Nulls, empties and ties: a null or empty text, or one without words, has an empty set and is
 linked with nothing; a text of fewer words than a shingle is one shingle; a row with a null id
 is linked with nothing and has a null component; ids are taken as unique (rows that share an id
-count as linked through it).  An empty table gives no rows.
+count as linked through it).  Very long texts are shingled whole, in the memory of one task.
+Further columns, of whatever name, are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -83,18 +84,22 @@ def _sketcher(words: int, lower: bool):
     return run
 
 
-def _sum_block(table: pa.Table) -> pa.Table:
-    total = np.zeros((1 << SKETCH_BITS) // _SKETCH_BLOCKS, np.int64)
-    for blob in table.column("counts"):
-        total += np.ascontiguousarray(np.frombuffer(zlib.decompress(blob.as_py()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    classes = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
-    return pa.table({"block": table.column("block").slice(0, 1).cast(pa.int32()), "classes": pa.array([classes.tobytes()], pa.binary())})
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the blocks of one part as they come, however many tasks have sent one."""
+    size, total = (1 << SKETCH_BITS) // _SKETCH_BLOCKS, {}
+    for batch in batches:
+        for block, blob in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+            counts = np.frombuffer(zlib.decompress(blob.as_py()), np.uint8).reshape(4, -1).T
+            held = total.setdefault(block, np.zeros(size, np.int64))
+            np.add(held, np.ascontiguousarray(counts).view(np.uint32).ravel(), out=held)
+    classes = [np.minimum(255, np.round(8 * np.log2(1 + held))).astype(np.uint8).tobytes() for held in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(classes, pa.binary())], ["block", "classes"])
 
 
 def shingle_classes(docs: DataFrame, words: int, lower: bool) -> np.ndarray:
     """How frequent the shingles of each sketch cell are, in steps of an eighth of a power of two."""
     parts = docs.select(F.col("text").cast("string")).mapInArrow(_sketcher(words, lower), "block int, counts binary")
-    rows = parts.groupBy("block").applyInArrow(_sum_block, "block int, classes binary").collect()
+    rows = parts.repartition(min(_SKETCH_BLOCKS, partitions(docs.sparkSession)), "block").mapInArrow(_sum_blocks, "block int, classes binary").collect()
     out = np.zeros((_SKETCH_BLOCKS, (1 << SKETCH_BITS) // _SKETCH_BLOCKS), np.uint8)
     for r in rows:
         out[r["block"]] = np.frombuffer(r["classes"], np.uint8)

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from tallyhouse.llm import near_duplicates
@@ -128,3 +129,17 @@ def test_components_of_paths_stars_and_rings(spark):
     expected = {i: 100 for i in range(100, 161)} | {i: 7 for i in (7, 900, *range(200, 260))} | {i: 300 for i in range(300, 320)}
     assert found == expected
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g", 5, "x", 7), (2, "a b c d e f g", 6, None, 8), (3, "z y x w v u t", 7, "g", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, component_id string, gid long")
+    assert {(r["doc_id"], r["component_id"]) for r in linked_documents(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert sorted(tuple(r) for r in one_of_each_group(docs).collect()) == [rows[0], rows[2]]
+
+
+def test_the_sketch_counts_every_shingle(spark):
+    docs = spark.createDataFrame([(k, f"common one {k} tail{k}") for k in range(300)], "doc_id long, text string").repartition(30)
+    classes = near_duplicates.shingle_classes(docs, 2, True)
+    counts = np.round(2 ** (classes / 8.0) - 1)
+    assert abs(counts.sum() - 900) < 60 and counts.max() > 280
