@@ -41,6 +41,8 @@ from tallyhouse.llm.kernels import slices, text_buffers
 BLOCK = 256
 #: Bytes of text that step through the automata together.
 PARSE_BYTES = 1_500_000
+#: Blocks that are followed one by one rather than together.
+FEW = 32
 SAMPLE_PIECES = 24
 PIECE_CHARS = 1000
 DENSE = 62
@@ -126,6 +128,23 @@ class Automaton:
             went[rare] = np.where(self.rare_key[at] == key, self.rare_to[at], self.anew[column[rare]])
         return went
 
+    def follow(self, state: int, columns: list[int], began: list[bool]) -> tuple[int, int, int, bool]:
+        """Steps of one block until it starts a phrase where ``began`` says so too: state, own phrases, theirs, and if that came."""
+        mine = theirs = 0
+        for c, other in zip(columns, began, strict=True):
+            if c < self.width:
+                went = self.table.item(state + c)
+            else:
+                went = self.step(np.array([state], np.int32), np.array([c], np.int32)).item()
+            theirs += other
+            if went >= 1 << 30:
+                state, mine = went - (1 << 30), mine + 1
+                if other:
+                    return state, mine, theirs, True
+            else:
+                state = went
+        return state, mine, theirs, False
+
 
 @dataclass
 class Model:
@@ -230,13 +249,14 @@ def _parsed(automaton: Automaton, steps: np.ndarray, length: np.ndarray, later:
         now = end[before[which]]
         used[lane] = now
         mine, own = np.zeros(len(lane), np.int32), np.zeros(len(lane), np.int32)
-        for j in range(BLOCK):
-            over = length[lane] <= j
-            if over.any():  # the block ends before both agree
-                phrases[lane[over]], end[lane[over]] = mine[over], now[over]
+        j, shortest = 0, int(length[lane].min())
+        while len(lane) > FEW and j < BLOCK:
+            if j >= shortest:
+                over = length[lane] <= j
+                phrases[lane[over]], end[lane[over]] = mine[over], now[over]  # the block ends before both agree
                 lane, now, mine, own = (x[~over] for x in (lane, now, mine, own))
-            if not len(lane):
-                break
+                shortest = int(length[lane].min()) if len(lane) else BLOCK
+                continue
             went = automaton.step(now, steps[j, lane])
             new = went >> 30
             theirs = began[j, lane]
@@ -248,7 +268,13 @@ def _parsed(automaton: Automaton, steps: np.ndarray, length: np.ndarray, later:
                 at = lane[same]
                 phrases[at], end[at] = alone[at] - own[same] + mine[same], state[at]
                 lane, now, mine, own = (x[~same] for x in (lane, now, mine, own))
-        phrases[lane], end[lane] = mine, now
+            j += 1
+        # the last few one by one
+        for i, at in enumerate(lane.tolist()):
+            to = int(length[at])
+            found, more, theirs, agree = automaton.follow(int(now[i]), steps[j:to, at].tolist(), began[j:to, at].tolist())
+            phrases[at] = alone[at] - own[i] - theirs + mine[i] + more if agree else mine[i] + more
+            end[at] = state[at] if agree else found
 
 
 def _entropies(texts: list[np.ndarray], model: Model) -> np.ndarray:

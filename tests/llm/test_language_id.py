@@ -41,8 +41,10 @@ def as_text(symbols):
     return "".join(chr(0x4000 + s) for s in symbols.tolist())
 
 
+@pytest.mark.parametrize("few", [0, 32])
 @pytest.mark.parametrize("letters, dense", [("abcd ", 62), ("abcdefgh ", 3), ("abcdefgh ", 0), ("a ", 62)])
-def test_phrases_against_brute_force(letters, dense):
+def test_phrases_against_brute_force(monkeypatch, letters, dense, few):
+    monkeypatch.setattr(language_id, "FEW", few)
     rng = random.Random(3)
     samples = {k: ["".join(rng.choice(letters) for _ in range(n)) for n in (300, 900)] for k in "xy"}
     model = language_id.fit(samples, dense)
