@@ -8,6 +8,8 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
 2. Equal sets are one document from here on.
 3. Similar documents are put into groups of bounded size: of a document's four least hashes the
    one that most documents share names its group, so a family of near copies fills few groups.
+   Where more documents share it than a group holds, all are compared with one of them first, the
+   one that shares most; those that link with it are one star, whose groups need not meet each other.
    The token-group matrix holds the union of each group's prefixes.  A document's prefix is
    counted against it; the count bounds its overlap with anything in the group, and only groups
    whose bound reaches the threshold are opened.
@@ -173,23 +175,26 @@ def _dealer(buckets: int):
             at = np.flatnonzero(new)
             owners = np.searchsorted(at, edges)
             columns = {"tokens": blobs(tokens, edges), "repeats": blobs(np.diff(np.append(at, len(row))).astype(np.uint32), owners)}
-            for name in ("doc_id", "gid", "n"):
+            for name in ("doc_id", "gid", "star", "n"):
                 columns[name] = blobs(batch.column(name).to_numpy(zero_copy_only=False)[row[at]], owners)
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *columns.values()], ["bucket", *columns])
 
     return run
 
 
-_DEALT = "bucket int, tokens binary, repeats binary, doc_id binary, gid binary, n binary"
+_DEALT = "bucket int, tokens binary, repeats binary, doc_id binary, gid binary, star binary, n binary"
 _MET = "doc_id long, gid long, n int, hits int, lo int, hi int"
 
 
 def _meeter(percent: int, pairs_at_once: int = 1_000_000):
-    """Counts, for the tokens of one part, how often a document meets its own group or one of a lower number."""
+    """Counts, for the tokens of one part, how often a document meets its own group or one that comes before it.
+
+    Groups of one star come one after another and do not meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list] = {k: [] for k in ("tokens", "repeats", "doc_id", "gid", "n")}
-        kinds = {"tokens": np.uint64, "repeats": np.uint32, "doc_id": np.int64, "gid": np.int64, "n": np.int32}
+        parts: dict[str, list] = {k: [] for k in ("tokens", "repeats", "doc_id", "gid", "star", "n")}
+        kinds = {"tokens": np.uint64, "repeats": np.uint32, "doc_id": np.int64, "gid": np.int64, "star": np.int64, "n": np.int32}
         for batch in batches:
             for name, kind in kinds.items():
                 parts[name] += [np.frombuffer(x.as_py(), kind) for x in batch.column(name)]
@@ -204,12 +209,12 @@ def _meeter(percent: int, pairs_at_once: int = 1_000_000):
         shared[1:] = token[1:] == token[:-1]
         shared[:-1] |= shared[1:].copy()
         token, owner = token[shared], owner[shared]
-        doc, gid, n = flat["doc_id"][owner], flat["gid"][owner], flat["n"][owner]
-        order = np.lexsort((n, gid, token))
-        token, doc, gid, n = token[order], doc[order], gid[order], n[order]
+        doc, gid, star, n = flat["doc_id"][owner], flat["gid"][owner], flat["star"][owner], flat["n"][owner]
+        order = np.lexsort((n, gid, star, token))
+        token, doc, gid, star, n = token[order], doc[order], gid[order], star[order], n[order]
         # rows of the matrix: (token, group), with the sizes of its members that hold the token
         new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
+        new[1:] = (token[1:] != token[:-1]) | (star[1:] != star[:-1]) | (gid[1:] != gid[:-1])
         row = np.flatnonzero(new)
         low, high = n[row], n[np.append(row[1:], len(n)) - 1] if len(row) else n[:0]
         mine = np.cumsum(new) - 1
@@ -217,7 +222,11 @@ def _meeter(percent: int, pairs_at_once: int = 1_000_000):
         first_of_token[1:] = token[1:] != token[:-1]
         starts = mine[np.maximum.accumulate(np.where(first_of_token, np.arange(len(token)), 0))] if len(token) else mine
         several = np.diff(np.append(row, len(token))) > 1
-        many = mine - starts + several[mine]  # groups of the same token with a lower number, and its own if another member is there
+        in_star = star != 0
+        opens = first_of_token | ~in_star  # where the groups end that a document of a star meets
+        opens[1:] |= star[1:] != star[:-1]
+        before = mine[np.maximum.accumulate(np.where(opens, np.arange(len(token)), 0))] if len(token) else mine
+        many = before - starts + (several[mine] & ~in_star)  # groups of the same token that come before, and its own if another member is there
         a = 0
         while a < len(token):
             b = max(a + 1, int(np.searchsorted(np.cumsum(many[a:]), pairs_at_once)) + a)
@@ -332,25 +341,57 @@ def _opener(percent: int, cells: int = 32_000_000):
 
 
 def _groups(distinct: DataFrame) -> DataFrame:
-    """(doc_id, gid): each document in the group of the key that most documents share."""
+    """(doc_id, gid, key, crowd, weight): each document in the group of the key that most documents share.
+
+    ``crowd`` is how many share that key, ``weight`` how many share any of the document's keys.
+    """
     keyed = distinct.select("doc_id", F.explode("keys").alias("key"))
     crowds = materialised(keyed.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1"))
     counted = keyed.join(crowds, "key", "left").select("doc_id", F.struct(F.coalesce("crowd", F.lit(1)).alias("crowd"), "key").alias("one"))
-    best = counted.groupBy("doc_id").agg(F.max("one").alias("best"))
+    best = counted.groupBy("doc_id").agg(F.max("one").alias("best"), F.sum("one.crowd").alias("weight"))
     sub = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("best.crowd") / GROUP_MEMBERS))
-    return materialised(best.select("doc_id", F.xxhash64("best.key", sub).alias("gid")))
+    return materialised(best.select("doc_id", F.xxhash64("best.key", sub).alias("gid"), "best.key", "best.crowd", "weight"))
+
+
+def _sets_of(docs: DataFrame, routed: DataFrame, words: int, lower: bool) -> DataFrame:
+    """The sets of the documents that ``routed`` sends to a (gid, chunk)."""
+    whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(routed, "doc_id")
+    return whole.select("gid", "chunk", "doc_id", "member", "asks", "text").mapInArrow(_set_maker(words, lower), _ROUTED)
+
+
+def _stars(docs: DataFrame, grouped: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
+    """Links (a, b) of crowds that fill several groups: of each document with one that the crowd has most in common with."""
+    crowded = grouped.where(F.col("crowd") > GROUP_MEMBERS)
+    heads = crowded.groupBy("key").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("doc_id"))
+    heads = crowded.select("key", "gid").distinct().join(heads, "key").select("gid", F.lit(0).alias("chunk"), "doc_id", F.lit(1).alias("member"), F.lit(0).alias("asks"))
+    asking = crowded.select("gid", F.lit(0).alias("chunk"), "doc_id", F.lit(0).alias("member"), F.lit(1).alias("asks"))
+    sets = _sets_of(docs, materialised(heads.unionByName(asking)), words, lower)
+    return materialised(sets.groupBy("gid", "chunk").applyInArrow(_opener(percent), "a long, b long"))
+
+
+def _starred(grouped: DataFrame, stars: DataFrame) -> DataFrame:
+    """(doc_id, gid, star): documents of a star in groups of their own, under the star's number; 0 for the others."""
+    linked = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("linked", F.lit(True))
+    star = F.coalesce(F.when(F.col("linked"), F.col("key")), F.lit(0))
+    both = grouped.join(linked, "doc_id", "left").select("doc_id", "gid", star.alias("star"))
+    return both.withColumn("gid", F.when(F.col("star") == 0, F.col("gid")).otherwise(F.xxhash64("gid", "star")))
+
+
+def _met(signed: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """A row for each document and group that it meets, with how many tokens of its prefix the group holds."""
+    parts = partitions(signed.sparkSession)
+    tokens = signed.select("doc_id", "n", "prefix").join(grouped, "doc_id")
+    dealt = tokens.select("doc_id", "gid", "star", "n", "prefix").mapInArrow(_dealer(4 * parts), _DEALT)
+    met = dealt.repartition(parts, "bucket").mapInArrow(_meeter(percent), _MET)
+    return met.groupBy("doc_id", "gid").agg(F.first("n").alias("n"), F.sum("hits").alias("hits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def _links(docs: DataFrame, signed: DataFrame, distinct: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
     """A forest (a, b) that connects all linked documents with different sets."""
-    parts = partitions(docs.sparkSession)
     grouped = _groups(distinct)
-    tokens = signed.select("doc_id", "n", "prefix").join(grouped.select("doc_id", "gid"), "doc_id")
-    dealt = tokens.select("doc_id", "gid", "n", "prefix").mapInArrow(_dealer(4 * parts), _DEALT)
-    met = dealt.repartition(parts, "bucket").mapInArrow(_meeter(percent), _MET)
-    met = met.groupBy("doc_id", "gid").agg(F.first("n").alias("n"), F.sum("hits").alias("hits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-
-    asked = materialised(met.where(_reaches(percent)).select("doc_id", "gid"))
+    stars = _stars(docs, grouped, words, percent, lower)
+    grouped = materialised(_starred(grouped, stars))
+    asked = materialised(_met(signed, grouped, percent).where(_reaches(percent)).select("doc_id", "gid"))
     opened = materialised(asked.groupBy("gid").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("chunks")))
 
     # where each document has to be: members in every chunk of their group (asking in one at most), queries in one chunk
@@ -361,9 +402,8 @@ def _links(docs: DataFrame, signed: DataFrame, distinct: DataFrame, words: int,
     members = members.withColumn("asks", F.coalesce((F.col("chunk") == F.col("own")).cast("int"), F.lit(0))).drop("own")
     queries = asked.join(home, ["doc_id", "gid"], "left_anti").join(opened, "gid").select("gid", chunk.alias("chunk"), "doc_id", F.lit(0).alias("member"), F.lit(1).alias("asks"))
     routed = materialised(members.unionByName(queries))
-    whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(routed, "doc_id")
-    sets = whole.select("gid", "chunk", "doc_id", "member", "asks", "text").mapInArrow(_set_maker(words, lower), _ROUTED)
-    return sets.groupBy("gid", "chunk").applyInArrow(_opener(percent), "a long, b long")
+    found = _sets_of(docs, routed, words, lower).groupBy("gid", "chunk").applyInArrow(_opener(percent), "a long, b long")
+    return found.unionByName(stars)
 
 
 def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:

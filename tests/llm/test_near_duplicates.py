@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhouse.llm import near_duplicates
 from tallyhouse.llm.graph import components
@@ -94,6 +95,36 @@ def test_pairs_at_the_exact_threshold_in_different_groups(spark, monkeypatch):
         assert run(spark, rows, words=1, percent=percent) == brute_force(rows, 1, percent)
 
 
+def test_crowds_that_fill_many_groups(spark, monkeypatch):
+    # a crowd is compared with one of its own first; what does not link with that one is still found
+    monkeypatch.setattr(near_duplicates, "GROUP_MEMBERS", 4)
+    rng = random.Random(11)
+    texts = []
+    for size, length, edits in ((90, 80, 6), (60, 150, 12), (60, 40, 2), (40, 40, 0)):
+        base = [f"v{size}x{i}" for i in range(length)]
+        texts += [f"{t} end{k}" for k, t in enumerate(family(rng, base, size, edits))]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    for n, percent in ((3, 90), (5, 80), (1, 60)):
+        assert run(spark, rows, words=n, percent=percent) == brute_force(rows, n, percent)
+
+
+def test_groups_of_one_star_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "GROUP_MEMBERS", 4)
+    met = near_duplicates._met
+    counts = []
+
+    def counted(signed, grouped, percent):
+        counts.append((met(signed, grouped, percent).count(), met(signed, grouped.withColumn("star", F.lit(0).cast("long")), percent).count()))
+        return met(signed, grouped, percent)
+
+    monkeypatch.setattr(near_duplicates, "_met", counted)
+    base = " ".join(f"v{i}" for i in range(100))
+    rows = [(k, f"{base} end{k}") for k in range(200)]
+    assert {c for _, c in run(spark, rows, words=3, percent=90).values()} == {0}
+    assert counts[0][0] == 0 and counts[0][1] > 1000
+
+
 def test_bound_holds_for_every_size_in_the_group(spark):
     for percent in (10, 60, 80, 90, 100):
         rows = [(n, hits, lo, hi) for n in range(1, 40, 3) for lo in range(-(-n * percent // 100), n + 4) for hi in range(lo, min(n * 100 // percent, n + 12) + 1) for hits in range(1, 7)]
