@@ -10,12 +10,15 @@ values come from tables of 2**16 quantiles.  A fingerprint holds four hex digits
 Nulls, empties and ties: a null text counts as empty; a text without words has the empty
 fingerprint, which is like another empty one (1.0) and unlike any other (0.0).  Documents are
 ordered by id, null ids last, equal ids by text; a repeated row is a document of its own.  An
-empty table gives no rows.
+empty table gives no rows.  A frequent id, or null ids, are dealt to several tasks by text.
+Very long texts are handled whole, in the memory of one task; further columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,6 +32,8 @@ from tallyhouse.llm.kernels import Words, mix
 from tallyhouse.llm.tables import partitions
 
 SAMPLES = 64
+#: Characters of a sampled text that opens a range within a frequent id.
+SPLIT_CHARS = 1000
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -135,25 +140,69 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return rows.mapInArrow(_fingerprinter(samples), "doc_id long, fingerprint string")
 
 
+class _Ranges:
+    """Ranges of (id, text) in the order of documents, null ids last.
+
+    ``splits`` are ids that open a range; within a frequent id, and within null ids, texts open
+    further ranges: ``texts`` of the id, of which the first is the empty one.
+    """
+
+    def __init__(self, splits: list[int], texts: dict[int | None, list[str]]):
+        self.texts = texts
+        self.ids = np.array(sorted(set(splits) | {v for v in texts if v is not None}), np.int64)
+        sizes = np.array([len(texts.get(v, (0,))) for v in self.ids.tolist()], np.int64)
+        self.upto = np.concatenate([[0], np.cumsum(sizes)])
+
+    def place(self, ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each row, and which rows are of a frequent or null id."""
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        values = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+        part = self.upto[np.searchsorted(self.ids, values, side="right")]
+        hot = none.copy()
+        for v, opened in self.texts.items():
+            here = np.flatnonzero(none if v is None else (values == v) & ~none)
+            hot[here] = True
+            start = self.upto[-1] if v is None else self.upto[np.searchsorted(self.ids, v)]
+            part[here] = [start + bisect_right(opened, texts[int(i)].as_py()) for i in here]
+        return part, hot
+
+
+def _first_of_ranges(held):
+    """The range and id of every row, with the text where the id is a frequent one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            part, hot = held.value.place(ids, texts)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, pc.if_else(pa.array(hot), texts, pa.scalar(None, pa.string()))], ["part", "doc_id", "text"])
+
+    return run
+
+
 def _parter(held):
-    """Rows with their part; the first id of a part also goes to the part before it, marked."""
+    """Rows with their range; the first rows of a range also go to the range before it, marked.
+
+    Of equal rows of a frequent id, those of one batch are sent once, with their number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splits, first, before = held.value
+        ranges, first, before = held.value
         for batch in batches:
-            ids = batch.column("doc_id")
-            values = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-            part = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(splits) + 1, np.searchsorted(splits, values, side="right"))
-            if first is None:
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids], ["part", "doc_id"])
-                continue
-            known = np.array([first[p] for p in range(len(splits) + 1)], object)
-            opens = np.array([known[p] == v if p <= len(splits) else before.get("null") is not None for p, v in zip(part.tolist(), values.tolist(), strict=True)], bool)
-            at = np.flatnonzero(opens)
-            back = np.array([before["null"] if part[i] > len(splits) else before[part[i]] for i in at], np.int64)
-            rows = pa.array(np.concatenate([np.arange(len(part)), at]))
-            columns = [pa.array(np.concatenate([part, back]), pa.int32()), pa.array(np.concatenate([np.zeros(len(part)), np.ones(len(at))]), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, ids.take(rows), batch.column("text").take(rows)], ["part", "after", "doc_id", "text"])
+            ids, texts, hashes = (batch.column(n) for n in ("doc_id", "text", "hash"))
+            part, hot = ranges.place(ids, texts)
+            copies, keep, seen = np.ones(len(part), np.int64), np.ones(len(part), bool), {}
+            for i in np.flatnonzero(hot).tolist():
+                held_by = seen.setdefault((ids[i].as_py(), texts[i].as_py()), i)
+                if held_by != i:
+                    copies[held_by] += 1
+                    keep[i] = False
+            at = np.flatnonzero(keep)
+            opens = [first[p] == (v, h if x else None) for p, v, h, x in zip(part[at].tolist(), ids.take(pa.array(at)).to_pylist(), hashes.take(pa.array(at)).to_pylist(), hot[at].tolist(), strict=True)]
+            back = at[np.array(opens, bool)]
+            rows = pa.array(np.concatenate([at, back]))
+            to = np.concatenate([part[at], np.array([before[p] for p in part[back].tolist()], np.int64)])
+            columns = [pa.array(to, pa.int32()), pa.array(np.repeat([0, 1], [len(at), len(back)]), pa.int32()), pa.array(np.concatenate([copies[at], copies[back]]))]
+            yield pa.RecordBatch.from_arrays([*columns, ids.take(rows), texts.take(rows)], ["part", "after", "copies", "doc_id", "text"])
 
     return run
 
@@ -161,11 +210,13 @@ def _parter(held):
 def _edit_part(samples: int):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(
-            zip(table.column("after").to_pylist(), table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True),
-            key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2] or ""),
+            zip(*(table.column(n).to_pylist() for n in ("after", "doc_id", "text", "copies")), strict=True),
+            key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]),
         )
+        # equal rows follow each other: all but the last are followed by one of their own
+        rows = [one for r in rows for one in ((*r[:3], r[3] - 1), (*r[:3], 1)) if one[3]]
         own = sum(1 for r in rows if not r[0])
-        texts = [r[2] or "" for r in rows[: own + 1]]
+        texts = [r[2] for r in rows[: own + 1]]
         if len(texts) == own and own:
             texts.append(texts[0])  # a lone part follows itself
         n_chars = [len(t) for t in texts[:own]]
@@ -185,6 +236,7 @@ def _edit_part(samples: int):
                 "edited_fingerprint": pa.array([fingerprint_text(s) for s in changed], pa.string()),
                 "near_edited": pa.array(likeness(plain[:own], changed), pa.float64()),
                 "near_next": pa.array(likeness(plain[:own], plain[1 : own + 1]), pa.float64()),
+                "copies": pa.array([r[3] for r in rows[:own]], pa.int64()),
             }
         )
 
@@ -195,16 +247,36 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edited text, in which the last half of the characters gives way to
     the beginning of the next document (by id; the first follows the last)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = 4 * partitions(spark)
-    splits = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).collect()[0][0] if parts > 1 else []
-    splits = np.array(sorted(set(splits or [])), np.int64)
-    context = spark.sparkContext
-    # the least id of each part: at most `parts` rows
-    first_of = {r["part"]: r["first"] for r in rows.select("doc_id").mapInArrow(_parter(context.broadcast((splits, None, None))), "part int, doc_id long").groupBy("part").agg(F.min("doc_id").alias("first")).collect()}
-    filled = sorted(first_of)
-    before = {p: filled[i - 1] for i, p in enumerate(filled)}
-    before["null"] = before.pop(len(splits) + 1, None)
-    held = context.broadcast((splits, first_of | {p: None for p in range(len(splits) + 1) if p not in first_of}, before))
-    dealt = rows.mapInArrow(_parter(held), "part int, after int, doc_id long, text string")
-    return dealt.groupBy("part").applyInArrow(_edit_part(samples), _EDITED)
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    context, ranges = spark.sparkContext, _ranges(rows, 4 * partitions(spark))
+    placed = rows.mapInArrow(_first_of_ranges(context.broadcast(ranges)), "part int, doc_id long, text string")
+    # the least id of each range, and its least text if the id is a frequent one: a row a range
+    least = placed.groupBy("part").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.xxhash64("text"), "text").alias("hash")).collect()
+    first = {r["part"]: (r["doc_id"], r["hash"] if r["doc_id"] in ranges.texts else None) for r in least}
+    filled = sorted(first)
+    held = context.broadcast((ranges, first, {p: filled[i - 1] for i, p in enumerate(filled)}))
+    dealt = rows.withColumn("hash", F.xxhash64("text")).mapInArrow(_parter(held), "part int, after int, copies long, doc_id long, text string")
+    found = dealt.groupBy("part").applyInArrow(_edit_part(samples), f"{_EDITED}, copies long")
+    return found.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("copies", "copy")
+
+
+def _ranges(rows: DataFrame, parts: int) -> _Ranges:
+    """Some ``parts`` ranges that hold about as many rows each; frequent ids are split by a sample of their texts."""
+    found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts), F.count("*"), F.count("doc_id")).collect()[0] if parts > 1 else (None, 0, 0)
+    splits = found[0] or []
+    share = {v: n for v, n in Counter(splits).items() if n > 1}
+    if found[1] > found[2]:
+        share[None] = -(-parts * (found[1] - found[2]) // found[1])
+    texts = {v: [""] for v in share}
+    wanted = [v for v, n in share.items() if n > 1]
+    if wanted:
+        # texts in the order of their hashes are a fair sample, whatever the order of rows
+        sample = rows.where(F.col("doc_id").isin([v for v in wanted if v is not None]) | (F.col("doc_id").isNull() & F.lit(None in wanted)))
+        held = sample.select("doc_id", F.substring("text", 1, SPLIT_CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("hash")).orderBy("hash").limit(16 * parts).collect()
+        for v in wanted:
+            own = sorted({r["text"] for r in held if r["doc_id"] == v} - {""})
+            n = min(share[v], len(own) + 1)
+            texts[v] += sorted({own[i * len(own) // n] for i in range(1, n)}) if own else []
+    if parts == 1:
+        texts[None] = [""]
+    return _Ranges(splits, texts)

@@ -201,6 +201,26 @@ def test_collision_rate_is_generalised_jaccard():
     assert (found == fingerprints.signatures(texts, samples=2048)).all()
 
 
+def test_frequent_and_null_ids_are_dealt_to_several_tasks(spark):
+    rng = random.Random(8)
+    rows = [(None, f"n{rng.randrange(40)} b c d e {'x ' * rng.randrange(9)}") for _ in range(300)] + [(None, "same words everywhere")] * 200 + [(None, None), (None, "")]
+    rows += [(7, f"seven {rng.randrange(90)} é w") for _ in range(300)] + [(k, f"own {k} text of it") for k in range(300)] + [(50, "twice a b"), (50, "twice a b")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    clean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ranges = fingerprints._ranges(clean, 16)
+    assert len(ranges.texts[None]) > 3 and len(ranges.texts[7]) > 2
+    ordered = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    expected = []
+    for (doc_id, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        n = len(text)
+        edited = (text[: n - n // 2] + after[: n // 2]).encode()
+        own, changed, following = (fingerprints.signatures([x])[0] for x in (text.encode(), edited, after.encode()))
+        expected.append((doc_id, n, hashlib.sha256(edited).hexdigest(), fingerprints.fingerprint_text(own), fingerprints.fingerprint_text(changed), (own == changed).mean(), (own == following).mean()))
+    found = [tuple(r) for r in fingerprints.fingerprint_edits(docs).collect()]
+    assert sorted(found, key=str) == sorted((tuple(x.item() if hasattr(x, "item") else x for x in r) for r in expected), key=str)
+
+
 def test_edited_texts_follow_the_order_of_ids(spark):
     texts = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' where doc_id % 3 <> 1").fetchall() + [(10**9, ""), (10**9 + 1, None), (-5, "one"), (None, "a b c d")]
     texts.sort(key=lambda r: (r[0] is None, r[0] or 0))
