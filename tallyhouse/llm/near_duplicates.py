@@ -365,7 +365,8 @@ def _stars(docs: DataFrame, grouped: DataFrame, words: int, percent: int, lower:
     heads = crowded.groupBy("key").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("doc_id"))
     heads = crowded.select("key", "gid").distinct().join(heads, "key").select("gid", F.lit(0).alias("chunk"), "doc_id", F.lit(1).alias("member"), F.lit(0).alias("asks"))
     asking = crowded.select("gid", F.lit(0).alias("chunk"), "doc_id", F.lit(0).alias("member"), F.lit(1).alias("asks"))
-    sets = _sets_of(docs, materialised(heads.unionByName(asking)), words, lower)
+    # a table, so that Spark knows its size: texts are only shuffled for crowds too large to broadcast their ids
+    sets = _sets_of(docs, written(heads.unionByName(asking)), words, lower)
     return materialised(sets.groupBy("gid", "chunk").applyInArrow(_opener(percent), "a long, b long"))
 
 
