@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, near_duplicates, packing, sharding, substring_dedup, url_filter
+from tallyhouse.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, near_duplicates, packing, periodic_runs, sharding, substring_dedup, url_filter
 from tallyhouse.llm.tables import read
 
 
@@ -56,6 +56,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.with_planted_periods(read(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    rows = found.withColumns({"best": longest, "lines": F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")})
+    length, period = -F.col("best.less"), F.col("best.period")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,6 +81,7 @@ QUERIES = {
         op8_language_id,
         op9_sharding,
         op10_fingerprints,
+        op11_periodic_runs,
     )
 }
 
