@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, near_duplicates, packing, periodic_runs, sharding, substring_dedup, url_filter
+from tallyhouse.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, near_duplicates, packing, periodic_runs, sharding, spelling, substring_dedup, url_filter
 from tallyhouse.llm.tables import read
 
 
@@ -68,6 +68,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +86,7 @@ QUERIES = {
         op9_sharding,
         op10_fingerprints,
         op11_periodic_runs,
+        op12_spelling_variants,
     )
 }
 
@@ -123,5 +128,33 @@ SELECT any_value(conv_id) AS conv_id, participant, count(*) AS n_turns,
        coalesce(string_agg(CASE WHEN own THEN CAST(CAST(upto AS BIGINT) - length(body) AS VARCHAR) || '-' || CAST(CAST(upto AS BIGINT) AS VARCHAR) END, ','
          ORDER BY turn NULLS FIRST, role, text), '') AS mask
 FROM w GROUP BY dialogue, participant
+""",
+    # CRC-32 bit by bit; a replaced code point leaves the same rest without the same place, a deleted one is the other word itself
+    "op12_spelling_variants": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) r WHERE length(run) >= 7),
+keyed AS (SELECT run, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS digits FROM runs),
+hashed AS (
+  SELECT run, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(CAST(length(digits) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(digits, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) AS h
+  FROM keyed),
+occ AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+w AS (SELECT word, count(*) AS n FROM occ WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w) x),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM w LEFT JOIN best ON w.word = best.word),
+up(word, root) AS (
+  SELECT word, coalesce(form, word) FROM f
+  UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL),
+r AS (SELECT up.word, up.root FROM up JOIN f ON f.word = up.root WHERE f.form IS NULL)
+SELECT f.word, f.form, r.root, CAST(f.n AS BIGINT) AS n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f JOIN r ON f.word = r.word
 """,
 }
