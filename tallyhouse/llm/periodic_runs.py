@@ -222,10 +222,15 @@ def with_planted_periods(docs: DataFrame) -> DataFrame:
     A null id plants nothing.
     """
     h = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    g, n = F.floor(h / 10), F.size(words).cast("long")
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    planted = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
-    chosen = (h % 10 == 0) & (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0)
-    return docs.select("doc_id", F.when(chosen, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+    split = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("words"), F.floor(h / 10).alias("g"))
+    sized = split.withColumn("n", F.coalesce(F.size("words"), F.lit(0)).cast("long"))
+    placed = sized.withColumn("a", F.when(F.col("n") > 0, F.pmod("g", "n")))
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.pmod(F.col("g"), F.lit(8)))))
+
+    def part(of, first, size):
+        return F.slice(of, first.cast("int"), size.cast("int"))
+
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    repeated = F.flatten(F.array_repeat(part("words", F.col("a") + 1, F.col("p")), times))
+    whole = part(F.concat(part("words", F.lit(1), F.col("a")), repeated), F.lit(1), F.col("n"))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
