@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, near_duplicates, packing, periodic_runs, sharding, spelling, substring_dedup, url_filter
+from tallyhouse.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, minhash, near_duplicates, packing, periodic_runs, sharding, spelling, substring_dedup, url_filter
 from tallyhouse.llm.tables import read
 
 
@@ -72,6 +72,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.word_counts(read(spark, sf_dir, "documents")))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +91,7 @@ QUERIES = {
         op10_fingerprints,
         op11_periodic_runs,
         op12_spelling_variants,
+        op13_minhash,
     )
 }
 

@@ -64,3 +64,28 @@ def sequence_hashes(hashes: np.ndarray, at: np.ndarray, length: int) -> np.ndarr
     for k in range(length):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[at + k])
     return out
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes of runs of ``words`` words, sorted within each text: where each text's begin (texts + 1), hashes.
+
+    A text of 1 to ``words`` - 1 words has its whole sequence as one shingle.
+    """
+    start, end, text = word_spans(raw, offsets)
+    numbers, dictionary = word_numbers(raw, start, end)
+    hashes = word_hashes(dictionary)[numbers]
+    texts = len(offsets) - 1
+    first = np.searchsorted(text, np.arange(texts + 1))
+    count = np.diff(first)
+    at = np.flatnonzero(text[: max(0, len(text) - words + 1)] == text[words - 1 :])
+    found, owner = [sequence_hashes(hashes, at, words)], [text[at]]
+    for few in range(1, words):
+        short = np.flatnonzero(count == few)
+        found.append(sequence_hashes(hashes, first[short], few))
+        owner.append(short)
+    one, of = np.concatenate(found), np.concatenate(owner)
+    order = np.lexsort((one, of))
+    one, of = one[order], of[order]
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (of[1:] != of[:-1])
+    return np.searchsorted(of[new], np.arange(texts + 1)), one[new]
