@@ -79,6 +79,15 @@ select event_id, user_id, event_type, {_ns('t')} as namespace, {d.from_us(f"{T0_
         "gpu_samples": f"select {T0} as tick_ts, {_ns('t')} as namespace, cast(user_id % 8 as string) as gpu, user_id as uuid, event_type, event_id, least(value, cast(100 as double)) as value from (select *, user_id % {d.tenants} as t from {{events}}) e where event_type in ('view', 'click')",
         "reconciles": f"select distinct cast(date_trunc('day', ts) as timestamp) as tick_ts, 'id-' || cast(user_id as string) as external_id from {{events}}",
         "reconcile_times": "select tick_ts from {reconciles} union select tick_ts + interval 12 hours from {reconciles} where extract(day from tick_ts) % 4 = 0",
+        # listings by namespace: one fails every day (half of its tenants are missing then), another is not tried every fifth day
+        "listings": "select distinct cast(date_trunc('day', ts) as timestamp) as tick_ts, user_id % 7 as k from {events} where not (user_id % 7 = 3 and extract(day from ts) % 5 = 2)",
+        "manifest": "select tick_ts, 'ns-' || cast(k as string) as namespace, k <> extract(day from tick_ts) % 9 as complete from {listings}",
+        "ns_snapshots": "select distinct cast(date_trunc('day', ts) as timestamp) as tick_ts, 'id-' || cast(user_id as string) as external_id, 'ns-' || cast(user_id % 7 as string) as namespace from {events} where not (user_id % 7 = extract(day from ts) % 9 and user_id % 2 = 0) and not (user_id % 7 = 3 and extract(day from ts) % 5 = 2)",
+        # a third of all intervals and samples are one tenant's
+        "spans": f"""
+select o_orderkey as span_id, case when o_orderkey % 3 = 0 then 'busy' else 'id-' || cast(o_orderkey % 50 as string) end as external_id, {d.from_us(f"{d.us('o_orderdate')} + (o_custkey % 24) * 3600000000")} as start_ts,
+  case when o_orderkey % 1000 = 0 then null else {d.from_us(f"{d.us('o_orderdate')} + (o_custkey % 24 + case when o_orderkey % 500 = 1 then 9600 when o_orderkey % 50 = 2 then -1 else o_custkey % 60 end) * 3600000000")} end as end_ts from {{orders}}""",
+        "span_points": f"select l_orderkey * 8 + l_linenumber as point_id, case when l_orderkey % 3 = 0 then 'busy' else 'id-' || cast(l_orderkey % 50 as string) end as external_id, {d.from_us(f"{d.us('l_shipdate')} + l_linenumber * 3600000000")} as tick_ts, cast(l_quantity as bigint) as units from {{lineitem}}",
         "usage_rows": f"""
 select event_id, 'id-' || cast(user_id as string) as subscription, '{WORD}_' || case event_type when 'click' then 'cpu_core_hours' when 'view' then 'memory_gb_hours' when 'purchase' then 'gpu_hours' when 'signup' then 'network_egress_gb' else 'lb_hours' end as code,
   case event_type when 'click' then 'cpu_core_hours' when 'view' then 'memory_gb_hours' when 'purchase' then 'gpu_hours' when 'signup' then 'egress_gb' else 'lb_hours' end as field,

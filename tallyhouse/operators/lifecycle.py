@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.intervals import within_intervals
+
 
 def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -89,7 +91,65 @@ def asof_tenant_set(ticks: DataFrame, snapshots: DataFrame, reconciles: DataFram
 
 
 def usage_within_subscription(usage: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Samples inside a tenant's [start_ts, end_ts); the join is on the tenant, the interval a condition on it."""
-    spans = intervals.select(F.col("external_id").alias("span_id"), "start_ts", "end_ts")
-    inside = (F.col("external_id") == F.col("span_id")) & (F.col("tick_ts") >= F.col("start_ts")) & (F.col("end_ts").isNull() | (F.col("tick_ts") < F.col("end_ts")))
-    return usage.join(spans, inside).drop("span_id", "start_ts", "end_ts")
+    """Samples inside a tenant's [start_ts, end_ts), by time buckets (see :func:`within_intervals`)."""
+    spans = intervals.select("external_id", F.col("start_ts").alias("span_start"), F.col("end_ts").alias("span_end"))
+    return within_intervals(usage, spans, ["external_id"], "tick_ts", "span_start", "span_end").drop("span_start", "span_end")
+
+
+# -- incomplete snapshots -------------------------------------------------------------------------
+
+
+def listing_sources(manifest: DataFrame, max_gap: int | None = None) -> DataFrame:
+    """(tick_ts, namespace, source_ts, carried): the listing that stands for each namespace at each reconcile.
+
+    ``manifest(tick_ts, namespace, complete)`` has a row for each namespace that a reconcile tried to list; at a time where a namespace
+    has no complete row (the listing failed, or was not tried) its last complete listing before stands for it, for
+    ``max_gap`` further reconciles at most (None: until it is listed again).  A namespace begins with its first complete listing.
+    """
+    # one row a reconcile; two rows that disagree about a namespace count as incomplete
+    ticks = manifest.select("tick_ts").distinct().withColumn("seq", F.row_number().over(Window.orderBy("tick_ts")))
+    each = manifest.groupBy("tick_ts", "namespace").agg(F.min(F.coalesce("complete", F.lit(False))).alias("complete"))
+    listed = each.where("complete").join(ticks, "tick_ts").select("namespace", F.col("tick_ts").alias("source_ts"), "seq")
+    last = ticks.agg(F.max("seq").alias("last_seq"))  # one row
+    following = F.lead("seq").over(Window.partitionBy("namespace").orderBy("seq"))
+    stands = listed.withColumn("next_seq", following).crossJoin(F.broadcast(last)).withColumn("upto", F.coalesce(F.col("next_seq") - 1, F.col("last_seq")))
+    if max_gap is not None:
+        stands = stands.withColumn("upto", F.least("upto", F.col("seq") + F.lit(max_gap)))
+    covered = stands.select("namespace", "source_ts", F.explode(F.sequence("seq", "upto")).alias("seq"))
+    return covered.join(ticks, "seq").select("tick_ts", "namespace", "source_ts", (F.col("source_ts") < F.col("tick_ts")).alias("carried"))
+
+
+def complete_snapshots(snapshots: DataFrame, manifest: DataFrame, max_gap: int | None = None) -> DataFrame:
+    """``snapshots`` as they would be had every listing succeeded: what failed is replaced by the last complete listing before.
+
+    ``snapshots(tick_ts, namespace, …)`` rows of an incomplete listing are dropped, since some tenants may be missing from it; the rows that
+    stand in have its time and ``carried`` = true.  Removal is only seen once a complete listing lacks the tenant.
+    """
+    stored = snapshots.withColumnRenamed("tick_ts", "source_ts")
+    joined = stored.join(listing_sources(manifest, max_gap), ["namespace", "source_ts"])
+    return joined.select(*snapshots.columns, "carried")
+
+
+def gated_intervals(snapshots: DataFrame, manifest: DataFrame, max_gap: int | None = None) -> DataFrame:
+    """:func:`subscription_intervals` over complete snapshots: no interval ends, and none begins, because a listing failed."""
+    whole = complete_snapshots(snapshots, manifest, max_gap)
+    return subscription_intervals(whole.select("external_id", "tick_ts"), manifest.select("tick_ts").distinct())
+
+
+def listing_gaps(manifest: DataFrame) -> DataFrame:
+    """Stretches of reconciles that a namespace was not listed completely in: namespace, first and last of them, and how many.
+
+    A stretch before the first complete listing has ``known_before`` = false: nothing could stand in for it.
+    """
+    ticks = manifest.select("tick_ts").distinct().withColumn("seq", F.row_number().over(Window.orderBy("tick_ts")))
+    each = manifest.groupBy("tick_ts", "namespace").agg(F.min(F.coalesce("complete", F.lit(False))).alias("complete")).join(ticks, "tick_ts")
+    last = ticks.agg(F.max("seq").alias("last_seq"))  # one row
+    order = Window.partitionBy("namespace").orderBy("seq")
+    done = each.where("complete").select("namespace", "seq").withColumn("next_seq", F.lead("seq").over(order)).crossJoin(F.broadcast(last))
+    after = done.select("namespace", (F.col("seq") + 1).alias("from"), F.coalesce(F.col("next_seq") - 1, F.col("last_seq")).alias("upto"), F.lit(True).alias("known_before"))
+    # before the first complete listing only what was tried is known
+    bounds = each.groupBy("namespace").agg(F.min("seq").alias("from"), F.min(F.when(F.col("complete"), F.col("seq"))).alias("first_done")).crossJoin(F.broadcast(last))
+    before = bounds.select("namespace", "from", F.coalesce(F.col("first_done") - 1, F.col("last_seq")).alias("upto"), F.lit(False).alias("known_before"))
+    gaps = after.unionByName(before).where("upto >= `from`")
+    at = lambda name, new: ticks.select(F.col("seq").alias(name), F.col("tick_ts").alias(new))
+    return gaps.join(at("from", "first_ts"), "from").join(at("upto", "last_ts"), "upto").select("namespace", "first_ts", "last_ts", (F.col("upto") - F.col("from") + 1).cast("bigint").alias("reconciles"), "known_before")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyhouse.fixtures import Inputs, oracle
 from tallyhouse.functions import scalars as S
 from tallyhouse.functions import settings
-from tallyhouse.operators import collect, convert, counters, discovery, lifecycle, rating, report
+from tallyhouse.operators import collect, convert, counters, discovery, intervals, lifecycle, rating, report
 from tallyhouse.plans import metering
 from tallyhouse.sources import catalog, readers, sinks
 from tallyhouse.streaming import jobs, run
@@ -644,6 +644,61 @@ def _(i):
     return lifecycle.usage_within_subscription(usage, lifecycle.subscription_intervals(i["reconciles"], i["reconcile_times"])).select("event_id", "external_id")
 
 
+_POINTS = "select s.span_id, p.units from {spans} s join {span_points} p on s.external_id = p.external_id and p.tick_ts >= s.start_ts and (s.end_ts is null or p.tick_ts < s.end_ts)"
+
+
+@query("within_intervals", f"select span_id, cast(count(*) as bigint) as points, cast(sum(units) as bigint) as units from ({_POINTS}) m group by span_id")
+def _(i):
+    met = intervals.within_intervals(i["span_points"], i["spans"], ["external_id"])
+    return met.groupBy("span_id").agg(F.count("*").alias("points"), F.sum("units").alias("units"))
+
+
+@query("overlapping_intervals", "select a.external_id, cast(count(*) as bigint) as pairs, cast(sum(epoch(least(a.end_ts, b.end_ts)) - epoch(greatest(a.start_ts, b.start_ts))) as bigint) as seconds, cast(sum(case when a.end_ts is null and b.end_ts is null then 1 else 0 end) as bigint) as open from {spans} a join {spans} b on a.external_id = b.external_id and a.span_id < b.span_id and (b.end_ts is null or a.start_ts < b.end_ts) and (a.end_ts is null or b.start_ts < a.end_ts) and (a.end_ts is null or a.end_ts > a.start_ts) and (b.end_ts is null or b.end_ts > b.start_ts) group by a.external_id")
+def _(i):
+    pairs = intervals.overlapping(i["spans"], i["spans"], ["external_id"]).where("span_id < other_span_id")
+    seconds = F.unix_timestamp("overlap_end") - F.unix_timestamp("overlap_start")
+    return pairs.groupBy("external_id").agg(F.count("*").alias("pairs"), F.sum(seconds).alias("seconds"), F.sum(F.col("overlap_end").isNull().cast("bigint")).alias("open"))
+
+
+# listings that failed: the last complete one stands in
+_SOURCES = "listed as (select namespace, tick_ts from {manifest} where complete), ticks as (select distinct tick_ts from {manifest}), sources as (select t.tick_ts, l.namespace, max(l.tick_ts) as source_ts from ticks t join listed l on l.tick_ts <= t.tick_ts group by all)"
+_WHOLE = f"{_SOURCES}, whole as (select s.tick_ts, n.namespace, n.external_id, s.source_ts < s.tick_ts as carried from sources s join {{ns_snapshots}} n on n.namespace = s.namespace and n.tick_ts = s.source_ts)"
+_GATED = f"""{_WHOLE}, seqs as (select tick_ts, row_number() over (order by tick_ts) as seq, lead(tick_ts) over (order by tick_ts) as next_ts from ticks),
+runs as (select w.external_id, s.*, s.seq - row_number() over (partition by w.external_id order by s.seq) as island from (select distinct external_id, tick_ts from whole) w join seqs s using (tick_ts))"""
+
+
+@query("listing_sources", f"with {_SOURCES} select cast(epoch(tick_ts) as bigint) as tick_ts, namespace, cast(epoch(source_ts) as bigint) as source_ts, source_ts < tick_ts as carried from sources")
+def _(i):
+    return lifecycle.listing_sources(i["manifest"]).withColumns(_unix("tick_ts", "source_ts"))
+
+
+@query("complete_snapshots", f"with {_WHOLE} select cast(epoch(tick_ts) as bigint) as tick_ts, namespace, external_id, carried from whole")
+def _(i):
+    return lifecycle.complete_snapshots(i["ns_snapshots"], i["manifest"]).withColumns(_unix("tick_ts"))
+
+
+@query("complete_snapshots_max_gap", f"with {_WHOLE}, nums as (select tick_ts, row_number() over (order by tick_ts) as seq from ticks) select cast(epoch(w.tick_ts) as bigint) as tick_ts, namespace, external_id, carried from (select w.*, s.source_ts from whole w join sources s using (tick_ts, namespace)) w join nums a on a.tick_ts = w.tick_ts join nums b on b.tick_ts = w.source_ts where a.seq - b.seq <= 1")
+def _(i):
+    return lifecycle.complete_snapshots(i["ns_snapshots"], i["manifest"], max_gap=1).withColumns(_unix("tick_ts"))
+
+
+@query("gated_intervals", f"with {_GATED} select external_id, cast(epoch(min(tick_ts)) as bigint) as start_ts, cast(epoch(arg_max(coalesce(next_ts, timestamp '1970-01-01'), seq)) as bigint) as end_ts, cast(count(*) as bigint) as reconciles from runs group by external_id, island")
+def _(i):
+    rows = lifecycle.gated_intervals(i["ns_snapshots"], i["manifest"])
+    return rows.select("external_id", F.unix_timestamp("start_ts").alias("start_ts"), F.coalesce(F.unix_timestamp("end_ts"), F.lit(0)).alias("end_ts"), "reconciles")
+
+
+@query(
+    "listing_gaps",
+    f"""with {_SOURCES}, nums as (select tick_ts, row_number() over (order by tick_ts) as seq from ticks), tried as (select namespace, min(tick_ts) as first from {{manifest}} group by namespace),
+ grid as (select n.namespace, t.tick_ts, t.seq, s.source_ts from tried n join nums t on t.tick_ts >= n.first left join sources s on s.namespace = n.namespace and s.tick_ts = t.tick_ts where s.source_ts is null or s.source_ts < t.tick_ts),
+ runs as (select *, seq - row_number() over (partition by namespace order by seq) as island from grid)
+ select namespace, cast(epoch(min(tick_ts)) as bigint) as first_ts, cast(epoch(max(tick_ts)) as bigint) as last_ts, cast(count(*) as bigint) as reconciles, count(source_ts) > 0 as known_before from runs group by namespace, island""",
+)
+def _(i):
+    return lifecycle.listing_gaps(i["manifest"]).withColumns(_unix("first_ts", "last_ts"))
+
+
 # -- counters ---------------------------------------------------------------------------------
 
 _SERIES = ["namespace", "user_id", "event_type"]
