@@ -13,7 +13,7 @@ from tallyhouse.functions import settings
 from tallyhouse.operators import collect, convert, counters, discovery, intervals, lifecycle, rating, report
 from tallyhouse.plans import metering
 from tallyhouse.sources import catalog, readers, sinks
-from tallyhouse.streaming import jobs, run
+from tallyhouse.streaming import jobs, late, periods, run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -866,3 +866,58 @@ def _(i):
     )
     latest = run.upserted(jobs.stream_period_usage(rows), rating.USAGE_KEY)
     return latest.select("external_subscription_id", "code", F.unix_timestamp("period").alias("period"), "units_micro")
+
+
+#: Events as usage with a quantity; weeks are billing periods here, as the events span a month.
+def _quantities(i: Inputs) -> DataFrame:
+    return _stream(i).select(
+        F.concat(F.lit("id-"), F.col("user_id").cast("string")).alias("external_subscription_id"), F.col("event_type").alias("code"), F.lit(None).cast("string").alias("gpu_type"),
+        F.unix_timestamp("ts").alias("timestamp"), F.round(F.col("value") * 100).cast("bigint").alias("quantity_micro"),
+    )
+
+
+@query(
+    "stream_closing_usage",
+    f"""select 'id-' || cast(user_id as string) as external_subscription_id, event_type as code, cast(epoch(date_trunc('week', ts)) as bigint) as period, cast(sum(cast(round(value * 100) as bigint)) as bigint) as units_micro, cast(count(*) as bigint) as events,
+  date_trunc('week', ts) + interval 7 days <= {_CLOSED} as closed from {{events}} group by user_id, event_type, date_trunc('week', ts)""",
+)
+def _(i):
+    folder = run.shared_folder(i.spark)
+    table = periods.usage_table(f"{folder}/usage")
+    with run.rocksdb(i.spark):
+        writer = periods.stream_closing_usage(_quantities(i), "week").writeStream.foreachBatch(table.sink()).outputMode("update")
+        writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    table.compact(i.spark)
+    return table.rows(i.spark).select("external_subscription_id", "code", F.unix_timestamp("period").alias("period"), "units_micro", "events", "closed")
+
+
+#: Arrival of the events in five batches: one of nineteen comes a batch or more after its time.
+_ARRIVAL = "least(4, cast(floor((extract(day from ts) - 1) / 6) as bigint) + case when event_id % 19 = 0 then 1 + event_id % 3 else 0 end)"
+_SAMPLE = "event_id bigint, ts timestamp, namespace string, units bigint"
+
+
+def _late_table(i: Inputs) -> late.LateTable:
+    def hourly(samples: DataFrame) -> DataFrame:
+        return samples.groupBy(F.date_trunc("hour", "ts").alias("tick_ts"), "namespace").agg(F.sum("units").alias("units"), F.count("*").alias("samples"))
+
+    table = late.LateTable(f"{run.shared_folder(i.spark)}/metered", _SAMPLE, hourly, "tick_ts timestamp, namespace string, units bigint, samples bigint", window_s=3600, unit="day")
+    arriving = i.sql(f"select event_id, cast(ts as timestamp) as ts, 'ns-' || cast(user_id % 10 as string) as namespace, cast(round(value * 100) as bigint) as units, {_ARRIVAL} as arrival from {{events}}")
+    for number in range(5):  # as foreachBatch hands them over
+        table.take(arriving.where(F.col("arrival") == number).drop("arrival"), number)
+    return table
+
+
+@query("late_recompute", f"select cast(epoch(date_trunc('hour', ts)) as bigint) as tick_ts, {_NS} as namespace, cast(sum(cast(round(value * 100) as bigint)) as bigint) as units, cast(count(*) as bigint) as samples from {{events}} group by date_trunc('hour', ts), user_id % 10")
+def _(i):
+    table = _late_table(i)
+    table.recompute(i.spark)
+    return table.rows(i.spark).select(F.unix_timestamp("tick_ts").alias("tick_ts"), "namespace", "units", "samples")
+
+
+@query(
+    "late_rows",
+    f"""with e as (select event_id, ts, {_ARRIVAL} as arrival from {{events}}), tops as (select arrival, max(max(ts)) over (order by arrival rows between unbounded preceding and 1 preceding) - interval 10 minutes as closed from e group by arrival)
+ select e.event_id, cast(e.arrival as bigint) as batch_number from e join tops using (arrival) where date_trunc('hour', e.ts) + interval 1 hour <= tops.closed""",
+)
+def _(i):
+    return _late_table(i).late(i.spark).select("event_id", "batch_number")

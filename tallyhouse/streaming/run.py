@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """State with timers needs the RocksDB store; the session's own comes back afterwards."""
+    old = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, old)
+
+
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
     """A stream over a Parquet table, with the table's own schema.
 
