@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from tallyhouse.functions import scalars as S
 from tallyhouse.functions import settings
 from tallyhouse.operators import collect, convert, counters, discovery, intervals, lifecycle, rating, report
 from tallyhouse.plans import metering
-from tallyhouse.sources import catalog, readers, sinks
+from tallyhouse.sources import catalog, commits, delivery, readers, sinks
 from tallyhouse.streaming import jobs, late, periods, run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -418,6 +419,37 @@ def _(i):
     return _counts(i.spark.read.schema(events.schema).parquet(path))
 
 
+def _flaky(ident: str, payload: str) -> None:
+    if int(ident[:2], 16) % 3 == 0:
+        raise ConnectionError("no answer")
+
+
+@query("delivery_ledger", _SENT)
+def _(i):
+    box, events = delivery.Outbox(f"{run.shared_folder(i.spark)}/delivery"), i["usage_events"]
+    first = F.pmod(F.crc32(F.col("transaction_id").cast("binary")), F.lit(2)) == 0
+    box.put(events.where(first), 0)
+    box.deliver(i.spark, _flaky)
+    box.put(events.where(~first), 1)
+    box.put(events.where(~first), 1)  # a batch that comes twice
+    box.deliver(i.spark, _flaky)
+    box.deliver(i.spark, lambda ident, payload: None)
+    # a payload that was sent twice would be counted twice
+    return _counts(_from_payloads(box.payloads(i.spark).join(box.delivered(i.spark).select("payload_id"), "payload_id")))
+
+
+@query("commit_events", "select code, cast(count(*) as bigint) as events, cast(sum(timestamp) as bigint) as seconds from (select distinct transaction_id, code, timestamp from {usage_events}) e group by code")
+def _(i):
+    events = i["usage_events"]
+    table = commits.EventTable(f"committed_{uuid.uuid4().hex}", 8, f"{run.shared_folder(i.spark)}/committed")
+    table.create(i.spark)
+    first = F.pmod(F.crc32(F.col("transaction_id").cast("binary")), F.lit(2)) == 0
+    for number, part in ((0, events.where(first)), (1, events), (1, events.where(~first)), (2, events.withColumn("transaction_id", F.concat("transaction_id", F.lit("-x"))))):
+        table.commit(part, number)
+    table.rollback(i.spark, 2)
+    return table.deduped(i.spark).groupBy("code").agg(F.count("*").alias("events"), F.sum("timestamp").alias("seconds"))
+
+
 @query("write_report", "select external_id, amount_cents from {spend}")
 def _(i):
     path = f"{run.shared_folder(i.spark)}/report"
@@ -718,6 +750,26 @@ def _(i):
     return counters.network_bytes(counters.counter_rate(i["counters"], _SERIES), ["namespace"]).select("namespace", F.unix_timestamp("window.start").alias("win"), F.round("bytes", 4).alias("bytes"), "series")
 
 
+_EDGES = """inc as (select *, lag(value) over w as pv, lag(ts) over w as pt, time_bucket(interval 5 minutes, ts, timestamp '2024-01-01') as win from {counters} window w as (partition by namespace, user_id, event_type order by ts, value)),
+grouped as (select namespace, user_id, event_type, win, sum(case when pt >= win then case when value >= pv then value - pv else value end end) as increase, arg_min(value, (ts, value)) as first_value,
+  epoch_us(min(ts)) as a, epoch_us(max(ts)) as b, count(*) as n from inc group by all having count(*) >= 2 and max(ts) > min(ts)),
+edges as (select *, (b - a)::double as covered, (b - a)::double / (n - 1) as mean, (a - epoch_us(win))::double as to_start, (epoch_us(win) + 300000000 - b)::double as to_end from grouped),
+whole as (select *, increase * ((covered + least(case when to_start < mean * 1.1::double then to_start else mean / 2 end, case when increase > 0 and first_value >= 0 then covered * (first_value / increase) end)
+  + case when to_end < mean * 1.1::double then to_end else mean / 2 end) / covered) as extrapolated from edges)"""
+
+
+@query("counter_rate_extrapolated", f"with {_EDGES} select namespace, user_id, event_type, cast(epoch(win) as bigint) as win, cast(n as bigint) as samples, round(extrapolated, 6) as extrapolated, round(extrapolated / 300, 9) as rate from whole")
+def _(i):
+    found = counters.counter_rate(i["counters"], _SERIES, extrapolate=True)
+    return found.select(*_SERIES, F.unix_timestamp("window.start").alias("win"), "samples", F.round("extrapolated", 6).alias("extrapolated"), F.round("rate", 9).alias("rate"))
+
+
+@query("network_bytes_extrapolated", f"with {_EDGES} select namespace, cast(epoch(win) as bigint) as win, round(sum(extrapolated / 300) * 300, 4) as bytes, cast(count(*) as bigint) as series from whole group by all")
+def _(i):
+    rates = counters.counter_rate(i["counters"], _SERIES, extrapolate=True)
+    return counters.network_bytes(rates, ["namespace"]).select("namespace", F.unix_timestamp("window.start").alias("win"), F.round("bytes", 4).alias("bytes"), "series")
+
+
 # -- scalar functions -------------------------------------------------------------------------
 
 
