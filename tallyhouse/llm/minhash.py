@@ -9,7 +9,7 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
    with most others, so a family of n copies makes n pairs.  Signatures that agree less than ``SIGMAS`` deviations under the threshold
    are out (a chance of 1e-10 at the threshold); the others are confirmed on their full sets.
 4. Where a head's documents are in several components by then, those outside the largest one are compared with all others of other
-   components, in blocks, by their signatures; first only the most alike of each are confirmed, which joins most of them, then all that are left.
+   components in the same way, in groups of bounded size that report no more links than join their components.
 5. Components follow by alternating large-star and small-star.
 
 Shingles are compared by keyed 64-bit hashes (two sets of 10,000 shingles have one false common shingle with a chance of 5e-12), equal sets by 128
@@ -41,8 +41,8 @@ MINIMA = 128
 MISSED = 1e-9
 #: Standard deviations that the signatures' agreement may lie under the threshold.
 SIGMAS = 6.5
-#: Documents of a block that others are compared with, and documents that are compared with it; shingles of a group at most.
-BLOCK, ASKING, SHINGLES = 2048, 4096, 2_000_000
+#: Shingles of the documents that a group compares, and of those that they are compared with, on average at most.
+SHINGLES = 2_000_000
 
 _FACTORS = np.random.Generator(np.random.PCG64(8675309)).integers(1, 2**64 - 1, (2, 4096), dtype=np.uint64)
 
@@ -122,131 +122,127 @@ def _neighbours(signed: DataFrame, bands: int, rows: int) -> DataFrame:
 # -- verification -----------------------------------------------------------------------------
 
 
-def _agreer(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(len(batch), -1) for c in ("one", "other"))
-            keep = pa.array((one == other).sum(axis=1) >= least)
-            yield batch.select(["a", "b", "n"]).filter(keep)
-
-    return run
+_SETS = "doc_id long, n int, signature binary, shingles binary"
 
 
-def _alike(pairs: DataFrame, signed: DataFrame, percent: int, minima: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and signatures leave a link possible, with b's size."""
-    left = signed.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("one"))
-    right = signed.select(F.col("doc_id").alias("b"), F.col("n").alias("n"), F.col("signature").alias("other"))
-    sized = pairs.join(left.drop("one"), "a").join(right.drop("other"), "b").where((F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent))
-    both = sized.select("a", "b").join(left.drop("n_a"), "a").join(right, "b")
-    return both.select("a", "b", "n", "one", "other").mapInArrow(_agreer(least_agreement(percent, minima)), "a long, b long, n int")
-
-
-def _set_maker(words: int, lower: bool):
+def _set_maker(words: int, lower: bool, minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, starts, shingles in _sets(batch, words, lower):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("gid", "chunk", "doc_id", "first")), blobs(shingles, starts)], ["gid", "chunk", "doc_id", "first", "shingles"])
+                n = np.diff(starts)
+                edges = np.concatenate([[0], np.cumsum(np.where(n > 0, minima, 0))])
+                columns = [batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int32()), blobs(signatures_of(starts, shingles, minima).ravel(), edges), blobs(shingles, starts)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "signature", "shingles"])
 
     return run
 
 
-def _comparer(percent: int):
-    def compare(table: pa.Table) -> pa.Table:
-        ids, first = table.column("doc_id").to_numpy(), table.column("first").to_numpy()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
-        links = set()
-        for i in np.flatnonzero(first):
-            one = sets[i]
-            for k in np.flatnonzero(first == 0):
-                if len(one) and len(sets[k]):
-                    at = np.searchsorted(one, sets[k])
-                    at[at == len(one)] = 0
-                    both = int((one[at] == sets[k]).sum())
-                    if both * (100 + percent) >= percent * (len(one) + len(sets[k])):
-                        links.add((int(ids[i]), int(ids[k])))
-        pairs = np.array(sorted(links), np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+class _Joined:
+    """Union of components, for the links found in one group."""
 
-    return compare
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
-    """Those of the pairs (a, b, n), n being b's size, that link by their full sets.
+    def joins(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
 
-    Texts of a and of its partners meet in groups of ``SHINGLES`` shingles.
+
+def _opener(percent: int, minima: int, cells: int = 32_000_000):
+    """Compares the asking documents of a group with its members in other components: signatures first, then the full sets.
+
+    The links that it gives join the components; of links between joined ones there is one.
     """
-    pairs = materialised(pairs.distinct())
-    groups = pairs.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("chunks"))
-    routed = pairs.join(groups, "a").select(F.col("a").alias("gid"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("doc_id"), F.lit(0).alias("first"))
-    firsts = groups.select(F.col("a").alias("gid"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("doc_id"), F.lit(1).alias("first"))
-    routed = written(routed.unionByName(firsts))  # a table, so that Spark knows its size
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(routed, "doc_id")
-    sets = texts.select("gid", "chunk", "doc_id", "first", "text").mapInArrow(_set_maker(words, lower), "gid long, chunk int, doc_id long, first int, shingles binary")
-    return materialised(sets.groupBy("gid", "chunk").applyInArrow(_comparer(percent), "a long, b long"))
+    least = least_agreement(percent, minima)
+
+    def open_group(table: pa.Table) -> pa.Table:
+        ids, n, comp, asks = (table.column(c).to_numpy() for c in ("doc_id", "n", "comp", "asks"))
+        n = n.astype(np.int64)
+        grid = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(ids), minima)
+        sets = table.column("shingles")
+        members, asking = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
+        joined, links = _Joined(), []
+        a = 0
+        while a < len(members):
+            # members a few at a time, so that the table of shingles and members stays small
+            size = np.cumsum(n[members[a:]])
+            b = a + max(1, int(np.searchsorted(size * np.arange(1, len(size) + 1), cells, side="right")))
+            part, a = members[a:b], b
+            tokens, at = np.unique(np.concatenate([np.frombuffer(sets[int(i)].as_py(), np.uint64) for i in part]), return_inverse=True)
+            has = np.zeros((len(tokens), len(part)), np.uint8)
+            has[at, np.repeat(np.arange(len(part)), n[part])] = 1
+            for i in asking:
+                fits = np.flatnonzero((comp[part] != comp[i]) & (np.minimum(n[part], n[i]) * 100 >= np.maximum(n[part], n[i]) * percent))
+                fits = fits[(grid[part[fits]] == grid[i]).sum(axis=1) >= least]
+                if not len(fits):
+                    continue
+                mine = np.frombuffer(sets[int(i)].as_py(), np.uint64)
+                where = np.searchsorted(tokens, mine)
+                where[where == len(tokens)] = 0
+                both = has[np.ix_(where[tokens[where] == mine], fits)].sum(axis=0, dtype=np.int64)
+                for k in fits[both * (100 + percent) >= percent * (n[part[fits]] + n[i])]:
+                    if joined.joins(int(comp[i]), int(comp[part[k]])):
+                        links.append((int(ids[i]), int(ids[part[k]])))
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
+    return open_group
 
-# -- documents that are not in their head's component --------------------------------------------
 
+def _opened(routed: DataFrame, sets: DataFrame, percent: int, minima: int) -> DataFrame:
+    """Links found in the groups (head, block, turn) that ``routed`` sends documents to."""
+    rows = routed.join(sets, "doc_id").select("head", "block", "turn", "doc_id", "comp", "asks", "n", "signature", "shingles")
+    return materialised(rows.groupBy("head", "block", "turn").applyInArrow(_opener(percent, minima), "a long, b long"))
 
-_ASKED = "a long, b long, n int"
 
+def _with_heads(near: DataFrame, sets: DataFrame, percent: int, minima: int) -> DataFrame:
+    """Links of documents with their heads; a head meets its documents in groups of ``SHINGLES`` shingles."""
+    sized = near.join(sets.select("doc_id", "n"), "doc_id")
+    groups = sized.groupBy("head").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    none = F.lit(0).alias("turn")
+    asking = near.join(groups, "head").select("head", block.alias("block"), none, "doc_id", F.col("doc_id").alias("comp"), F.lit(1).alias("asks"))
+    heads = groups.select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), none, F.col("head").alias("doc_id"), F.col("head").alias("comp"), F.lit(0).alias("asks"))
+    return _opened(asking.unionByName(heads), sets, percent, minima)
 
-def _searcher(percent: int, minima: int, best: int | None):
-    least = least_agreement(percent, minima)
 
-    def search(table: pa.Table) -> pa.Table:
-        ids, n, comp, rest, asks = (table.column(c).to_numpy() for c in ("doc_id", "n", "comp", "rest", "asks"))
-        grid = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(ids), minima)
-        member = np.flatnonzero(asks == 0)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        held = grid[member]
-        for i in np.flatnonzero(asks == 1):
-            agree = (held == grid[i]).sum(axis=1)
-            small, large = np.minimum(n[member], n[i]).astype(np.int64), np.maximum(n[member], n[i]).astype(np.int64)
-            fits = (agree >= least) & (comp[member] != comp[i]) & (small * 100 >= large * percent)
-            if best is None:
-                fits &= (rest[member] == 0) | (ids[member] > ids[i])  # both ask: one is enough
-            at = np.flatnonzero(fits)
-            if best is not None and len(at) > best:
-                at = at[np.lexsort((ids[member][at], -agree[at]))[:best]]
-            found.append((np.full(len(at), ids[i]), ids[member[at]], n[member[at]]))
-        a, b, size = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(size, pa.int32())})
-
-    return search
-
-
-def _left_over(near: DataFrame, signed: DataFrame, links: DataFrame, percent: int, minima: int, best: int | None) -> DataFrame | None:
-    """Pairs (a, b, n) of a head's documents in different components that may link; ``best`` of them for each document and block, or all."""
+def _with_each_other(near: DataFrame, sets: DataFrame, links: DataFrame, percent: int, minima: int) -> DataFrame | None:
+    """Links of a head's documents that are in different components: those outside the largest one with all others, in blocks."""
     comps = star_components(links).withColumnRenamed("node", "doc_id")
-    sized = signed.select("doc_id", "n")
-    labelled = materialised(near.join(comps, "doc_id", "left").join(sized, "doc_id").select("head", "doc_id", F.coalesce("component", "doc_id").alias("comp"), "n"))
-    each = labelled.groupBy("head", "comp").agg(F.count("*").alias("many"))
-    mixed = materialised(each.groupBy("head").agg(F.max_by("comp", F.struct("many", -F.col("comp"))).alias("main"), F.max("many").alias("most"), F.sum("many").alias("size"), F.count("*").alias("comps")).where("comps > 1"))
+    labelled = materialised(near.join(comps, "doc_id", "left").join(sets.select("doc_id", "n"), "doc_id").select("head", "doc_id", F.coalesce("component", "doc_id").alias("comp"), "n"))
+    each = labelled.groupBy("head", "comp").agg(F.count("*").alias("many"), F.sum("n").alias("size"))
+    largest = F.max_by(F.struct("comp", "size"), F.struct("many", -F.col("comp")))
+    mixed = each.groupBy("head").agg(largest.alias("main"), F.sum("size").alias("size"), F.count("*").alias("comps")).where("comps > 1")
+    mixed = materialised(
+        mixed.select("head", F.col("main.comp").alias("main"), F.ceil(F.col("size") / SHINGLES).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("main.size")) / SHINGLES).cast("int").alias("turns"))
+    )
     if mixed.isEmpty():
         return None
-    blocks, turns = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("most")) / ASKING).cast("int")
-    rows = labelled.join(mixed.select("head", "main", blocks.alias("blocks"), turns.alias("turns")), "head").withColumn("rest", (F.col("comp") != F.col("main")).cast("int"))
+    rows = labelled.join(mixed, "head")
     block, turn = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("doc_id"), F.col("turns")).cast("int")
-    kept = ["head", "block", "turn", "doc_id", "comp", "rest", "asks"]
+    kept = ["head", "block", "turn", "doc_id", "comp", "asks"]
     members = rows.withColumns({"block": block, "asks": F.lit(0)}).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select(*kept)
-    asking = rows.where("rest = 1").withColumns({"turn": turn, "asks": F.lit(1)}).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*kept)
-    signed_rows = members.unionByName(asking).join(signed.select("doc_id", "n", "signature"), "doc_id")
-    return materialised(signed_rows.groupBy("head", "block", "turn").applyInArrow(_searcher(percent, minima, best), _ASKED).distinct())
+    asking = rows.where("comp <> main").withColumns({"turn": turn, "asks": F.lit(1)}).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*kept)
+    return _opened(members.unionByName(asking), sets, percent, minima)
 
 
 def _links(docs: DataFrame, signed: DataFrame, words: int, percent: int, lower: bool, minima: int) -> DataFrame:
     """Links (a, b) that connect all linked documents; ``signed`` holds each set once."""
     near = _neighbours(signed, *banding(percent, minima))
-    pairs = near.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    links = _confirmed(docs, _alike(pairs, signed, percent, minima), words, percent, lower)
-    for best in (2, None):
-        asked = _left_over(near, signed, links, percent, minima, best)
-        if asked is None:
-            break
-        links = materialised(links.unionByName(_confirmed(docs, asked, words, percent, lower)))
-    return links
+    # sets of documents that share a bucket, made once: only then are texts read again
+    wanted = written(near.select(F.explode(F.array("head", "doc_id")).alias("doc_id")).distinct())
+    sets = written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_maker(words, lower, minima), _SETS).where("n > 0"))
+    links = _with_heads(near, sets, percent, minima)
+    more = _with_each_other(near, sets, links, percent, minima)
+    return links if more is None else links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True, minima: int = MINIMA) -> DataFrame:

@@ -81,11 +81,9 @@ def families():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("n, percent, block", [(3, 85, 2048), (5, 80, 16), (3, 60, 2048)])
-def test_families_of_near_copies(spark, monkeypatch, n, percent, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "ASKING", 8 if block == 16 else 4096)
-    monkeypatch.setattr(minhash, "SHINGLES", 500 if block == 16 else 2_000_000)
+@pytest.mark.parametrize("n, percent, shingles", [(3, 85, 2_000_000), (5, 80, 900), (3, 60, 2_000_000)])
+def test_families_of_near_copies(spark, monkeypatch, n, percent, shingles):
+    monkeypatch.setattr(minhash, "SHINGLES", shingles)
     rows = families()
     assert run(spark, rows, words=n, percent=percent) == brute_force(rows, n, percent)
 
