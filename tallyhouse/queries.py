@@ -14,7 +14,7 @@ from tallyhouse.functions import settings
 from tallyhouse.operators import collect, convert, counters, discovery, intervals, lifecycle, rating, report
 from tallyhouse.plans import metering
 from tallyhouse.sources import catalog, commits, delivery, readers, sinks
-from tallyhouse.streaming import jobs, late, periods, run
+from tallyhouse.streaming import jobs, late, periods, run, tenants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -973,3 +973,42 @@ def _(i):
 )
 def _(i):
     return _late_table(i).late(i.spark).select("event_id", "batch_number")
+
+
+#: Samples by namespace and kind, and hourly reconciles of thirteen tenants, two of whom are in namespaces without samples; a far later row closes both.
+_KINDS = "case event_type when 'click' then 'cpu_milli' when 'view' then 'memory_bytes' when 'purchase' then 'storage_bytes' else 'lb_count' end"
+_TENANT = "'uid-' || cast(user_id % 13 as string) as uid, 'n' || cast(user_id % 13 as string) as name, 'ns-' || cast(user_id % 13 % 12 as string) as namespace, 'sub-' || cast(user_id % 13 as string) as subscription_id"
+_TICKED = f"""last as (select 'ns-' || cast(user_id % 10 as string) as namespace, time_bucket(interval 30 minutes, ts, timestamp '2024-01-01') + interval 30 minutes as tick_ts, {_KINDS} as kind, user_id as object, arg_max(cast(round(value * 100) as bigint), (ts, cast(round(value * 100) as bigint))) as v from {{events}} group by all),
+sums as (select namespace, tick_ts, sum(case when kind = 'cpu_milli' then v else 0 end) as cpu_milli, sum(case when kind = 'memory_bytes' then v else 0 end) as memory_bytes, sum(case when kind = 'storage_bytes' then v else 0 end) as storage_bytes, sum(case when kind = 'lb_count' then v else 0 end) as lb_count from last group by all),
+ticked as (select distinct date_trunc('hour', ts) + k * interval 30 minutes as tick_ts, {_TENANT} from {{events}}, (values (0), (1)) s(k)),
+metered as (select t.*, coalesce(cpu_milli, 0) as cpu_milli, coalesce(memory_bytes, 0) as memory_bytes, coalesce(storage_bytes, 0) as storage_bytes, coalesce(lb_count, 0) as lb_count from ticked t left join sums s on s.namespace = t.namespace and s.tick_ts = t.tick_ts)"""
+
+
+def _tenant_streams(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    folder = run.shared_folder(i.spark)
+    samples = i.sql(f"select cast(ts as timestamp) as ts, 'ns-' || cast(user_id % 10 as string) as namespace, {_KINDS} as kind, user_id as object, cast(round(value * 100) as bigint) as value from {{events}} union all select cast(max(ts) as timestamp) + interval 3 days, 'closing', 'cpu_milli', 0, 0 from {{events}}")
+    reconciles = i.sql(f"select distinct date_trunc('hour', cast(ts as timestamp)) as tick_ts, {_TENANT} from {{events}} union all select date_trunc('hour', cast(max(ts) as timestamp)) + interval 3 days, 'closing', '', 'closing', '' from {{events}}")
+    for name, rows in (("samples", samples), ("reconciles", reconciles)):
+        rows.write.parquet(f"{folder}/{name}")
+    return run.stream_table(i.spark, f"{folder}/reconciles"), run.stream_table(i.spark, f"{folder}/samples")
+
+
+@query("stream_meter_tenants", f"with {_TICKED} select cast(epoch(tick_ts) as bigint) as tick_ts, uid, namespace, cast(cpu_milli as bigint) as cpu_milli, cast(memory_bytes as bigint) as memory_bytes, cast(storage_bytes as bigint) as storage_bytes, cast(lb_count as bigint) as lb_count from metered")
+def _(i):
+    reconciles, samples = _tenant_streams(i)
+    rows = run.appended(tenants.stream_meter_tenants(tenants.stream_tenant_ticks(reconciles, 1800, 3600), tenants.stream_measures(samples, 1800)))
+    return rows.where("uid <> 'closing'").select(F.unix_timestamp("tick_ts").alias("tick_ts"), "uid", "namespace", *tenants.MEASURES)
+
+
+@query(
+    "stream_meter_events",
+    f"""with {_TICKED}, e as (select subscription_id, 'tenant_cpu_core_hours' as code, cast(trunc(cpu_milli / 1000::double * 0.5::double * 1e6) as bigint) as micro from metered where cpu_milli > 0
+ union all select subscription_id, 'tenant_memory_gb_hours', cast(trunc(memory_bytes / 1073741824::double * 0.5::double * 1e6) as bigint) from metered where memory_bytes > 0
+ union all select subscription_id, 'tenant_storage_gb_hours', cast(trunc(storage_bytes / 1073741824::double * 0.5::double * 1e6) as bigint) from metered where storage_bytes > 0
+ union all select subscription_id, 'tenant_lb_hours', cast(trunc(lb_count * 0.5::double * 1e6) as bigint) from metered where lb_count > 0 union all select subscription_id, 'tenant_instance_hours', 500000 from metered)
+ select subscription_id as external_subscription_id, code, cast(count(*) as bigint) as events, cast(sum(micro) as bigint) as quantity_micro from e group by all""",
+)
+def _(i):
+    reconciles, samples = _tenant_streams(i)
+    rows = run.appended(tenants.stream_meter_events(reconciles, samples, 0.5, 1800, 3600))
+    return rows.where("external_subscription_id <> ''").groupBy("external_subscription_id", "code").agg(F.count("*").alias("events"), F.sum("quantity_micro").alias("quantity_micro"))
