@@ -88,6 +88,12 @@ select event_id, user_id, event_type, {_ns('t')} as namespace, {d.from_us(f"{T0_
 select o_orderkey as span_id, case when o_orderkey % 3 = 0 then 'busy' else 'id-' || cast(o_orderkey % 50 as string) end as external_id, {d.from_us(f"{d.us('o_orderdate')} + (o_custkey % 24) * 3600000000")} as start_ts,
   case when o_orderkey % 1000 = 0 then null else {d.from_us(f"{d.us('o_orderdate')} + (o_custkey % 24 + case when o_orderkey % 500 = 1 then 9600 when o_orderkey % 50 = 2 then -1 else o_custkey % 60 end) * 3600000000")} end as end_ts from {{orders}}""",
         "span_points": f"select l_orderkey * 8 + l_linenumber as point_id, case when l_orderkey % 3 = 0 then 'busy' else 'id-' || cast(l_orderkey % 50 as string) end as external_id, {d.from_us(f"{d.us('l_shipdate')} + l_linenumber * 3600000000")} as tick_ts, cast(l_quantity as bigint) as units from {{lineitem}}",
+        # container samples as JSON lines, some of them broken: ``wrong`` says how
+        "usage_lines": """
+select line, wrong, namespace, pod, container, cpu_milli, memory_bytes, case wrong when 1 then ' ' when 2 then substr(good, 1, 40) when 3 then '[' || good || ']' else good end as value from (
+ select *, '{{"tick_ts":"2024-01-01T00:00:00Z"' || case when wrong = 4 then '' else ',"namespace":"' || namespace || '"' end || ',"pod":"' || pod || '","container":"' || container || '","cpu_milli":' || case wrong when 5 then '"many"' when 6 then '-1' else cast(cpu_milli as string) end
+  || ',"memory_bytes":' || case wrong when 5 then '1.5' else cast(memory_bytes as string) end || case when wrong = 7 then ',"extra":{{"a":[1]}}' else '' end || '}}' as good from (
+  select namespace, pod, container, cpu_milli, memory_bytes, pod || '/' || container || '/' || namespace as line, memory_bytes % 29 % 12 as wrong from {container_now}) r) r""",
         "usage_rows": f"""
 select event_id, 'id-' || cast(user_id as string) as subscription, '{WORD}_' || case event_type when 'click' then 'cpu_core_hours' when 'view' then 'memory_gb_hours' when 'purchase' then 'gpu_hours' when 'signup' then 'network_egress_gb' else 'lb_hours' end as code,
   case event_type when 'click' then 'cpu_core_hours' when 'view' then 'memory_gb_hours' when 'purchase' then 'gpu_hours' when 'signup' then 'egress_gb' else 'lb_hours' end as field,

@@ -12,8 +12,8 @@ from tallyhouse.fixtures import Inputs, oracle
 from tallyhouse.functions import scalars as S
 from tallyhouse.functions import settings
 from tallyhouse.operators import collect, convert, counters, discovery, intervals, lifecycle, rating, report
-from tallyhouse.plans import metering
-from tallyhouse.sources import catalog, commits, delivery, readers, sinks
+from tallyhouse.plans import metering, rollup
+from tallyhouse.sources import catalog, commits, delivery, quarantine, readers, sinks
 from tallyhouse.streaming import jobs, late, periods, run, tenants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,29 @@ def _(i):
     return i["customer"].select("c_custkey", F.explode(readers.parse_watch_namespaces(csv)).alias("namespace"))
 
 
+# broken input: good rows on one side, lines with a reason on the other
+_REASONS = "case wrong when 1 then 'empty' when 2 then 'malformed' when 3 then 'not an object' when 4 then 'missing namespace' when 5 then 'wrong type: cpu_milli, memory_bytes' else 'negative cpu_milli' end"
+
+
+@query("quarantine_good", "select namespace, pod, container, cpu_milli, memory_bytes, cast(1704067200 as bigint) as tick_ts from {usage_lines} where wrong not between 1 and 6")
+def _(i):
+    good, _ = quarantine.split_lines(quarantine.judged_lines(i["usage_lines"].select("line", "value"), "container_usage"))
+    return good.withColumns(_unix("tick_ts"))
+
+
+@query("quarantine_bad", f"select line, value, {_REASONS} as reason from {{usage_lines}} where wrong between 1 and 6")
+def _(i):
+    return quarantine.split_lines(quarantine.judged_lines(i["usage_lines"].select("line", "value"), "container_usage"))[1]
+
+
+@query("quarantine_report", f"select {_REASONS} as reason, cast(count(*) as bigint) as lines, min(value) as example from {{usage_lines}} where wrong between 1 and 6 group by 1")
+def _(i):
+    folder = run.shared_folder(i.spark)
+    i["usage_lines"].select("value").write.text(f"{folder}/lines")
+    quarantine.read_with_quarantine(i.spark, f"{folder}/lines", "container_usage", f"{folder}/aside")
+    return quarantine.quarantine_report(quarantine.quarantined(i.spark, f"{folder}/aside"))
+
+
 # -- discovery --------------------------------------------------------------------------------
 
 
@@ -545,6 +568,29 @@ def _(i):
     return rating.running_total(rating.period_usage(_measured(i), "day")).select("external_subscription_id", "code", "gpu_type", F.unix_timestamp("period").alias("period"), "running_micro")
 
 
+def _tiers(i: Inputs) -> rollup.UsageTiers:
+    """Tiers of nine tenths of the events; then the last tenth comes late, and one code's events of some users are deleted."""
+    tiers, events = rollup.UsageTiers(f"{run.shared_folder(i.spark)}/tiers"), _measured(i).withColumn("event", F.regexp_extract("transaction_id", "([0-9]+)$", 1).cast("bigint"))
+    late, gone = F.col("event") % 10 == 3, (F.col("code") == "tenant_gpu_hours") & (F.col("event") % 7 == 1)
+    first = events.where(~late)
+    tiers.refresh(first, rollup.changed_days(first))
+    tiers.refresh(events.where(~gone), rollup.changed_days(events.where(late), events.where(gone)))
+    return tiers
+
+
+_KEPT = f"{_EV}, kept as (select * from ev where not (code = 'tenant_gpu_hours' and cast(regexp_extract(transaction_id, '([0-9]+)$', 1) as bigint) % 7 = 1))"
+
+
+@query("rollup_tiers_month", f"with {_KEPT} select external_subscription_id, code, gpu_type, cast(epoch(date_trunc('month', make_timestamp(timestamp * 1000000))) as bigint) as period, cast(sum(micro) as bigint) as units_micro, cast(count(*) as bigint) as events from kept group by all")
+def _(i):
+    return _tiers(i).usage(i.spark, "month").withColumns(_unix("period"))
+
+
+@query("rollup_tiers_hour", f"with {_KEPT} select external_subscription_id, code, gpu_type, cast(epoch(date_trunc('hour', make_timestamp(timestamp * 1000000))) as bigint) as period, cast(sum(micro) as bigint) as units_micro, cast(count(*) as bigint) as events from kept group by all")
+def _(i):
+    return _tiers(i).usage(i.spark, "hour").withColumns(_unix("period"))
+
+
 # -- reports ----------------------------------------------------------------------------------
 
 _CHARGED = f"{_PRICED}, charged as (select external_subscription_id, code, cast(sum({_CENTS}) as bigint) as amount_cents from priced group by all)"

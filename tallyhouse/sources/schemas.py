@@ -18,3 +18,25 @@ SCHEMAS = {
     "customers": "external_id string, name string, currency string",
     "subscriptions": "external_customer_id string, plan_code string, external_id string, status string",
 }
+
+#: Columns that a row cannot do without: its time and the keys that it is joined and summed by.
+REQUIRED = {
+    "workloads": ("tick_ts", "kind", "name", "namespace"),
+    "platform_instances": ("tick_ts", "obj"),
+    "tenants": ("tick_ts", "name", "namespace"),
+    "pods": ("tick_ts", "namespace", "pod"),
+    "container_usage": ("tick_ts", "namespace", "pod", "container"),
+    "container_usage_raw": ("tick_ts", "namespace", "pod", "container"),
+    "node_usage": ("tick_ts", "node_name"),
+    "nodes": ("tick_ts", "node_name"),
+    "pvcs": ("tick_ts", "namespace", "name"),
+    "services": ("tick_ts", "namespace", "name"),
+    "prom_samples": ("ts", "metric", "value"),
+    "prom_responses": ("tick_ts", "body"),
+    "reconciles": ("tick_ts", "external_id"),
+    "usage_events": ("transaction_id", "external_subscription_id", "code", "timestamp"),
+    "customers": ("external_id",),
+    "subscriptions": ("external_customer_id", "external_id"),
+}
+#: Numbers that cannot be less than zero.
+NOT_NEGATIVE = ("cpu_milli", "memory_bytes", "storage_bytes", "timestamp")

@@ -34,6 +34,20 @@ def removed(spark: SparkSession, path: str) -> None:
     system.delete(where, True)
 
 
+def overwrite_parts(df: DataFrame, path: str, *parts: str) -> None:
+    """Replaces those partitions of a table that ``df`` has rows for, and no others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def only_parts(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of those partitions that ``wanted`` has in the same column; no others are read.
+
+    The names of the partitions (days or hours that changed) go through the driver, so that the scan knows them.
+    """
+    names = [r[0] for r in wanted.select(column).distinct().collect()]
+    return df.where(F.col(column).isin(names)) if names else df.where("false")
+
+
 @dataclass(frozen=True)
 class UpsertTable:
     """Rows with one current version for each key; ``partition`` is one of the keys, with few values (a billing period)."""

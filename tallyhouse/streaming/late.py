@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.sources.upserts import folders, removed
+from tallyhouse.sources.upserts import folders, only_parts, overwrite_parts, removed
 
 #: Column that history and results are partitioned by.
 PART = "tick_part"
@@ -25,11 +25,6 @@ def tick_part(at: Column, unit: str = "hour") -> Column:
     return F.date_format(at, _FORMATS[unit])
 
 
-def overwrite_parts(df: DataFrame, path: str, *parts: str) -> None:
-    """Replaces those partitions of a table that ``df`` has rows for, and no others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
-
-
 @dataclass(frozen=True)
 class LateTable:
     """Samples by arrival, and a result that is computed from them by partitions of time.
@@ -97,7 +92,7 @@ class LateTable:
         mine.agg(latest.alias("latest_us")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/seen/batch={number}")
 
     def _rebuild(self, spark: SparkSession, parts: DataFrame) -> None:
-        source = self.history(spark).join(parts, PART, "left_semi")  # partitions that are not asked for are not read
+        source = only_parts(self.history(spark), PART, parts)
         rows = self.build(source.drop(PART, "batch_number"))
         overwrite_parts(rows.withColumn(PART, tick_part(F.col("tick_ts"), self.unit)), f"{self.path}/result", PART)
 
