@@ -1,7 +1,7 @@
 """Array kernels shared by the text operators; they run inside Spark tasks on Arrow batches.
 
-A word is a maximal run of bytes other than space and ``\\x09-\\x0D``.  Words and runs of
-``n`` words are hashed to 64 bits with polynomial prefix sums, so that a window of any length
+A word is a maximal run of bytes other than space and ``\\x09-\\x0D``.  Words have keyed 64-bit
+hashes; runs of ``n`` words are hashed with polynomial prefix sums over them, so that a window of any length
 costs one subtraction; documents are never cut, and no window crosses two documents.
 """
 
@@ -13,16 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tallyhouse.llm.words import lowered, mix, word_hashes, word_numbers, word_spans
+
 #: Bytes handled at once; a longer document is handled alone, whole.
 CHUNK_BYTES = 500_000
 
-_BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_LOWER_CODES = _BYTE_CODES.copy()
-_LOWER_CODES[65:91] = _BYTE_CODES[97:123]
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD1342543DE82EF95 | 1
 
 
@@ -47,16 +42,7 @@ class _Powers:
         return self._up[:n], self._down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_WORD_POWERS = _Powers(_WORD_BASE)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,24 +71,11 @@ def slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 def _words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First bytes, ends, document numbers and hashes of the words."""
-    n = len(raw)
-    inside = ~_IS_SPACE[raw]
-    before = np.empty(n, dtype=bool)
-    before[:1] = False
-    before[1:] = inside[:-1]
-    after = np.empty(n, dtype=bool)
-    after[-1:] = False
-    after[:-1] = inside[1:]
-    edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < n)]
-    before[edges] = False
-    after[edges - 1] = False
-    start = np.flatnonzero(inside & ~before)
-    end = np.flatnonzero(inside & ~after) + 1
-    up, down = _BYTE_POWERS.upto(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_LOWER_CODES if lower else _BYTE_CODES)[raw] * up[:n], out=sums[1:])
-    return start, end, np.searchsorted(offsets, start, side="right") - 1, mix((sums[end] - sums[start]) * down[start])
+    if lower:
+        raw = lowered(raw)
+    start, end, doc = word_spans(raw, offsets)
+    numbers, dictionary = word_numbers(raw, start, end)
+    return start, end, doc, word_hashes(dictionary)[numbers]
 
 
 class Words:

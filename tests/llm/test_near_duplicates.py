@@ -174,3 +174,10 @@ def test_the_sketch_counts_every_shingle(spark):
     classes = near_duplicates.shingle_classes(docs, 2, True)
     counts = np.round(2 ** (classes / 8.0) - 1)
     assert abs(counts.sum() - 900) < 60 and counts.max() > 280
+
+
+@pytest.mark.parametrize("letters", [1024, 4096])
+def test_words_that_collide_modulo_a_power_of_two_differ(spark, letters):
+    pair = ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(letters)) for flip in (0, 1)]
+    rows = [(k, " ".join([w, "one", "two"])) for k, w in enumerate(pair)] + [(2, pair[0]), (3, pair[1])]
+    assert run(spark, rows, words=3, percent=90) == brute_force(rows, 3, 90)

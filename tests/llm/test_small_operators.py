@@ -253,3 +253,9 @@ def test_sql_twins(spark, name):
     at = [theirs.columns.index(c) for c in columns]
     assert ours == sorted((tuple(r[k] for k in at) for r in theirs.fetchall()), key=str)
     assert np.isfinite(len(ours))
+
+
+def test_fingerprints_of_words_that_collide_modulo_a_power_of_two_differ():
+    pair = ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1024)).encode() for flip in (0, 1)]
+    found = fingerprints.signatures(pair)
+    assert fingerprints.likeness(found[:1], found[1:])[0] == 0

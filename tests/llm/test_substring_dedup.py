@@ -112,3 +112,11 @@ def test_columns_of_any_name(spark):
     rows = {r["doc_id"]: r for r in without_repeated_words(docs, 3).collect()}
     assert (rows[1]["layout_cell"], rows[2]["layout_cell"], rows[3]["layout_cell"]) == (111, 222, None) and rows[1]["Layout_cell_"] == "m"
     assert rows[1]["text"] == "a b c d e" and rows[2]["text"] == ""
+
+
+def test_words_that_collide_modulo_a_power_of_two_differ(spark):
+    pair = ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(2048)) for flip in (0, 1)]
+    rest = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{pair[0]} {rest}"), (2, f"{pair[1]} {rest}"), (3, f"{pair[0]} {rest}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, repeated_words_digest(docs, window=13).collect()), key=str) == expected(rows, 13)
