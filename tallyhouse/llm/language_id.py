@@ -3,8 +3,9 @@
 A suffix automaton is built on labelled text of each language.  A document is parsed with each
 automaton into longest matches (every phrase is the longest text from its start that occurs in
 the language's sample).  Longer samples give longer matches, by the logarithm of their length,
-so phrases are normalised by it: phrases times log2 of the sample's length, per letter, is the
-cross-parsing estimate of entropy, and the language with the least of it wins.
+so phrases are normalised: a phrase costs log2 of the sample's length, for its place, and log2 of the number of letters,
+for the one that it could not match.  That cost per letter is the cross-parsing estimate of entropy, and the
+language with the least of it wins; a label with a few letters pays a letter for every phrase, one without any is never predicted.
 
 The automata are tables of transitions in which a failed step already leads where the next
 phrase starts.  Blocks of ``BLOCK`` letters of all texts step through them together, each from a
@@ -114,7 +115,8 @@ class Automaton:
         rare.sort()
         self.table, self.anew = table.ravel(), anew
         self.rare_key, self.rare_to = np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32)
-        self.bits = math.log2(1 + len(sample))
+        # a phrase says where in the sample it is, and which letter it ended before
+        self.bits = math.log2(1 + len(sample)) + math.log2(max(2, symbols))
 
     def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
         """Next states, plus ``_NEW`` where a phrase begins."""
@@ -170,6 +172,7 @@ def _symbols(codes: np.ndarray, symbol: np.ndarray) -> np.ndarray:
 
 def fit(samples: dict[str, list[str]], dense: int = DENSE) -> Model:
     """A model from labelled texts."""
+    samples = {k: v for k, v in samples.items() if any(c.isalpha() for t in v for c in t)}
     languages = sorted(samples)
     symbol = np.fromiter((_ABSENT if chr(c).isalpha() else _SPACE for c in range(0x110000)), np.int32, 0x110000)
     letters = sorted({c for texts in samples.values() for text in texts for c in text.lower() if c.isalpha()})

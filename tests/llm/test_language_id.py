@@ -119,3 +119,14 @@ def test_language_of_odd_texts(spark):
     assert {r["lang_pred"] for r in language_id.predict_language(docs, nothing).collect()} == {"und"}
 
 
+
+
+@pytest.mark.parametrize("texts", [["123 4 !"], ["1"], ["a"], ["ab 12"], ["ab ab"], ["xq jw zk vx qj"], ["the lonely twenty letters"]])
+def test_a_label_with_few_letters_takes_no_texts_of_others(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    sample = language_id.training_sample(docs.where(~language_id.held_out(docs["doc_id"])))
+    rows = docs.where("length(text) > 60 and lang is not null").collect()
+    names, _, _ = language_id._answers(pa.array([r["text"] for r in rows]), language_id.fit({**sample, "zxx": texts}))
+    assert names.count("zxx") == 0
+    assert np.mean([n == r["lang"] for n, r in zip(names, rows, strict=True)]) > 0.98
+    assert language_id.fit({"zxx": ["123 4 !"]}).languages == []
