@@ -228,7 +228,10 @@ def _rounded(demand: dict[int, int], capacity: int, prices: np.ndarray, share: f
 
 
 def solve(histogram: dict[int, int], capacity: int, gap: float = GAP) -> Packing:
-    """The fewest sequences of all ``TRIALS``, or of the first ones that come within ``gap`` of the dual bound."""
+    """The fewest sequences of all ``TRIALS``, or of the first ones that come within ``gap`` of the dual bound.
+
+    Where none comes that near, best fit over the whole histogram is tried too and taken if it needs fewer.
+    """
     demand = {int(k): int(n) for k, n in sorted(histogram.items()) if n > 0}
     if not demand:
         return Packing([], 0.0, 0.0)
@@ -241,6 +244,10 @@ def solve(histogram: dict[int, int], capacity: int, gap: float = GAP) -> Packing
             best = found
         if best.sequences <= math.ceil(prices.bound - 1e-6) * (1 + gap):
             break
+    else:
+        plain = Packing(_best_fit(demand, capacity), prices.bound, 1.0)
+        if plain.sequences < best.sequences:
+            best = plain
     return Packing(best.chosen, prices.bound, best.residual)
 
 
