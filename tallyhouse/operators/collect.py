@@ -11,6 +11,19 @@ from tallyhouse.functions.scalars import is_spot, node_gpu_type, node_selectors,
 from tallyhouse.functions.settings import DEFAULT_NAMING, SPOT_DISCOUNT_PERCENT, Naming
 
 KEY = ["tick_ts", "namespace"]
+#: Column of tables that hold several host clusters: names of namespaces and nodes are unique within one only.
+HOST = "host_cluster"
+
+
+def key_of(*frames: DataFrame, base: list[str] | None = None) -> list[str]:
+    """The key that tables are grouped and joined by: ``KEY`` (or ``base``), with the host cluster where all of them have one.
+
+    Tables with and without a host cluster cannot be told apart by name, so they are not joined.
+    """
+    have = [HOST in f.columns for f in frames]
+    if any(have) and not all(have):
+        raise ValueError(f"{HOST} must be in all tables or in none")
+    return [*(base or KEY), *([HOST] if all(have) and have else [])]
 
 
 def bound_pvcs(df: DataFrame) -> DataFrame:
@@ -35,21 +48,22 @@ def load_balancers(df: DataFrame) -> DataFrame:
 
 def cpu_memory_by_namespace(container_usage: DataFrame) -> DataFrame:
     """Sums stay BIGINT (exact and without order) until the caller divides."""
-    return container_usage.groupBy(*KEY).agg(F.sum("cpu_milli").alias("cpu_milli"), F.sum("memory_bytes").alias("memory_bytes"))
+    return container_usage.groupBy(*key_of(container_usage)).agg(F.sum("cpu_milli").alias("cpu_milli"), F.sum("memory_bytes").alias("memory_bytes"))
 
 
 def storage_by_namespace(pvcs: DataFrame) -> DataFrame:
-    return bound_pvcs(pvcs).groupBy(*KEY).agg(F.sum("storage_bytes").alias("storage_bytes"))
+    return bound_pvcs(pvcs).groupBy(*key_of(pvcs)).agg(F.sum("storage_bytes").alias("storage_bytes"))
 
 
 def lb_count(services: DataFrame) -> DataFrame:
-    return load_balancers(services).groupBy(*KEY).agg(F.count("*").alias("lb_count"))
+    return load_balancers(services).groupBy(*key_of(services)).agg(F.count("*").alias("lb_count"))
 
 
 def attach_nodes(pods: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pods with gpu_type and spot of their node, in one join; without the node: ``unknown`` and not spot."""
-    facts = nodes.select("tick_ts", "node_name", pod_gpu_type(F.col("labels")).alias("gpu_type"), pod_is_spot(F.col("labels")).alias("spot"))
-    joined = pods.join(facts, ["tick_ts", "node_name"], "left")
+    key = key_of(pods, nodes, base=["tick_ts", "node_name"])
+    facts = nodes.select(*key, pod_gpu_type(F.col("labels")).alias("gpu_type"), pod_is_spot(F.col("labels")).alias("spot"))
+    joined = pods.join(facts, key, "left")
     return joined.withColumns({"gpu_type": F.coalesce("gpu_type", F.lit("unknown")), "spot": F.coalesce("spot", F.lit(False))})
 
 
@@ -62,17 +76,17 @@ def attach_spot(pods: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def gpu_by_type(pods: DataFrame, nodes: DataFrame) -> DataFrame:
-    return attach_gpu_type(gpu_pods(running_pods(pods)), nodes).groupBy(*KEY, "gpu_type").agg(F.sum("gpu_count").alias("gpu_count"))
+    return attach_gpu_type(gpu_pods(running_pods(pods)), nodes).groupBy(*key_of(pods), "gpu_type").agg(F.sum("gpu_count").alias("gpu_count"))
 
 
 def gpu_total(by_type: DataFrame) -> DataFrame:
-    return by_type.groupBy(*KEY).agg(F.sum("gpu_count").alias("gpu_total"))
+    return by_type.groupBy(*key_of(by_type)).agg(F.sum("gpu_count").alias("gpu_total"))
 
 
 def spot_cost_multiplier(pods: DataFrame, nodes: DataFrame, discount_pct: float = SPOT_DISCOUNT_PERCENT) -> DataFrame:
     """1 - discount x share of spot pods among running, scheduled pods; namespaces without such pods have no row (1.0)."""
     seen = attach_spot(scheduled_pods(running_pods(pods)), nodes)
-    counts = seen.groupBy(*KEY).agg(F.count_if("spot").alias("spot_pods"), F.count("*").alias("scheduled_pods"))
+    counts = seen.groupBy(*key_of(seen)).agg(F.count_if("spot").alias("spot_pods"), F.count("*").alias("scheduled_pods"))
     share = F.col("spot_pods").cast("double") / F.col("scheduled_pods")
     return counts.withColumn("cost_multiplier", F.lit(1.0) - F.lit(discount_pct / 100.0) * share)
 
@@ -82,42 +96,53 @@ def match_private_nodes(tenants: DataFrame, nodes: DataFrame, template: str | No
 
     The either-or condition becomes one equality join on exploded (key, value) pairs.
     """
-    wanted = tenants.select(*KEY).distinct().withColumn("pair", F.explode(node_selectors(F.col("namespace"), template, naming)))
-    wanted = wanted.select("tick_ts", "namespace", F.col("pair.key").alias("label_key"), F.col("pair.value").alias("label_value"))
+    key, at = key_of(tenants, nodes), key_of(tenants, nodes, base=["tick_ts"])
+    wanted = tenants.select(*key).distinct().withColumn("pair", F.explode(node_selectors(F.col("namespace"), template, naming)))
+    wanted = wanted.select(*key, F.col("pair.key").alias("label_key"), F.col("pair.value").alias("label_value"))
     keys = [f"{naming.label_domain}/managed-by", f"{naming.label_domain}/cluster"] + ([template.partition("=")[0]] if template and "=" in template else [])
     held = nodes.withColumn("cells", F.map_filter("labels", lambda k, _: k.isin(*keys))).where(F.size("cells") > 0)
-    held = held.select("tick_ts", "node_name", "labels", "capacity", F.explode("cells").alias("label_key", "label_value"))
-    return held.join(wanted, ["tick_ts", "label_key", "label_value"]).drop("label_key", "label_value").dropDuplicates([*KEY, "node_name"])
+    held = held.select(*at, "node_name", "labels", "capacity", F.explode("cells").alias("label_key", "label_value"))
+    return held.join(wanted, [*at, "label_key", "label_value"]).drop("label_key", "label_value").dropDuplicates([*key, "node_name"])
+
+
+def shared_private_nodes(matched: DataFrame) -> DataFrame:
+    """Nodes that more than one namespace's tenants match, and are billed for: their namespaces, in order.
+
+    Namespaces that differ only in their prefix have the same short name, so a node with that name in its label is dedicated to both.
+    """
+    each = matched.groupBy(*key_of(matched, base=["tick_ts", "node_name"])).agg(F.sort_array(F.collect_set("namespace")).alias("namespaces"))
+    return each.where(F.size("namespaces") > 1)
 
 
 def private_nodes(matched: DataFrame) -> DataFrame:
     """Capacity, GPU model and spot state of matched nodes."""
     capacity = {f"{c}": F.coalesce(F.col(f"capacity.{c}"), F.lit(0)) for c in ("cpu", "memory", "gpu", "ephemeral_storage")}
     return matched.select(
-        *KEY, "node_name", *[v.alias(k) for k, v in capacity.items()], node_gpu_type(F.col("labels")).alias("gpu_type"),
+        *key_of(matched), "node_name", *[v.alias(k) for k, v in capacity.items()], node_gpu_type(F.col("labels")).alias("gpu_type"),
         F.try_element_at("labels", F.lit("node.kubernetes.io/instance-type")).alias("instance_type"), is_spot(F.col("labels")).alias("spot"),
     )
 
 
 def private_node_usage(private: DataFrame, node_usage: DataFrame) -> DataFrame:
     """Measured usage of the tenant's nodes; a node without a sample counts 0."""
-    joined = private.join(node_usage, ["tick_ts", "node_name"], "left")
-    return joined.groupBy(*KEY).agg(F.sum(F.coalesce("cpu_milli", F.lit(0))).alias("cpu_milli"), F.sum(F.coalesce("memory_bytes", F.lit(0))).alias("memory_bytes"))
+    joined = private.join(node_usage, key_of(private, node_usage, base=["tick_ts", "node_name"]), "left")
+    return joined.groupBy(*key_of(private)).agg(F.sum(F.coalesce("cpu_milli", F.lit(0))).alias("cpu_milli"), F.sum(F.coalesce("memory_bytes", F.lit(0))).alias("memory_bytes"))
 
 
 def private_node_totals(private: DataFrame) -> DataFrame:
-    return private.groupBy(*KEY).agg(F.sum("cpu").alias("private_cpu"), F.sum("memory").alias("private_memory"), F.count("*").alias("private_nodes"))
+    return private.groupBy(*key_of(private)).agg(F.sum("cpu").alias("private_cpu"), F.sum("memory").alias("private_memory"), F.count("*").alias("private_nodes"))
 
 
 def private_gpus_by_type(private: DataFrame) -> DataFrame:
     """GPUs of dedicated nodes by model; nodes without a model are not billed."""
-    return private.where("gpu > 0 and gpu_type <> ''").groupBy(*KEY, "gpu_type").agg(F.sum("gpu").alias("gpu_count"))
+    return private.where("gpu > 0 and gpu_type <> ''").groupBy(*key_of(private), "gpu_type").agg(F.sum("gpu").alias("gpu_count"))
 
 
 def combined_usage(by_namespace: DataFrame, of_private: DataFrame) -> DataFrame:
     """Namespace usage plus the measured usage of dedicated nodes."""
-    both = by_namespace.select(*KEY, "cpu_milli", "memory_bytes").unionByName(of_private.select(*KEY, "cpu_milli", "memory_bytes"))
-    return both.groupBy(*KEY).agg(F.sum("cpu_milli").alias("cpu_milli"), F.sum("memory_bytes").alias("memory_bytes"))
+    key = key_of(by_namespace, of_private)
+    both = by_namespace.select(*key, "cpu_milli", "memory_bytes").unionByName(of_private.select(*key, "cpu_milli", "memory_bytes"))
+    return both.groupBy(*key).agg(F.sum("cpu_milli").alias("cpu_milli"), F.sum("memory_bytes").alias("memory_bytes"))
 
 
 def first_series(samples: DataFrame) -> DataFrame:
@@ -157,7 +182,7 @@ def _paired(used: DataFrame, free: DataFrame, label: str) -> DataFrame:
 
 def gpu_utilization(samples: DataFrame) -> DataFrame:
     """Average over the GPU series of each (tick, namespace), and their number."""
-    return samples.groupBy(*KEY).agg(F.avg("value").alias("avg_util"), F.count("*").alias("gpu_series"))
+    return samples.groupBy(*key_of(samples)).agg(F.avg("value").alias("avg_util"), F.count("*").alias("gpu_series"))
 
 
 def meter_tenants(tenants: DataFrame, *measures: DataFrame) -> DataFrame:
@@ -165,6 +190,7 @@ def meter_tenants(tenants: DataFrame, *measures: DataFrame) -> DataFrame:
 
     Tenants that share a namespace each get all of its usage.
     """
-    joined = reduce(lambda left, right: left.join(right, KEY, "left"), measures, tenants)
-    absent = {c: 1.0 if c == "cost_multiplier" else 0 for m in measures for c in m.columns if c not in KEY}
+    key = key_of(tenants, *measures)
+    joined = reduce(lambda left, right: left.join(right, key, "left"), measures, tenants)
+    absent = {c: 1.0 if c == "cost_multiplier" else 0 for m in measures for c in m.columns if c not in key}
     return joined.fillna(absent)

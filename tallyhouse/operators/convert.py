@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.scalars import GIB, event_properties, transaction_id, trunc6, usage_quantity
 from tallyhouse.functions.settings import DEFAULT_NAMING, PRIVATE_MODE, Naming
-
-_EVENT = "struct<kind:string,metric:string,field:string,quantity_micro:bigint,raw:double,count:bigint,gpu_type:string,mode:string>"
-
+from tallyhouse.operators.collect import key_of
 
 def _kind(kind: str, metric: str, field: str, quantity: Column, emitted: Column, raw: Column | None = None, count: Column | None = None, mode: str | None = None, gpu_type: Column | None = None) -> Column:
     one = F.struct(
@@ -58,16 +56,34 @@ def meter_events(tenant_metrics: DataFrame, hours: float, naming: Naming = DEFAU
         _kind("pn-mem", "memory_gb_hours", "memory_gb_hours", usage_quantity(pn_gib, h), has_private & _positive(pn_gib), pn_gib, None, PRIVATE_MODE),
         _kind("pn-hours", "private_node_hours", "private_node_hours", usage_quantity(nodes, h), has_private, None, nodes, PRIVATE_MODE),
     )
+    sides = [(by_type, kind, mode) for by_type, kind, mode in ((gpus, "gpu", None), (private_gpus, "pn-gpu", PRIVATE_MODE)) if by_type is not None]
+    if sides:
+        tenant_metrics = tenant_metrics.join(_models(sides), key_of(tenant_metrics, *[s for s, _, _ in sides]), "left")
+        # the models of a namespace lie in one array, so tenants are read and exploded once
+        one = lambda g: F.struct(
+            g["kind"].alias("kind"), F.lit("gpu_hours").alias("metric"), F.lit("gpu_hours").alias("field"), usage_quantity(g["gpu_count"], h).alias("quantity_micro"),
+            F.lit(None).cast("double").alias("raw"), g["gpu_count"].alias("count"), g["gpu_type"].alias("gpu_type"), g["mode"].alias("mode"),
+        )
+        kinds = F.concat(kinds, F.transform(F.coalesce("gpu_models", F.array().cast(_MODELS)), one))
     tenant = ["tick_ts", "uid", "name", "namespace", "subscription_id"]
     base = tenant_metrics.select(*tenant, mult.alias("cost_multiplier"), F.explode(F.filter(kinds, lambda e: e.isNotNull())).alias("e"))
-    for by_type, kind, mode in ((gpus, "gpu", None), (private_gpus, "pn-gpu", PRIVATE_MODE)):
-        if by_type is not None:
-            rows = tenant_metrics.select(*tenant).join(by_type.where("gpu_count > 0"), ["tick_ts", "namespace"])
-            one = _kind(kind, "gpu_hours", "gpu_hours", usage_quantity(F.col("gpu_count"), h), F.lit(True), None, F.col("gpu_count"), mode, F.col("gpu_type"))
-            base = base.unionByName(rows.select(*tenant, F.lit(1.0).alias("cost_multiplier"), one.alias("e")))
     return _finished(base, naming)
 
 
+_MODELS = "array<struct<kind:string,gpu_type:string,gpu_count:bigint,mode:string>>"
+
+
+def _models(sides: list[tuple[DataFrame, str, str | None]]) -> DataFrame:
+    """(key, gpu_models): a row for each namespace with its GPU models, shared and dedicated; models are few."""
+    key = key_of(*[s for s, _, _ in sides])
+    rows = [
+        s.where("gpu_count > 0").select(*key, F.struct(F.lit(kind).alias("kind"), F.col("gpu_type").alias("gpu_type"), F.col("gpu_count").cast("bigint").alias("gpu_count"), F.lit(mode).cast("string").alias("mode")).alias("model"))
+        for s, kind, mode in sides
+    ]
+    both = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+    return both.groupBy(*key).agg(F.collect_list("model").alias("gpu_models"))
+
+
 def _finished(base: DataFrame, naming: Naming) -> DataFrame:
     e, unix = F.col("e"), F.unix_timestamp("tick_ts")
     with_gpu = F.col("e.gpu_type").isNotNull()

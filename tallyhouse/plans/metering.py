@@ -25,19 +25,25 @@ def metering_sweep(
     discount_pct: float = SPOT_DISCOUNT_PERCENT,
     template: str | None = None,
     naming: Naming = DEFAULT_NAMING,
+    private_billing: str = "both",
 ) -> DataFrame:
     """Usage events of all tenants at all ticks, from whichever sources are given.
 
-    Every aggregate has the key (tick_ts, namespace), so they meet the tenants in one partitioning.
+    Every aggregate has the key (tick_ts, namespace), and ``host_cluster`` where the tables have it, so they meet the tenants in one partitioning.
+    Dedicated nodes are billed by their capacity and by the usage measured on them; with ``private_billing`` ``"capacity"`` or ``"usage"``
+    by one of the two only.
     """
+    if private_billing not in ("both", "capacity", "usage"):
+        raise ValueError(f"private_billing is {private_billing!r}, not 'both', 'capacity' or 'usage'")
     measures, gpus, private_gpus, usage, private = [], None, None, None, None
     if container_usage is not None:
         usage = collect.cpu_memory_by_namespace(container_usage)
     if nodes is not None:
         private = collect.private_nodes(collect.match_private_nodes(tenants, nodes, template, naming))
-        measures.append(collect.private_node_totals(private))
-        private_gpus = collect.private_gpus_by_type(private)
-        if node_usage is not None:
+        if private_billing != "usage":
+            measures.append(collect.private_node_totals(private))
+            private_gpus = collect.private_gpus_by_type(private)
+        if node_usage is not None and private_billing != "capacity":
             of_private = collect.private_node_usage(private, node_usage)
             usage = of_private if usage is None else collect.combined_usage(usage, of_private)
     if usage is not None:
@@ -47,12 +53,12 @@ def metering_sweep(
     if services is not None:
         measures.append(collect.lb_count(services))
     if pods is not None and nodes is not None:
-        measures.append(collect.spot_cost_multiplier(pods, nodes, discount_pct).select(*collect.KEY, "cost_multiplier"))
+        measures.append(collect.spot_cost_multiplier(pods, nodes, discount_pct).select(*collect.key_of(pods), "cost_multiplier"))
         gpus = collect.gpu_by_type(pods, nodes)
     if gpu_samples is not None:
         measures.append(collect.gpu_utilization(gpu_samples))
     if egress is not None:
-        measures.append(egress.select(*collect.KEY, "egress_bytes"))
+        measures.append(egress.select(*collect.key_of(egress), "egress_bytes"))
     return convert.meter_events(collect.meter_tenants(tenants, *measures), hours, naming, gpus, private_gpus)
 
 

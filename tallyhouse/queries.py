@@ -351,9 +351,14 @@ def _tenants(i: Inputs) -> DataFrame:
     return discovery.tenant_ids(i["tenants"]).select("tick_ts", "name", "namespace", "uid", "subscription_id")
 
 
-def _sweep(i: Inputs) -> DataFrame:
+def _near_namespaces(i: Inputs) -> DataFrame:
+    rows = i["tenants"].select("tick_ts", "namespace")
+    return rows.unionByName(rows.where("namespace like 'tenant-%'").withColumn("namespace", F.regexp_replace("namespace", "^tenant-", "vc-")))
+
+
+def _sweep(i: Inputs, **options) -> DataFrame:
     return metering.metering_sweep(
-        _tenants(i), HOURS, container_usage=i["container_now"], pods=i.pods(), nodes=i.nodes(), node_usage=i["node_usage"], pvcs=i["pvcs"], services=i["services"], gpu_samples=i["gpu_samples"].select("tick_ts", "namespace", F.floor("value").cast("double").alias("value"))
+        _tenants(i), HOURS, **options, container_usage=i["container_now"], pods=i.pods(), nodes=i.nodes(), node_usage=i["node_usage"], pvcs=i["pvcs"], services=i["services"], gpu_samples=i["gpu_samples"].select("tick_ts", "namespace", F.floor("value").cast("double").alias("value"))
     )
 
 
@@ -396,6 +401,23 @@ def _(i):
     return _sweep(i).select(*_EVENT_COLUMNS)
 
 
+_USAGE_ONLY = " union all ".join(e for e in _ALL_EVENTS.split(" union all ") if "'pn-" not in e)
+
+
+@query("meter_events_usage_only", f"with {_M} {_USAGE_ONLY}")
+def _(i):
+    return _sweep(i, private_billing="usage").select(*_EVENT_COLUMNS)
+
+
+_PRIVATE_NEAR = "near_tenants as (select tick_ts, namespace from {tenants} union all select tick_ts, regexp_replace(namespace, '^tenant-', 'vc-') from {tenants} where namespace like 'tenant-%'), " + _PRIVATE.replace("{tenants}", "near_tenants")
+
+
+@query("shared_private_nodes", f"with {_PRIVATE_NEAR} select node_name, string_agg(namespace, ',' order by namespace) as namespaces from matched group by tick_ts, node_name having count(*) > 1")
+def _(i):
+    # as many tenants again, whose namespaces have the same short names
+    return collect.shared_private_nodes(collect.match_private_nodes(_near_namespaces(i), i.nodes())).select("node_name", F.array_join("namespaces", ",").alias("namespaces"))
+
+
 @query("union_events", f"with {_M} {_event('inst', 'instance_hours', f'1::double * {_H} * 1e6', 'true')} union all {_event('lb', 'lb_hours', f'lb::double * {_H} * 1e6', 'lb > 0')}")
 def _(i):
     with_lb = convert.meter_events(collect.meter_tenants(_tenants(i), collect.lb_count(i["services"])), HOURS)

@@ -222,3 +222,50 @@ def test_results_do_not_depend_on_the_order_of_rows(spark):
 def test_billable_only_looks_at_the_raw_measure(spark):
     rows = spark.createDataFrame([("cpu_core_hours", 1e-9, None), ("cpu_core_hours", 0.0, None), ("cpu_core_hours", float("nan"), None), ("lb_hours", None, 2), ("instance_hours", None, None)], "metric string, raw double, count bigint")
     assert sorted(r["metric"] for r in convert.billable_only(rows).collect()) == ["cpu_core_hours", "instance_hours", "lb_hours"]
+
+
+def test_dedicated_nodes_by_capacity_or_by_usage(spark, tenant):
+    nodes = table(spark, "nodes", [(T, "n1", {"acme.io/managed-by": "team-gpu"}, (8, 30 * GIB, 1, 0))])
+    usage = table(spark, "node_usage", [(T, "n1", 2150, int(8.45 * GIB))])
+    kinds = lambda how: {r["transaction_id"].split("uid-1-")[1].removesuffix("-1704067200") for r in metering.metering_sweep(tenant, HOUR, nodes=nodes, node_usage=usage, naming=ACME, private_billing=how).collect()}
+    assert kinds("capacity") == {"inst", "pn-cpu", "pn-mem", "pn-hours"} and kinds("usage") == {"inst", "cpu", "mem"}
+    assert kinds("both") == kinds("capacity") | kinds("usage")
+    with pytest.raises(ValueError, match="private_billing"):
+        kinds("neither")
+
+
+def test_a_node_that_two_namespaces_match_is_reported(spark):
+    tenants = table(spark, "tenants", [(T, n, ns, n, T, {}) for n, ns in (("a", "acme-x"), ("b", "vc-x"), ("c", "y"))])
+    nodes = table(spark, "nodes", [(T, "both", {"acme.io/managed-by": "x"}, None), (T, "one", {"acme.io/managed-by": "acme-x"}, None), (T, "y", {"acme.io/cluster": "y"}, None)])
+    matched = collect.match_private_nodes(tenants, nodes, naming=ACME)
+    assert [(r["node_name"], r["namespaces"]) for r in collect.shared_private_nodes(matched).collect()] == [("both", ["acme-x", "vc-x"])]
+
+
+def test_host_clusters_are_kept_apart(spark):
+    """The same namespaces and nodes in two clusters: each is metered as it would be alone."""
+    tenants = table(spark, "tenants", [(T, "c", "ns", "u", T, {}), (T, "d", "other", "v", T, {})])
+    nodes = table(spark, "nodes", [(T, "n1", {"acme.io/managed-by": "ns", "nvidia.com/gpu.product": "T4"}, (8, 30 * GIB, 1, 0))])
+    pods = table(spark, "pods", [(T, "other", "p", "Running", "n1", [("c", 2, 2)])])
+    usage = table(spark, "container_usage", [(T, "ns", "p", "c", 250, GIB), (T, "other", "p", "c", 500, GIB)])
+    node_usage, pvcs = table(spark, "node_usage", [(T, "n1", 1000, GIB)]), table(spark, "pvcs", [(T, "ns", "a", "Bound", GIB)])
+    services, gpu = table(spark, "services", [(T, "ns", "s", "LoadBalancer")]), table(spark, "tick_ts timestamp, namespace string, value double", [(T, "ns", 40.0)])
+
+    def sweep(*clusters):
+        def laid(df, grows=None):
+            if not clusters:
+                return df
+            parts = [df.withColumn("host_cluster", F.lit(c)) for c in clusters]
+            if grows:  # the second cluster uses more
+                parts[1] = parts[1].withColumn(grows, F.col(grows) * 2)
+            return parts[0].unionByName(parts[1])
+
+        ids = discovery.tenant_ids(laid(tenants).withColumn("uid", F.concat_ws("-", "host_cluster", "uid")) if clusters else tenants, ACME)
+        rows = metering.metering_sweep(ids, HOUR, container_usage=laid(usage, "cpu_milli"), pods=laid(pods), nodes=laid(nodes), node_usage=laid(node_usage), pvcs=laid(pvcs), services=laid(services), gpu_samples=laid(gpu), naming=ACME)
+        return {r["transaction_id"]: r["quantity_micro"] for r in rows.collect()}
+
+    alone, both = sweep(), sweep("east", "west")
+    assert len(both) == 2 * len(alone) and {k.removeprefix("east-"): v for k, v in both.items() if k.startswith("east-")} == alone
+    west = {k.removeprefix("west-"): v for k, v in both.items() if k.startswith("west-")}
+    assert west["v-cpu-1704067200"] == 2 * alone["v-cpu-1704067200"] and west["u-stor-1704067200"] == alone["u-stor-1704067200"]
+    with pytest.raises(ValueError, match="host_cluster"):
+        collect.attach_nodes(pods, nodes.withColumn("host_cluster", F.lit("east")))
