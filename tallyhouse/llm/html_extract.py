@@ -50,7 +50,11 @@ FURNITURE_NAMES = frozenset(
     "notices overlay pagination pager paywall popup privacy promo promotion related reply replies respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe tagcloud tags toolbar widget".split()
 )
-ARTICLE_NAMES = frozenset("article articlebody content entry main post story body text".split())
+ARTICLE_NAMES = frozenset("article articlebody content entry hentry main post story body text".split())
+#: Parts of a compound name that say what an element has, lacks or is styled by, not what it is.
+MODIFIERS = frozenset("no non not with without has have hide show is on theme layout style skin".split())
+#: A block of so many words, with at most so large a share of them linked, is text whatever its element is called.
+LONG_WORDS, UNLINKED = 20, 0.34
 
 FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "article", "heading", "named", "hinted")
 
@@ -63,18 +67,20 @@ _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 def _furniture(name: str, attributes: dict[str, str]) -> tuple[bool, bool, bool]:
     """Whether an element plainly names furniture, only hints at it, and names an article."""
-    named, hinted, article = name in FURNITURE_TAGS, False, name in ("article", "main")
+    named, hinted, article, called = name in FURNITURE_TAGS, False, name in ("article", "main"), False
     for key in ("class", "id", "role"):
         for token in attributes.get(key, "").split():
             parts = [p.lower() for p in _PART.findall(token)]
             if not parts:
                 continue
             mine = [p in FURNITURE_NAMES for p in parts]
-            # the last part says what a compound name is: "main-menu" is a menu, "share-your-story" a story
-            named = named or mine[-1] or all(mine)
+            # the last part says what a compound name is: "main-menu" is a menu, "share-your-story" a story; "with-sidebar" is neither
+            plain = not any(p in MODIFIERS for p in parts)
+            called = called or (plain and (mine[-1] or all(mine)))
             hinted = hinted or any(mine)
-            article = article or parts[-1] in ARTICLE_NAMES or (parts[0] in ARTICLE_NAMES and not any(mine))
-    return named, hinted, article
+            article = article or (plain and parts[-1] in ARTICLE_NAMES) or (parts[0] in ARTICLE_NAMES and not (plain and any(mine)))
+    # an element that is called an article as well as something else is an article
+    return named or (called and not article), hinted, article
 
 
 def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
@@ -354,13 +360,26 @@ def default_tree():
     return grow_tree(*labelled_table())
 
 
+def _chosen(blocks: list[tuple], tree) -> list[tuple]:
+    return [b for b, row in zip(blocks, features(blocks), strict=True) if classify(tree, row)]
+
+
 def main_text(page: str | None, tree=None) -> str:
-    """The blocks that the tree takes for main text, joined by one space."""
+    """The blocks that the tree takes for main text, joined by one space.
+
+    A page of which nothing is taken, though it has text, is judged once more: without names where it has long unlinked blocks (its
+    article stands in an element with a misleading name), else by taking its unlinked blocks outside all furniture (it is too short for a judgement by sizes).
+    """
     if not page:
         return ""
     tree = default_tree() if tree is None else tree
     blocks = page_blocks(page)
-    return " ".join(b[0] for b, row in zip(blocks, features(blocks), strict=True) if classify(tree, row))
+    found = _chosen(blocks, tree)
+    if not found and any(b[1] >= LONG_WORDS and b[2] <= UNLINKED * b[1] for b in blocks):
+        found = _chosen([(*b[:5], 0, 0) for b in blocks], tree)
+    if not found:
+        found = [b for b in blocks if b[2] <= UNLINKED * b[1] and not b[5] and not b[6]]
+    return " ".join(b[0] for b in found)
 
 
 def _extractor(tree):

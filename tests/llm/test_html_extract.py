@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
+import pytest
 
 from tallyhouse.llm import html_extract as he
 from tallyhouse.llm import queries
@@ -140,3 +141,20 @@ def test_odd_rows(spark):
     assert got[0][2:] == ("", 0) == got[1][2:] and got[2] == got[3] and got[2][2] == got[5][2] == html.unescape("A &lt;b&gt; &amp; c word one! two three cell")
     assert got[4][3] == 20_000 * 36 - 1
     assert he.extract_main_text(pages.where("false")).collect() == []
+
+
+WRAPPERS = ("with-sidebar", "no-sidebar", "content has-comments", "post no-header", "page-with-toolbar", "hentry tags", "article-with-ads", "theme-social", "layout-footer", "header-nav")
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_an_article_in_a_misleadingly_named_element_stays(name):
+    article = "".join(f"<p>{'word ' * 30}end{k}</p>" for k in range(4))
+    page = f"<html><body><nav><a href=x>home</a><a href=y>about us</a></nav><div class='{name}'><h1>Title of it</h1>{article}</div><footer>Copyright 2020</footer></body></html>"
+    text = he.main_text(page)
+    assert text.startswith("Title of it") and all(f"end{k}" in text for k in range(4)) and "home" not in text and "Copyright" not in text
+
+
+def test_very_short_pages_and_pages_of_furniture():
+    assert he.main_text("<p>Hello there.</p>") == "Hello there."
+    assert he.main_text("<nav><a href=x>a b c</a></nav><footer>c</footer>") == ""
+    assert he.main_text("<div class='cookie-notice'>We use cookies.</div>") == ""
