@@ -1,6 +1,6 @@
 """Array kernels shared by the text operators; they run inside Spark tasks on Arrow batches.
 
-A word is a maximal run of bytes other than space and ``\\x09-\\x0D``.  Words have keyed 64-bit
+A word is a maximal run of bytes other than space and ``\\x09-\\x0D``.  Words have mixed 64-bit
 hashes; runs of ``n`` words are hashed with polynomial prefix sums over them, so that a window of any length
 costs one subtraction; documents are never cut, and no window crosses two documents.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tallyhouse.llm.words import lowered, mix, word_hashes, word_numbers, word_spans
+from tallyhouse.llm.words import lowered, mix, quick_hashes, word_spans
 
 #: Bytes handled at once; a longer document is handled alone, whole.
 CHUNK_BYTES = 500_000
@@ -74,8 +74,7 @@ def _words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.nda
     if lower:
         raw = lowered(raw)
     start, end, doc = word_spans(raw, offsets)
-    numbers, dictionary = word_numbers(raw, start, end)
-    return start, end, doc, word_hashes(dictionary)[numbers]
+    return start, end, doc, quick_hashes(raw, start, end)
 
 
 class Words:
