@@ -95,7 +95,35 @@ QUERIES = {
     )
 }
 
+#: Word shingles of whole texts, pairs that share one, links by the sizes of both sets, and what is reached by links.
+_LINKED = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+x AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+c AS (SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(min(r.v), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n)
+SELECT doc_id, n_shingles, component_id{more} FROM c
+"""
+
 ORACLE_SQL = {
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word, CASE WHEN len(w) >= 13 THEN unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i <= len(w) - 12 THEN array_to_string(w[i:i + 12], ' ') END)) END AS run FROM d),
+f AS (SELECT run, min(doc_id) AS first FROM w WHERE run IS NOT NULL GROUP BY run),
+m AS (SELECT w.doc_id, w.j, w.word, coalesce(f.first < w.doc_id, false) AS hit FROM w LEFT JOIN f ON w.run = f.run),
+g AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM m),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+""",
+    "op7_ngram_jaccard_join": _LINKED.format(percent=90, more=""),
+    "op13_minhash": _LINKED.format(percent=85, more=", doc_id = component_id AS kept"),
     "op3_url_filter": r"""
 WITH u AS (
   SELECT page_id,
