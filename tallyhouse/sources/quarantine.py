@@ -36,15 +36,18 @@ def judged_lines(lines: DataFrame, table: str, column: str = "value", format: st
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     text = F.trim(F.col(column))
     parse = F.from_json if format == "json" else F.from_csv
-    parsed = lines.withColumn("record", parse(F.col(column), f"{schema}, {_CORRUPT} string", options))
+    # generated, so that a line is parsed once, however many columns, reasons and filters look at the record
+    whole = F.try_parse_json(F.col(column)).isNotNull() if format == "json" else F.lit(True)
+    one = F.struct(parse(F.col(column), f"{schema}, {_CORRUPT} string", options).alias("record"), whole.alias("whole_line"))
+    parsed = lines.select("*", F.inline(F.array(one)))
     corrupt = F.col(f"record.{_CORRUPT}").isNotNull()
     if format == "json":
-        tree = F.try_parse_json(F.col(column))
+        tree = F.try_parse_json(F.col(column))  # of lines that are wrong only
         # a column that the text has a value for and the record has not; names are keys of the outermost object
         unread = [F.when(F.col(f"record.`{f.name}`").isNull() & F.coalesce(F.schema_of_variant(F.try_variant_get(tree, f"$.{f.name}", "variant")) != "VOID", F.lit(False)), F.lit(f.name)) for f in fields]
         cases = [
-            (tree.isNull(), F.lit("malformed")),
-            (~F.schema_of_variant(tree).startswith("OBJECT"), F.lit("not an object")),
+            (~F.col("whole_line"), F.lit("malformed")),
+            (~F.ltrim(F.col(column), F.lit(" \t\r\n")).startswith("{"), F.lit("not an object")),
             (corrupt, F.concat(F.lit("wrong type: "), F.concat_ws(", ", *unread))),
         ]
     else:
@@ -54,7 +57,7 @@ def judged_lines(lines: DataFrame, table: str, column: str = "value", format: st
         cases = [(~whole, F.lit("malformed")), (corrupt, F.concat(F.lit("wrong type: "), F.concat_ws(", ", *unread)))]
     low = [(F.col(f"record.{f.name}") < 0, F.lit(f"negative {f.name}")) for f in fields if f.name in NOT_NEGATIVE and isinstance(f.dataType, T.NumericType)]
     reason = _first((F.col(column).isNull() | (text == ""), F.lit("empty")), *cases, *_missing(list(required), "record"), *low)
-    return parsed.withColumn("reason", reason).withColumn("record", F.struct(*[F.col(f"record.`{f.name}`").alias(f.name) for f in fields]))
+    return parsed.withColumn("reason", reason).drop("whole_line").withColumn("record", F.struct(*[F.col(f"record.`{f.name}`").alias(f.name) for f in fields]))
 
 
 def judged_rows(rows: DataFrame, table: str, required: tuple[str, ...] | None = None) -> DataFrame:

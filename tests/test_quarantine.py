@@ -74,3 +74,16 @@ def test_required_columns_exist(spark, table):
     lines = spark.createDataFrame([("{}",), ("x",)], "value string")
     reasons = {r["value"]: r["reason"] for r in quarantine.judged_lines(lines, table).collect()}
     assert reasons == {"{}": f"missing {REQUIRED[table][0]}", "x": "malformed"}
+
+
+def test_a_line_is_parsed_once(spark):
+    lines = spark.createDataFrame([('{"namespace":"a"}',)], "value string")
+    for side in quarantine.split_lines(quarantine.judged_lines(lines, "container_usage")):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(") == 1, plan
+
+
+def test_only_json_objects_are_rows(spark):
+    texts = ['\t\r\n {"v":1}', '[{"v":1}]', '"{"', "{'v':1}", "\ufeff{}", "null", " 7", '{"v":"a"}']
+    judged = quarantine.judged_lines(spark.createDataFrame([(t,) for t in texts], "value string"), "t", schema="v long")
+    assert [r["reason"] for r in judged.collect()] == [None, "not an object", "not an object", "malformed", "malformed", "not an object", "not an object", "wrong type: v"]
