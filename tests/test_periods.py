@@ -87,3 +87,18 @@ def test_an_unfinished_compaction_is_not_read(spark, tmp_path):
     assert [tuple(r) for r in table.rows(spark).select("k", "v").collect()] == [("a", 1)]
     assert table.compact(spark) == 0 and [r["v"] for r in table.rows(spark).collect()] == [1]
     assert rows_of(periods.usage_table(str(tmp_path / "none")).rows(spark).where(F.lit(True))) == []
+
+
+def test_states_are_by_shard(spark, tmp_path):
+    source = str(tmp_path / "source")
+    rows = [(0, f"s{k}", k) for k in range(300)] + [(1, "s7", 1), (2, None, 9)]
+    events(spark, rows).coalesce(1).write.parquet(source)
+    table = periods.usage_table(str(tmp_path / "table"))
+    with run.rocksdb(spark):
+        stream = periods.stream_closing_usage(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), "week", "1 day", shards=2)
+        query = stream.writeStream.foreachBatch(table.sink()).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination(180)
+    want = [(f"s{k}", k + (k == 7), 1 + (k == 7)) for k in range(300)] + [(None, 9, 1)]
+    found = [(r["external_subscription_id"], r["units_micro"], r["events"]) for r in table.rows(spark).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) < 20
