@@ -269,3 +269,10 @@ def test_host_clusters_are_kept_apart(spark):
     assert west["v-cpu-1704067200"] == 2 * alone["v-cpu-1704067200"] and west["u-stor-1704067200"] == alone["u-stor-1704067200"]
     with pytest.raises(ValueError, match="host_cluster"):
         collect.attach_nodes(pods, nodes.withColumn("host_cluster", F.lit("east")))
+
+
+def test_top_spending_tenants_makes_no_payloads(spark):
+    from tallyhouse.queries import QUERIES
+
+    plan = QUERIES["top_spending_tenants"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "tenant_namespace" not in plan and "memory_gb_hours" in plan
