@@ -8,8 +8,11 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
 2. Equal sets are one document from here on.
 3. Similar documents are put into groups of bounded size: of a document's four least hashes the
    one that most documents share names its group, so a family of near copies fills few groups.
-   Where more documents share it than a group holds, all are compared with one of them first, the
-   one that shares most; those that link with it are one star, whose groups need not meet each other.
+   Where more documents share it than a group holds, all are compared with the family's head first,
+   the one that shares most.  Documents that share enough with the head are one family, whose
+   groups do not meet in the matrix: two of them link by what they do not have in common with the
+   head, so prefixes of these differences meet in a matrix of their own, and those that link
+   with the head are linked with each other already.
    The token-group matrix holds the union of each group's prefixes.  A document's prefix is
    counted against it; the count bounds its overlap with anything in the group, and only groups
    whose bound reaches the threshold are opened.
@@ -56,6 +59,16 @@ def _overlap(total, percent: int):
     return -(-total * percent // (100 + percent))
 
 
+def _familiar(n, percent: int):
+    """The least overlap with a family's head that makes a set of n shingles one of the family: that of sets linked with one set, or less."""
+    return np.maximum(1, 2 * _needed(n, percent) - n)
+
+
+def _apart(total, percent: int):
+    """The most shingles that only one of two linked sets has, whose sizes sum up to ``total``."""
+    return total - 2 * _overlap(total, percent)
+
+
 # -- the order of shingles --------------------------------------------------------------------
 
 
@@ -110,7 +123,7 @@ def shingle_classes(docs: DataFrame, words: int, lower: bool) -> np.ndarray:
 
 # -- sets and prefixes ------------------------------------------------------------------------
 
-_SIGNED = "doc_id long, n int, set_a long, set_b long, keys array<long>, prefix array<long>"
+_SIGNED = "doc_id long, n int, set_a long, set_b long, keys array<long>, central int, prefix array<long>"
 
 
 def _signer(held, words: int, percent: int, lower: bool):
@@ -130,6 +143,9 @@ def _signer(held, words: int, percent: int, lower: bool):
                     for k, salt in enumerate(_KEY_SALTS, 1):
                         least[full, k] = np.minimum.reduceat(mix(found ^ np.uint64(salt)), starts[:-1][full])
                 classes = order[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                central = np.zeros(b - a, np.int64)  # how frequent a set's shingles are, on average
+                if len(full):
+                    central[full] = 100 * np.add.reduceat(classes.astype(np.int64), starts[:-1][full]) // n[full]
                 prefixes, edges = [], [0]
                 for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     take = y - x - _needed(y - x, percent) + 1 if y > x else 0
@@ -144,9 +160,10 @@ def _signer(held, words: int, percent: int, lower: bool):
                         pa.array(sums[0].view(np.int64)),
                         pa.array(sums[1].view(np.int64)),
                         list_array(least.view(np.int64).ravel(), np.arange(b - a + 1) * least.shape[1], pa.int64()),
+                        pa.array(central, pa.int32()),
                         list_array(prefix.view(np.int64), np.array(edges), pa.int64()),
                     ],
-                    ["doc_id", "n", "set_a", "set_b", "keys", "prefix"],
+                    ["doc_id", "n", "set_a", "set_b", "keys", "central", "prefix"],
                 )
 
     return run
@@ -189,7 +206,7 @@ _MET = "doc_id long, gid long, n int, hits int, lo int, hi int"
 def _meeter(percent: int, pairs_at_once: int = 1_000_000):
     """Counts, for the tokens of one part, how often a document meets its own group or one that comes before it.
 
-    Groups of one star come one after another and do not meet.
+    Groups of one star (a family, or a side of it) come one after another and do not meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,16 +358,20 @@ def _opener(percent: int, cells: int = 32_000_000):
 
 
 def _groups(distinct: DataFrame) -> DataFrame:
-    """(doc_id, gid, key, crowd, weight): each document in the group of the key that most documents share.
+    """(doc_id, gid, head): each document in the group of the key that most documents share.
 
-    ``crowd`` is how many share that key, ``weight`` how many share any of the document's keys.
+    ``head`` is null where a group holds all that share the key; else it is the document, of all that have the key, whose keys are
+    shared most, and of equal ones that with the most frequent shingles.  It has the other keys of a family of near copies too, so all of these keys have one head.
     """
-    keyed = distinct.select("doc_id", F.explode("keys").alias("key"))
+    keyed = distinct.select("doc_id", "central", F.explode("keys").alias("key"))
     crowds = materialised(keyed.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1"))
     counted = keyed.join(crowds, "key", "left").select("doc_id", F.struct(F.coalesce("crowd", F.lit(1)).alias("crowd"), "key").alias("one"))
-    best = counted.groupBy("doc_id").agg(F.max("one").alias("best"), F.sum("one.crowd").alias("weight"))
+    best = materialised(counted.groupBy("doc_id").agg(F.max("one").alias("best"), F.sum("one.crowd").alias("weight")))
+    holders = keyed.join(crowds.where(F.col("crowd") > GROUP_MEMBERS).select("key"), "key").join(best.select("doc_id", "weight"), "doc_id")
+    heads = holders.groupBy("key").agg(F.max_by("doc_id", F.struct("weight", "central", -F.col("doc_id"))).alias("head"))
     sub = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("best.crowd") / GROUP_MEMBERS))
-    return materialised(best.select("doc_id", F.xxhash64("best.key", sub).alias("gid"), "best.key", "best.crowd", "weight"))
+    grouped = best.select("doc_id", F.xxhash64("best.key", sub).alias("gid"), F.col("best.key").alias("key"))
+    return materialised(grouped.join(heads, "key", "left").select("doc_id", "gid", "head"))
 
 
 def _sets_of(docs: DataFrame, routed: DataFrame, words: int, lower: bool) -> DataFrame:
@@ -359,40 +380,123 @@ def _sets_of(docs: DataFrame, routed: DataFrame, words: int, lower: bool) -> Dat
     return whole.select("gid", "chunk", "doc_id", "member", "asks", "text").mapInArrow(_set_maker(words, lower), _ROUTED)
 
 
-def _stars(docs: DataFrame, grouped: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
-    """Links (a, b) of crowds that fill several groups: of each document with one that the crowd has most in common with."""
-    crowded = grouped.where(F.col("crowd") > GROUP_MEMBERS)
-    heads = crowded.groupBy("key").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("doc_id"))
-    heads = crowded.select("key", "gid").distinct().join(heads, "key").select("gid", F.lit(0).alias("chunk"), "doc_id", F.lit(1).alias("member"), F.lit(0).alias("asks"))
-    asking = crowded.select("gid", F.lit(0).alias("chunk"), "doc_id", F.lit(0).alias("member"), F.lit(1).alias("asks"))
+def _difference_prefixes(n: int, x: int, head: int, percent: int) -> tuple[int, int]:
+    """How many of the x shingles in which a set of n differs from the head's set must be looked up, for partners that do not link with the head and for those that do.
+
+    Two sets differ by at most ``_apart`` of their sizes if they link, so what their differences from the head have in
+    common is at least half of what these exceed that by.  This is 1 or more unless both link with the head: then only one of them
+    could be as near to the head as that.
+    """
+    m = np.arange(_needed(n, percent), n * 100 // percent + 1)
+    both, other = _apart(n + m, percent), _apart(m + head, percent)
+    least = np.maximum(np.maximum(x - both, np.abs(m - head)), 0)
+
+    def length(least: np.ndarray, most: np.ndarray) -> int:
+        fits = least <= np.minimum(most, x + both)
+        return max(0, x + 1 - int((x + least[fits] - both[fits] + 1).min()) // 2) if fits.any() else 0
+
+    return length(np.maximum(least, other + 1), m + head - 2 * _familiar(m, percent)), length(least, other)
+
+
+#: What a row of differences is looked up for.
+_APART_ONLY, _LINKED, _APART, _FAR = 0, 1, 2, 3
+_DIFFERENT = "doc_id long, head long, side int, n int, prefix array<long>"
+
+
+def _differ(held, percent: int):
+    """Compares the documents of a family with its head: rows of (doc_id, head, side, n, prefix of the difference).
+
+    Side 1: linked with the head; 0 and 2: of its family, to be met with each other (0) and with those of side 1 (2); 3: others.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        order = held.value
+        ids = table.column("doc_id").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        head = int(table.column("gid")[0].as_py())
+        base = np.sort(max((sets[i] for i in np.flatnonzero(table.column("member").to_numpy())), key=lambda one: (len(one), one.tobytes())))
+        salt = mix(mix(np.array([head], np.int64).view(np.uint64)) + np.arange(2, dtype=np.uint64))
+        rows: list[tuple] = []
+
+        def add(i: int, side: int, tokens: np.ndarray) -> None:
+            rows.append((int(ids[i]), side, len(sets[i]), mix(tokens ^ salt[0 if side == _APART_ONLY else 1])))
+
+        none = np.zeros(0, np.uint64)
+        for i in np.flatnonzero(table.column("asks").to_numpy()):
+            mine = sets[i]
+            if not len(mine):
+                continue
+            where = np.minimum(np.searchsorted(base, mine), len(base) - 1)
+            common = base[where] == mine
+            if common.sum() < _familiar(len(mine), percent):
+                add(i, _FAR, none)
+                continue
+            gone = np.ones(len(base), bool)
+            gone[where[common]] = False
+            # what the head lacks is rarer among its family than what it has
+            parts = [np.sort(mine[~common]), base[gone]]
+            different = np.concatenate([part[np.argsort(order[(part >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")] for part in parts])
+            apart, linked = _difference_prefixes(len(mine), len(different), len(base), percent)
+            if len(different) <= _apart(len(mine) + len(base), percent):
+                add(i, _LINKED, different[:apart])
+            else:
+                add(i, _APART_ONLY, different[:apart])
+                add(i, _APART, different[:linked])
+        found, sides, sizes, tokens = zip(*rows, strict=True) if rows else ((), (), (), ())
+        edges = np.cumsum([0, *map(len, tokens)])
+        flat = np.concatenate([none, *tokens]).view(np.int64)
+        columns = [pa.array(found, pa.int64()), pa.array([head] * len(rows), pa.int64()), pa.array(sides, pa.int32()), pa.array(sizes, pa.int32()), list_array(flat, edges, pa.int64())]
+        return pa.Table.from_arrays(columns, ["doc_id", "head", "side", "n", "prefix"])
+
+    return run
+
+
+def _differences(docs: DataFrame, grouped: DataFrame, order, words: int, percent: int, lower: bool) -> DataFrame:
+    """The documents that share a key with more than a group holds, compared with the heads of these keys."""
+    crowded = grouped.where("head is not null")
+    parts = crowded.groupBy("head").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts"))
+    heads = parts.select(F.col("head").alias("gid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), F.col("head").alias("doc_id"), F.lit(1).alias("member"), F.lit(0).alias("asks"))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    asking = crowded.join(parts, "head").select(F.col("head").alias("gid"), part.alias("chunk"), "doc_id", F.lit(0).alias("member"), F.lit(1).alias("asks"))
     # a table, so that Spark knows its size: texts are only shuffled for crowds too large to broadcast their ids
     sets = _sets_of(docs, written(heads.unionByName(asking)), words, lower)
-    return materialised(sets.groupBy("gid", "chunk").applyInArrow(_opener(percent), "a long, b long"))
+    return written(sets.groupBy("gid", "chunk").applyInArrow(_differ(order, percent), _DIFFERENT))
 
 
-def _starred(grouped: DataFrame, stars: DataFrame) -> DataFrame:
-    """(doc_id, gid, star): documents of a star in groups of their own, under the star's number; 0 for the others."""
-    linked = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("linked", F.lit(True))
-    star = F.coalesce(F.when(F.col("linked"), F.col("key")), F.lit(0))
-    both = grouped.join(linked, "doc_id", "left").select("doc_id", "gid", star.alias("star"))
-    return both.withColumn("gid", F.when(F.col("star") == 0, F.col("gid")).otherwise(F.xxhash64("gid", "star")))
+def _starred(grouped: DataFrame, different: DataFrame) -> DataFrame:
+    """(doc_id, gid, star): documents of a family under its number, those that link with its head in groups of their own; 0 for the others."""
+    family = different.groupBy("doc_id").agg(F.max("side").alias("most"), F.min("side").alias("least"), F.xxhash64(F.first("head")).alias("family")).where(F.col("most") < _FAR)
+    both = grouped.join(family, "doc_id", "left").select("doc_id", "gid", F.coalesce("family", F.lit(0)).alias("star"), "least")
+    return both.select("doc_id", F.when(F.col("star") == 0, F.col("gid")).otherwise(F.xxhash64("gid", "star", "least")).alias("gid"), "star")
 
 
-def _met(signed: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+def _meetings(tokens: DataFrame, percent: int) -> DataFrame:
     """A row for each document and group that it meets, with how many tokens of its prefix the group holds."""
-    parts = partitions(signed.sparkSession)
-    tokens = signed.select("doc_id", "n", "prefix").join(grouped, "doc_id")
+    parts = partitions(tokens.sparkSession)
     dealt = tokens.select("doc_id", "gid", "star", "n", "prefix").mapInArrow(_dealer(4 * parts), _DEALT)
     met = dealt.repartition(parts, "bucket").mapInArrow(_meeter(percent), _MET)
     return met.groupBy("doc_id", "gid").agg(F.first("n").alias("n"), F.sum("hits").alias("hits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def _links(docs: DataFrame, signed: DataFrame, distinct: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
+def _met(signed: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """The meetings of all documents but those of one family."""
+    return _meetings(signed.select("doc_id", "n", "prefix").join(grouped, "doc_id"), percent)
+
+
+def _met_in_families(different: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """The meetings of documents of one family, by their differences from its head."""
+    sides = different.where(F.size("prefix") > 0).withColumn("star", F.col("side").cast("long"))
+    return _meetings(sides.join(grouped.select("doc_id", "gid"), "doc_id"), percent)
+
+
+def _links(docs: DataFrame, signed: DataFrame, distinct: DataFrame, order, words: int, percent: int, lower: bool) -> DataFrame:
     """A forest (a, b) that connects all linked documents with different sets."""
     grouped = _groups(distinct)
-    stars = _stars(docs, grouped, words, percent, lower)
-    grouped = materialised(_starred(grouped, stars))
-    asked = materialised(_met(signed, grouped, percent).where(_reaches(percent)).select("doc_id", "gid"))
+    different = _differences(docs, grouped, order, words, percent, lower)
+    stars = different.where((F.col("side") == _LINKED) & (F.col("doc_id") != F.col("head"))).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    grouped = materialised(_starred(grouped, different))
+    met = _met(signed, grouped, percent).where(_reaches(percent)).select("doc_id", "gid")
+    asked = materialised(met.unionByName(_met_in_families(different, grouped, percent).select("doc_id", "gid")).distinct())
     opened = materialised(asked.groupBy("gid").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("chunks")))
 
     # where each document has to be: members in every chunk of their group (asking in one at most), queries in one chunk
@@ -415,8 +519,8 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, lower:
     signed = written(rows.mapInArrow(_signer(order, words, percent, lower), _SIGNED))
     known = signed.where("n > 0 and doc_id is not null")
     classes = materialised(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    distinct = known.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    found = components(_links(rows, signed, distinct, words, percent, lower))
+    distinct = known.select("doc_id", "keys", "central").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    found = components(_links(rows, signed, distinct, order, words, percent, lower))
     named = materialised(
         classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     )

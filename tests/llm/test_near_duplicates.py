@@ -181,3 +181,82 @@ def test_words_that_collide_modulo_a_power_of_two_differ(spark, letters):
     pair = ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(letters)) for flip in (0, 1)]
     rows = [(k, " ".join([w, "one", "two"])) for k, w in enumerate(pair)] + [(2, pair[0]), (3, pair[1])]
     assert run(spark, rows, words=3, percent=90) == brute_force(rows, 3, 90)
+
+
+def _edited(rng, base, edits, pool):
+    words = list(base)
+    for at in rng.sample(range(len(base)), edits):
+        words[at] = f"{pool}{at}w{rng.randrange(3)}" if pool else f"w{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_meetings_of_a_family_grow_no_faster_than_it(spark, monkeypatch):
+    # at 80 % a text with four or five edits links with no other, but holds the family's shingles in its prefix
+    monkeypatch.setattr(near_duplicates, "GROUP_MEMBERS", 8)
+    counts = []
+    for name in ("_met", "_met_in_families"):
+        if met := getattr(near_duplicates, name, None):
+
+            def counted(*given, met=met):
+                counts.append(met(*given).count())
+                return met(*given)
+
+            monkeypatch.setattr(near_duplicates, name, counted)
+    rng = random.Random(17)
+    base = [f"v{i}" for i in range(150)]
+    for size in (120, 360):
+        counts.clear()
+        rows = list(enumerate(_edited(rng, base, rng.randint(0, 5), "") for _ in range(size)))
+        assert run(spark, rows, words=5, percent=80) == brute_force(rows, 5, 80)
+        assert sum(counts) <= 2 * size
+
+
+def test_family_members_that_link_with_each_other_but_not_with_the_head(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "GROUP_MEMBERS", 4)
+    rng = random.Random(23)
+    texts = []
+    for f, (size, length) in enumerate(((60, 60), (80, 120), (40, 25))):
+        base = [f"v{f}x{i}" for i in range(length)]
+        for _ in range(size):
+            # edits from a small pool are shared; some texts are longer or shorter than the head
+            words = _edited(rng, base, rng.randint(0, length // 5), rng.choice(["", "p"])).split()
+            words = words[rng.randint(0, length // 10) :] if rng.random() < 0.4 else [*words, *(f"t{f}x{i}" for i in range(rng.randint(0, length // 6)))]
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    for n, percent in ((1, 80), (1, 60), (3, 90), (1, 30)):
+        assert run(spark, rows, words=n, percent=percent) == brute_force(rows, n, percent), (n, percent)
+
+
+def test_prefixes_of_differences_meet_for_every_linked_pair():
+    rng = random.Random(31)
+    apart, least = near_duplicates._apart, near_duplicates._familiar
+    linked = 0
+    for _ in range(60_000):
+        percent = rng.choice([10, 50, 60, 75, 80, 85, 90, 100])
+        h = rng.randint(1, 40)
+        head = set(range(h))
+        one = {i for i in head if rng.random() < rng.choice([0.6, 0.8, 0.9])} | {100 + i for i in range(8) if rng.random() < 0.4}
+        two = {i for i in one if rng.random() < 0.95} | {100 + i for i in range(8) if rng.random() < 0.1}
+        sizes = [(len(s), len(s ^ head)) for s in (one, two)]
+        if not all(len(s) and len(s & head) >= least(len(s), percent) for s in (one, two)) or len(one ^ two) > apart(len(one) + len(two), percent):
+            continue
+        near = [x <= apart(n + h, percent) for n, x in sizes]
+        if all(near):
+            continue
+        linked += 1
+        take = [near_duplicates._difference_prefixes(n, x, h, percent)[int(other)] for (n, x), other in zip(sizes, reversed(near), strict=True)]
+        order = sorted(range(200), key=lambda i: rng.random())
+        first = [set(sorted(s ^ head, key=order.index)[:k]) for s, k in zip((one, two), take, strict=True)]
+        assert first[0] & first[1], (percent, one, two, head)
+    assert linked > 300
+
+
+def test_family_documents_that_share_an_id_link_through_it(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "GROUP_MEMBERS", 4)
+    base = [f"v{i}" for i in range(60)]
+    rows = [(k, " ".join([*base, f"end{k}"])) for k in range(30)]
+    other = " ".join(f"z{i}" for i in range(40))
+    rows += [(7, other), (90, other + " tail"), (91, " ".join(base[:30] + [f"y{i}" for i in range(30)]))]
+    found = linked_documents(spark.createDataFrame(rows, "doc_id long, text string"), words=1, percent=90).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {*((k, 0) for k in range(30)), (90, 0), (91, 91)}
